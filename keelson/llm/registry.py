@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import bpe, decontaminate, license_scan, quality_rules, secret_scan, simhash_dedup, token_counts, toxicity
+from keelson.llm import bpe, decontaminate, license_scan, passage_dedup, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +42,23 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.repeated_passages(spark, _table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_report(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.passage_report(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash_dedup, op2_decontaminate, op3_token_counts, op4_secret_scan, op5_quality_rules, op6_license_scan, op7_toxicity, op9_bpe_codec)
+    found = (
+        op1_simhash_dedup, op2_decontaminate, op3_token_counts, op4_secret_scan, op5_quality_rules,
+        op6_license_scan, op7_toxicity, op8_passage_dedup, op9_bpe_codec, op10_suffix_dedup,
+    )
     return {f.__name__: f for f in found}
 
 
