@@ -31,12 +31,17 @@ from keelson.llm.shared import worker_cache
 TOKENIZER = "byte_bpe_50k.json"
 
 
+#: Words that begin with the same bytes share the entries of these.
+HEAD = 6
+
+
 class PrefixTable:
     """Token counts of every byte prefix of a word, and of every prefix of a text."""
 
     def __init__(self, vocabulary: Vocabulary, limit: int = TABLE_WORDS):
         self.vocabulary, self.limit = vocabulary, limit
         self.prefix: dict[str, bytes | tuple] = {}
+        self.heads: dict[bytes, tuple] = {}
         self.follows: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
 
@@ -57,18 +62,40 @@ class PrefixTable:
 
     def counts(self, data: bytes) -> tuple:
         """counts[i]: tokens of ``data[:i]``, for i = 0 .. len(data)."""
-        id_of, longest = self.vocabulary.id_of, self.vocabulary.longest
-        last, count = [-1], [0]
-        for end in range(1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = id_of.get(data[start:end])
-                if token is not None and (self.may_follow(last[start], token) if start else self.is_alone(token)):
+        head = data[:HEAD]
+        known = self.heads.get(head)
+        if known is None:
+            if len(self.heads) > self.limit:
+                self.heads.clear()
+            last, count = [-1], [0]
+            self._continue(head, last, count)
+            known = self.heads[head] = (tuple(last), tuple(count))
+        if len(data) <= HEAD:
+            return known[1]
+        last, count = list(known[0]), list(known[1])
+        self._continue(data, last, count)
+        return tuple(count)
+
+    def _continue(self, data: bytes, last: list[int], count: list[int]) -> None:
+        """Extend last tokens and counts of the prefixes of ``data`` to all of it."""
+        token_of, longest, follows = self.vocabulary.id_of.get, self.vocabulary.longest, self.follows.get
+        for end in range(len(last), len(data) + 1):
+            for start in range(end - 1, max(0, end - longest) - 1, -1):
+                token = token_of(data[start:end])
+                if token is None:
+                    continue
+                if start:
+                    ok = follows((last[start], token))
+                    if ok is None:
+                        ok = self.may_follow(last[start], token)
+                else:
+                    ok = self.is_alone(token)
+                if ok:
                     last.append(token)
                     count.append(count[start] + 1)
                     break
             else:
                 raise AssertionError("a byte-level vocabulary always has an ending token")
-        return tuple(count)
 
     def word(self, w: str) -> int:
         """Tokens of a word; fills the table."""
