@@ -1 +1,225 @@
-"""Queries; see registry."""
+"""Queries over ordered keyed tables: lookups, scans, probes and mutations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from keelson.functions.scalar import folded_int
+from keelson.operators.keyed import KeyedTable, ceiling, floor, moved
+from keelson.plans.registry import register
+from keelson.sources.tables import table
+
+
+def orders(spark, sf_dir):
+    return KeyedTable(table(spark, sf_dir, "orders"), ["o_orderkey"])
+
+
+def order_index(spark, sf_dir):
+    return KeyedTable(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus"), ["o_custkey", "o_orderkey"])
+
+
+@register("point_lookup", "SELECT * FROM orders WHERE o_orderkey = 77")
+def point_lookup(spark, sf_dir):
+    return orders(spark, sf_dir).lookup(77)
+
+
+@register("multi_lookup", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT event_id * 3 FROM events)")
+def multi_lookup(spark, sf_dir):
+    probes = table(spark, sf_dir, "events").select((F.col("event_id") * 3).alias("o_orderkey"))
+    return orders(spark, sf_dir).lookup_many(probes).select("o_orderkey", "o_totalprice")
+
+
+@register("lookup_field", "SELECT o_totalprice FROM orders WHERE o_orderkey = 42")
+def lookup_field(spark, sf_dir):
+    return orders(spark, sf_dir).lookup(42, fields=["o_totalprice"])
+
+
+@register("scan_asc_limit", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE (o_custkey, o_orderkey) >= (40, 100) ORDER BY o_custkey, o_orderkey LIMIT 25")
+def scan_asc_limit(spark, sf_dir):
+    return order_index(spark, sf_dir).scan_asc(40, 100, limit=25).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@register("scan_desc_limit", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE (o_custkey, o_orderkey) <= (90, 700) ORDER BY o_custkey DESC, o_orderkey DESC LIMIT 25")
+def scan_desc_limit(spark, sf_dir):
+    return order_index(spark, sf_dir).scan_desc(90, 700, limit=25).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@register("scan_until", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 1040")
+def scan_until(spark, sf_dir):
+    return orders(spark, sf_dir).scan_asc(1000, until=F.col("o_orderkey") < 1040).select("o_orderkey", "o_custkey")
+
+
+@register("scan_prefix", "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey = 55")
+def scan_prefix(spark, sf_dir):
+    return order_index(spark, sf_dir).prefix(55).select("o_custkey", "o_orderkey")
+
+
+@register("scan_residual", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 55 AND o_orderstatus = 'F'")
+def scan_residual(spark, sf_dir):
+    return order_index(spark, sf_dir).prefix(55, residual=F.col("o_orderstatus") == "F").select("o_orderkey", "o_totalprice")
+
+
+@register("full_count", "SELECT count(*) AS n FROM orders")
+def full_count(spark, sf_dir):
+    return orders(spark, sf_dir).count()
+
+
+PROBES = "SELECT event_id * 17 % 4000 AS probe, event_id FROM events"
+
+
+def probes(spark, sf_dir):
+    return table(spark, sf_dir, "events").selectExpr("event_id * 17 % 4000 AS probe", "event_id")
+
+
+def sparse_orders(spark, sf_dir):
+    """Orders of one status: a key space with gaps."""
+    return KeyedTable(table(spark, sf_dir, "orders").where("o_orderkey % 5 = 2"), ["o_orderkey"])
+
+
+@register("ceiling_probe", f"SELECT probe, event_id, (SELECT min(o_orderkey) FROM orders WHERE o_orderkey % 5 = 2 AND o_orderkey >= probe) AS o_orderkey FROM ({PROBES})")
+def ceiling_probe(spark, sf_dir):
+    return ceiling(sparse_orders(spark, sf_dir), probes(spark, sf_dir), "probe")
+
+
+@register("floor_probe", f"SELECT p.probe, p.event_id, m.o_orderkey, o.o_totalprice FROM (SELECT probe, event_id, (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 5 = 2 AND o_orderkey <= probe) AS k FROM ({PROBES})) p LEFT JOIN orders o ON o.o_orderkey = p.k LEFT JOIN orders m ON m.o_orderkey = p.k")
+def floor_probe(spark, sf_dir):
+    return floor(sparse_orders(spark, sf_dir), probes(spark, sf_dir), "probe", keep=["o_totalprice"])
+
+
+@register("neighbour_keys", "SELECT o_orderkey, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS next_key, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS prev_key FROM orders WHERE o_orderkey % 5 = 2")
+def neighbour_keys(spark, sf_dir):
+    return sparse_orders(spark, sf_dir).neighbours()
+
+
+@register("range_empty", "SELECT lo, hi, NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 5 = 2 AND o_orderkey BETWEEN lo AND hi) AS is_empty FROM (SELECT event_id AS lo, event_id + event_id % 7 AS hi FROM events)")
+def range_empty(spark, sf_dir):
+    ranges = table(spark, sf_dir, "events").selectExpr("event_id AS lo", "event_id + event_id % 7 AS hi")
+    return sparse_orders(spark, sf_dir).ranges_empty(ranges)
+
+
+@register(
+    "scan_n_from_key",
+    "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders WHERE o_orderkey % 5 = 2), p AS (SELECT event_id, event_id * 13 % 900 AS probe, 1 + event_id % 20 AS n FROM events WHERE event_id % 10 = 0), s AS (SELECT p.*, (SELECT min(r) FROM o WHERE o_orderkey >= probe) AS r0 FROM p) SELECT event_id, probe, n, o_orderkey FROM s JOIN o ON r BETWEEN r0 AND r0 + n - 1",
+)
+def scan_n_from_key(spark, sf_dir):
+    asks = table(spark, sf_dir, "events").where("event_id % 10 = 0").selectExpr("event_id", "event_id * 13 % 900 AS probe", "1 + event_id % 20 AS n")
+    return sparse_orders(spark, sf_dir).scan_n(asks, "probe", "n", 100).select("event_id", "probe", "n", "o_orderkey")
+
+
+@register("insert_duplicates", "SELECT event_id * 4 AS o_orderkey, value AS o_totalprice FROM events WHERE event_id * 4 IN (SELECT o_orderkey FROM orders)")
+def insert_duplicates(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr("event_id * 4 AS o_orderkey", "value AS o_totalprice")
+    return orders(spark, sf_dir).duplicates(rows)
+
+
+@register("insert_new", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (SELECT o_orderkey FROM orders UNION ALL SELECT event_id * 4 FROM events WHERE event_id * 4 NOT IN (SELECT o_orderkey FROM orders))")
+def insert_new(spark, sf_dir):
+    base = KeyedTable(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    rows = table(spark, sf_dir, "events").selectExpr("event_id * 4 AS o_orderkey", "value AS o_totalprice")
+    return base.insert(rows).df.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@register("append_keys", "SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY event_id) AS o_orderkey, value AS o_totalprice FROM events UNION ALL SELECT o_orderkey, o_totalprice FROM orders")
+def append_keys(spark, sf_dir):
+    base = KeyedTable(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "value AS o_totalprice", "CAST(NULL AS BIGINT) AS o_orderkey")
+    return base.append(rows, ["event_id"]).df
+
+
+@register(
+    "upsert_delta",
+    "WITH d AS (SELECT user_id AS c_custkey, sum(value) AS c_acctbal FROM events GROUP BY 1) SELECT c_custkey, c_name, round(coalesce(d.c_acctbal, c.c_acctbal), 2) AS c_acctbal FROM customer c LEFT JOIN d USING (c_custkey)",
+)
+def upsert_delta(spark, sf_dir):
+    base = KeyedTable(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), ["c_custkey"])
+    deltas = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.sum("value").alias("c_acctbal"))
+    return base.update(deltas).df.withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@register("upsert_rows", "WITH n AS (SELECT user_id AS c_custkey, 'user-' || user_id AS c_name FROM events GROUP BY user_id) SELECT c_custkey, c_name FROM n UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n)")
+def upsert_rows(spark, sf_dir):
+    base = KeyedTable(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_custkey"])
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey")).distinct().withColumn("c_name", F.concat(F.lit("user-"), "c_custkey"))
+    return base.upsert(rows).df
+
+
+@register("remove_keys", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+def remove_keys(spark, sf_dir):
+    base = KeyedTable(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_custkey"])
+    return base.remove(table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("c_custkey"))).df
+
+
+@register("range_remove", "SELECT o_orderkey, o_custkey FROM orders WHERE NOT o_orderkey BETWEEN 100 AND 900")
+def range_remove(spark, sf_dir):
+    return orders(spark, sf_dir).range_remove(100, 900).df.select("o_orderkey", "o_custkey")
+
+
+@register(
+    "range_remove_pagewise",
+    "WITH p AS (SELECT o_orderkey // 16 AS page, min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders GROUP BY 1), w AS (SELECT page FROM p WHERE a >= 96 AND b <= 900 AND EXISTS (SELECT 1 FROM p f WHERE f.page = (SELECT min(page) FROM p WHERE b >= 96) AND f.a >= 96 AND f.b <= 900)) SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey // 16 NOT IN (SELECT page FROM w)",
+)
+def range_remove_pagewise(spark, sf_dir):
+    return orders(spark, sf_dir).range_remove_pages(96, 900, 16).df.select("o_orderkey", "o_custkey")
+
+
+@register(
+    "tree_stats",
+    "WITH RECURSIVE b AS (SELECT count(*) AS n, CAST(ceil(count(*) / 64.0) AS BIGINT) AS leaf FROM orders), l AS (SELECT leaf AS pages, 1 AS h, 0 AS inner_pages FROM b UNION ALL SELECT CAST(ceil(pages / 32.0) AS BIGINT), h + 1, inner_pages + CAST(ceil(pages / 32.0) AS BIGINT) FROM l WHERE pages > 1) SELECT n, leaf AS leaf_pages, CAST((SELECT max(inner_pages) FROM l) AS BIGINT) AS inner_pages, CAST((SELECT max(h) FROM l) AS BIGINT) AS height, leaf * 64 - n AS free_slots FROM b",
+)
+def tree_stats(spark, sf_dir):
+    return orders(spark, sf_dir).page_stats(64, 32)
+
+
+@register("nc_lookup", "SELECT p.p_partkey, s.s_name FROM part p JOIN supplier s ON s.s_suppkey = p.p_partkey % 150")
+def nc_lookup(spark, sf_dir):
+    """Key -> tuple id -> value; keys whose value is missing yield nothing."""
+    keys = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey % 150 AS tid")
+    values = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS tid", "s_name")
+    return keys.join(values, "tid").select("p_partkey", "s_name")
+
+
+@register(
+    "nc_move",
+    "WITH k AS (SELECT s_suppkey, s_suppkey AS tid FROM supplier), h AS (SELECT s_suppkey, tid, (SELECT max(tid) FROM k) + row_number() OVER (ORDER BY s_suppkey) AS t2 FROM k WHERE s_suppkey % 3 = 0) SELECT k.s_suppkey, coalesce(h.t2, k.tid) AS tid, s.s_name FROM k LEFT JOIN h USING (s_suppkey) JOIN supplier s ON s.s_suppkey = k.tid",
+)
+def nc_move(spark, sf_dir):
+    base = table(spark, sf_dir, "supplier")
+    keys, values = base.selectExpr("s_suppkey", "s_suppkey AS tid"), base.selectExpr("s_suppkey AS tid", "s_name")
+    hot = base.where("s_suppkey % 3 = 0").select("s_suppkey")
+    new_keys, new_values = moved(keys, values, hot, "s_suppkey", "tid")
+    return new_keys.join(new_values, "tid").select("s_suppkey", "tid", "s_name")
+
+
+@register("fold_order", "SELECT event_id, value_key, rank() OVER (ORDER BY value_key) AS by_number FROM (SELECT event_id, CAST(floor(value) AS INTEGER) - 250 AS value_key FROM events WHERE event_id < 500)")
+def fold_order(spark, sf_dir):
+    """Ranks by folded bytes equal ranks by number; the key column is small by its filter."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "events").where("event_id < 500").selectExpr("event_id", "CAST(floor(value) AS INT) - 250 AS value_key")
+    folded = rows.withColumn("__f", folded_int(F.col("value_key")))
+    return folded.withColumn("by_number", F.rank().over(Window.orderBy("__f")).cast("bigint")).drop("__f")
+
+
+@register("deterministic_update", "SELECT o_orderkey, round(o_totalprice + coalesce(d, 0), 2) AS o_totalprice FROM orders LEFT JOIN (SELECT event_id % 500 AS o_orderkey, sum(value) AS d FROM events GROUP BY 1) USING (o_orderkey)")
+def deterministic_update(spark, sf_dir):
+    """All keys are known before the batch runs: one grouped join, no conflicts."""
+    sums = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 500).alias("o_orderkey")).agg(F.sum("value").alias("d"))
+    joined = table(spark, sf_dir, "orders").join(sums, "o_orderkey", "left")
+    return joined.select("o_orderkey", F.round(F.col("o_totalprice") + F.coalesce("d", F.lit(0.0)), 2).alias("o_totalprice"))
+
+
+@register("merge_sorted", "SELECT o_orderkey AS k, 'live' AS side FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT event_id, 'dead' FROM events WHERE event_id % 2 = 1")
+def merge_sorted(spark, sf_dir):
+    """Ordered merge of two sorted inputs."""
+    live = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").selectExpr("o_orderkey AS k", "'live' AS side")
+    dead = table(spark, sf_dir, "events").where("event_id % 2 = 1").selectExpr("event_id AS k", "'dead' AS side")
+    return live.unionByName(dead).orderBy("k")
+
+
+@register("fan_out_ranges", "SELECT worker, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM (SELECT o_orderkey, least(o_orderkey // ((SELECT max(o_orderkey) + 1 FROM orders) // 7), 6) AS worker FROM orders) GROUP BY worker")
+def fan_out_ranges(spark, sf_dir):
+    """Key range split evenly over seven workers; the last takes the remainder."""
+    base = table(spark, sf_dir, "orders")
+    top = base.agg((F.max("o_orderkey") + 1).alias("n"))
+    split = base.crossJoin(F.broadcast(top)).selectExpr("o_orderkey", "least(o_orderkey div (n div 7), 6) AS worker")
+    return split.groupBy("worker").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
