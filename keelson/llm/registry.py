@@ -39,7 +39,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.toxicity_report(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ unlabelled text does.
 
 Bounds (documented parameters): at most about ``MAX_POSITIVE`` and ``MAX_UNLABELLED``
 documents, chosen by hash at a rate set from counts over all rows, train the models,
-so what reaches the driver and the one broadcast (sampled ids) are bounded.  Scoring
+on at most ``MAX_FEATURES`` features chosen by counts in Spark, so what reaches the
+driver and the one broadcast (sampled ids) are bounded.  Scoring
 covers every text, map-side.  Labels are read only where crc32(doc_id) mod 3 is not
 1, and unlabelled training text comes from those rows too; nothing but the text is
 an input of a score.
@@ -31,9 +32,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelson.llm.shared import stage
+
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 8000
 MODELS = 3
@@ -45,6 +48,8 @@ USES = 3
 LEAST_Z, LEAST_HELD = 4.0, 3
 PREFIXES = (4, 5, 6, 7, 8)
 WORD = re.compile(r"\w+")
+#: Most features of a model.
+MAX_FEATURES = 20_000
 #: Words after which a worker's table of word features is emptied; results do not depend on it.
 TABLE_WORDS = 400_000
 
@@ -80,6 +85,10 @@ def _spread(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(at)
 
 
+def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+
+
 class Rows:
     """Sparse binary rows over the chosen features."""
 
@@ -99,29 +108,27 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def choose(pk: np.ndarray, np_: int, uk: np.ndarray, nu: int) -> np.ndarray:
-    """Keys that positives hold significantly more often, sorted."""
-    keys, held = np.unique(pk, return_counts=True)
-    keys, held = keys[held >= LEAST_HELD], held[held >= LEAST_HELD]
-    uk = uk[np.isin(uk, keys)]
-    seen_keys, counts = np.unique(uk, return_counts=True)
-    seen = np.zeros(len(keys))
-    seen[np.searchsorted(keys, seen_keys)] = counts
-    both = (held + seen) / (np_ + nu)
-    z = (held / np_ - seen / nu) / np.sqrt(both * (1 - both) * (1 / np_ + 1 / nu) + 1e-12)
-    return keys[z >= LEAST_Z]
+def choose(sample: DataFrame, n_pos: int, n_unl: int) -> list[int]:
+    """Feature keys that positives of the sample hold significantly more often, counted in Spark."""
+    # A feature used n times is there at 1 .. n uses.
+    at = F.explode(F.sequence(F.col("f") - F.col("f") % USES, "f"))
+    keys = sample.select(F.explode("f").alias("f"), "pos", "unl").select(at.alias("key"), "pos", "unl")
+    held = keys.groupBy("key").agg(F.sum(F.col("pos").cast("long")).alias("p"), F.sum(F.col("unl").cast("long")).alias("u")).where(F.col("p") >= LEAST_HELD)
+    both = (F.col("p") + F.col("u")) / (n_pos + n_unl)
+    z = (F.col("p") / n_pos - F.col("u") / n_unl) / F.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_unl) + 1e-12)
+    best = held.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "key").limit(MAX_FEATURES)
+    return sorted(r["key"] for r in best.select("key").collect())
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[dict[int, float], float]:
-    """(weight of each feature key, bias): the mean of ``MODELS`` models."""
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, chosen: np.ndarray) -> tuple[dict[int, float], float]:
+    """(weight of each chosen feature key, bias): the mean of ``MODELS`` models."""
     weights: dict[int, float] = {}
     bias = 0.0
     for k in range(MODELS):
         rng = np.random.default_rng(k)
         some = lambda rows: [rows[i] for i in np.sort(rng.permutation(len(rows))[: math.ceil(0.9 * len(rows))])]
         p, u = some(positive), some(unlabelled)
-        (pk, pr), (uk, ur) = _spread(p), _spread(u)
-        chosen = choose(pk, len(p), uk, len(u))
+        (pk, pr), (uk, ur) = _flat(p), _flat(u)
         n, xp, xu = len(chosen), Rows(pk, pr, chosen, len(p)), Rows(uk, ur, chosen, len(u))
         w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
         w[n] = math.log(prior / (1 - prior))
@@ -167,7 +174,7 @@ class Scorer:
         return math.fsum([self.bias, *(sums[f][min(n, USES) - 1] for f, n in Counter(hits).items())])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[dict[int, float], float] | None:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[dict[int, float], float] | None:
     """The model, or None without positive training rows."""
     use = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     use = use.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -189,13 +196,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
             f = [features(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.int64())), b.column("pos"), b.column("unl")], ["f", "pos", "unl"])
 
-    got = picked.mapInArrow(run, "f array<bigint>, pos boolean, unl boolean").toArrow()
+    sample, _ = stage(spark, picked.mapInArrow(run, "f array<bigint>, pos boolean, unl boolean"), "sample")
+    n_pos, n_unl = sample.agg(F.sum(F.col("pos").cast("long")), F.sum(F.col("unl").cast("long"))).first()
+    if not n_pos or not n_unl:
+        return None
+    keys = choose(sample, n_pos, n_unl)
+
+    def reduce(batches):
+        import pyarrow as pa
+
+        known = np.array(keys, np.int64)
+        for b in batches:
+            rows = []
+            for x in b.column("f"):
+                key, _ = _spread([np.asarray(x.values)])
+                rows.append(np.sort(key[np.isin(key, known)]))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64())), b.column("pos"), b.column("unl")], ["f", "pos", "unl"])
+
+    got = sample.mapInArrow(reduce, "f array<bigint>, pos boolean, unl boolean").toArrow()
     f = [np.asarray(x.values) if x.values is not None else np.zeros(0, np.int64) for x in got.column("f")]
     pos, unl = got.column("pos").to_pylist(), got.column("unl").to_pylist()
     # The order of collected rows varies; that of the sums must not.
-    positive = sorted((x for x, y in zip(f, pos, strict=True) if y), key=lambda x: (len(x), x.tobytes()))
-    unlabelled = sorted((x for x, y in zip(f, unl, strict=True) if y), key=lambda x: (len(x), x.tobytes()))
-    return train(positive, unlabelled, prior) if positive else None
+    in_order = lambda on: sorted((x for x, y in zip(f, on, strict=True) if y), key=lambda x: (len(x), x.tobytes()))
+    return train(in_order(pos), in_order(unl), prior, np.array(keys, np.int64))
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float] | None, text: str = "text") -> DataFrame:
@@ -218,6 +241,6 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float] | None, text: s
     return source.mapInArrow(run, schema)
 
 
-def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
+def toxicity_report(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    scored = score(docs.select("doc_id", "text"), fit(spark, docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
