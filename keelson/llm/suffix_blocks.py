@@ -118,10 +118,15 @@ def request(block: Block, length: int, buckets: int) -> list[tuple[int, bytes]]:
     return _by_bucket(np.unique(key), lambda part: pack(part.astype(np.uint32)))
 
 
+def segments(values: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of every run of equal non-negative values; none of no values."""
+    cuts = np.flatnonzero(np.diff(values, prepend=-1)).tolist()
+    return list(zip(cuts, [*cuts[1:], len(values)], strict=False))
+
+
 def _by_bucket(key: np.ndarray, make) -> list[tuple[int, bytes]]:
     bucket = (key >> np.uint64(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    return [(int(bucket[a]), make(key[a:b])) for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True)]
+    return [(int(bucket[a]), make(key[a:b])) for a, b in segments(bucket)]
 
 
 def answer(blobs: list[bytes]) -> list[bytes]:
@@ -151,8 +156,7 @@ def offers(block: Block, answers: dict[int, bytes], length: int, buckets: int) -
     lo, hi = doc[order][heads], doc[order][np.append(heads[1:], len(order)) - 1]
     again = lo < hi
     bucket = (keys >> np.uint64(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+    for a, b in segments(bucket):
         again[a:b] |= np.unpackbits(np.frombuffer(answers[int(bucket[a])], np.uint8), count=b - a).astype(bool)
     chosen = np.flatnonzero(again[row])
     data, ids = block.data, block.ids
@@ -172,8 +176,7 @@ def offers(block: Block, answers: dict[int, bytes], length: int, buckets: int) -
     kept, texts = kept[order], [texts[k] for k in order.tolist()]
     out = []
     where = (key[kept] >> np.uint64(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(where, prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(kept)], strict=True):
+    for a, b in segments(where):
         k = kept[a:b]
         d = doc[k]
         out.append((int(where[a]), pack(
