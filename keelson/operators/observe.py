@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Upper bounds of the latency buckets in microseconds.
 LATENCY_BOUNDS = (
-    1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 25, 30, 40, 50, 75, 100, 150, 200, 300, 400, 500, 750,
-    1000, 1500, 2000, 3000, 5000, 10000, 20000, 50000, 100000, 200000, 500000, 2000000,
+    1, 2, 3, 5, 7, 10, 15, 22, 33, 50, 75, 112, 168, 252, 378, 567, 850, 1275, 1912, 2868, 4302, 6453, 9679, 14519,
+    21778, 32667, 49000, 73500, 110250, 165375, 248062, 372093, 558139, 837208, 1255812, 1883718, 2000000,
 )
 
 

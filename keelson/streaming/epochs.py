@@ -27,7 +27,7 @@ def windowed(events: DataFrame, length: str = "1 day", late: str = "1 hour") ->
 
 
 def epochs(events: DataFrame, size: int) -> DataFrame:
-    """Requests and distinct pages (by sketch-free exact set of at most ``user_id div 8`` pages) per count-based epoch."""
+    """Requests and about how many distinct pages per count-based epoch."""
     return events.groupBy(F.expr(f"event_id div {size}").alias("epoch")).agg(F.count("*").alias("requests"), F.approx_count_distinct(F.expr("user_id div 8"), 0.01).alias("pages"))
 
 
