@@ -68,7 +68,7 @@ def test_simhash_links_chains_exactly(spark):
 
     got = {r.node: r.component for r in connected_components(spark, links).collect()}
     assert got == {1: 1, 7: 1, 31: 1, 127: 1, -1: -2, -2: -2}
-    wide = simhash_dedup.links(spark.createDataFrame([(f,) for f in (0, 15, 1 << 50)], "fp bigint"), radius=4)
+    wide = simhash_dedup.links(spark.createDataFrame([(f,) for f in (0, 15, 31 << 50)], "fp bigint"), radius=4)
     assert {(r.a, r.b) for r in wide.collect()} == {(15, 0)}
 
 
