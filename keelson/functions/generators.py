@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keelson.functions.scalar import fnv1a_long
+from keelson.functions.scalar import MASK64, fnv1a_long, let
 
 #: Fixed value: what a record id is crossed with before its slot is hashed.
 SLOT_SALT = 0xDEADBEEFCAFE
@@ -57,6 +57,10 @@ def _times(z: Column, constant: int) -> Column:
     return F.pmod(total, whole.cast("decimal(22,0)")).cast("decimal(20,0)")
 
 
+def _bound(z: Column, factor: int) -> Column:
+    return let(z, lambda y: _times(y, factor))
+
+
 def _signed(z: Column) -> Column:
     edge = F.expr("CAST(9223372036854775808 AS DECIMAL(20,0))")
     return F.when(z >= edge, z - F.expr("CAST(18446744073709551616 AS DECIMAL(21,0))")).otherwise(z).cast("bigint")
@@ -69,11 +73,8 @@ def _unsigned(x: Column) -> Column:
 
 def splitmix64(seed: Column) -> Column:
     """SplitMix64 of a non-negative BIGINT as an unsigned DECIMAL(20,0)."""
-    from keelson.functions.scalar import MASK64
-
     z = F.pmod(seed.cast("decimal(21,0)") + F.expr("CAST(11400714819323198485 AS DECIMAL(21,0))"), F.expr(f"CAST({MASK64} AS DECIMAL(21,0))")).cast("decimal(20,0)")
+    crossed = lambda z, shift: let(_signed(z), lambda x: _unsigned(x.bitwiseXOR(F.shiftrightunsigned(x, shift))))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = _signed(z)
-        z = _times(_unsigned(x.bitwiseXOR(F.shiftrightunsigned(x, shift))), factor)
-    x = _signed(z)
-    return _unsigned(x.bitwiseXOR(F.shiftrightunsigned(x, 31)))
+        z = _bound(crossed(z, shift), factor)
+    return crossed(z, 31)

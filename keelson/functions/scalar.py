@@ -15,6 +15,11 @@ SYLLABLES = ("BAR", "OUGHT", "ABLE", "PRI", "PRES", "ESE", "ANTI", "CALLY", "ATI
 MASK64 = "18446744073709551616"
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once inside one expression, however often ``body`` mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def folded_int(c: Column) -> Column:
     """Signed 32-bit key as hexadecimal text whose byte order is the numeric order."""
     return F.lpad(F.hex(c.cast("bigint") + 2147483648), 8, "0")
@@ -71,7 +76,7 @@ def log2_bucket(c: Column, top: int = 15) -> Column:
 def last_name(n: Column) -> Column:
     """Last name of the three digits of n."""
     syllables = F.array(*(F.lit(s) for s in SYLLABLES))
-    digit = lambda d: F.element_at(syllables, (F.expr("1") * 0 + F.pmod(F.floor(n / d), F.lit(10)) + 1).cast("int"))
+    digit = lambda d: F.element_at(syllables, (F.pmod(F.floor(n / d), F.lit(10)) + 1).cast("int"))
     return F.concat(digit(100), digit(10), digit(1))
 
 
@@ -98,7 +103,7 @@ def credit_line(c_id, c_d_id, c_w_id, d_id, w_id, amount, when) -> Column:
 def labelled_bucket(c: Column) -> Column:
     """Label of a power-of-two bucket, open at 16384."""
     b = log2_bucket(c, 14)
-    low = F.shiftleft(F.lit(1), b) if False else F.pow(F.lit(2), b).cast("bigint")
+    low = F.pow(F.lit(2), b).cast("bigint")
     return F.when(c == 0, "0").when(c == 1, "1").when(b >= 14, ">=16384").otherwise(F.concat(low, F.lit("-"), low * 2 - 1))
 
 
