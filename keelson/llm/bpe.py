@@ -16,14 +16,19 @@ an empty table gives an empty table; other input columns are kept, and ``ids``,
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.bpe_core import Vocabulary, WordTable, blocks
+from keelson.llm.bpe_core import Vocabulary, WordTable, blocks, read_pieces
 from keelson.llm.shared import worker_cache
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Ids decoded at a time: bounds a worker's memory.
+BLOCK_IDS = 250_000
 
 
 def _with(df: DataFrame, fields: list[T.StructField]) -> tuple[DataFrame, T.StructType]:
@@ -64,23 +69,64 @@ def decode(encoded: DataFrame, ids: str = "ids", tokenizer: str = TOKENIZER) ->
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        pieces = worker_cache(f"words:{tokenizer}", lambda: WordTable(Vocabulary(tokenizer))).vocabulary.pieces
-        piece = pieces.__getitem__
+        piece = worker_cache(f"pieces:{tokenizer}", lambda: read_pieces(tokenizer)[1]).__getitem__
         for batch in batches:
             lists = batch.column(ids)
-            texts = [b"".join(map(piece, x.values.to_pylist() if x.is_valid else ())).decode("utf-8", "replace") for x in lists]
+            flat = lists.flatten()  # without what a null list covers, whose length counts as nothing
+            ends = [0, *accumulate(n or 0 for n in pc.list_value_length(lists).to_pylist())]
+            texts, row = [], 0
+            while row < len(lists):
+                stop = max(row + 1, bisect_right(ends, ends[row] + BLOCK_IDS) - 1)
+                some, base = flat.slice(ends[row], ends[stop] - ends[row]).to_pylist(), ends[row]
+                texts += [b"".join(map(piece, some[ends[k] - base : ends[k + 1] - base])).decode("utf-8", "replace") for k in range(row, stop)]
+                row = stop
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return source.mapInArrow(run, schema)
 
 
+def digests(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
+    """``docs`` without its text, with ``n_tokens``, ``ids_sha256`` (of the decimal ids, comma-joined) and
+    ``decoded_sha256`` (of the decoded text): encoding and decoding in one pass, so ids need not
+    leave the worker; ``with_ids`` adds them."""
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    fields += [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] * with_ids
+    source, schema = _with(docs.withColumn("__text", F.col(f"`{text}`")).drop(text), fields)
+    schema = T.StructType([f for f in schema.fields if f.name != "__text"])
+
+    def run(batches):
+        from hashlib import sha256
+
+        import numpy as np
+        import pyarrow as pa
+
+        table = worker_cache(f"words:{tokenizer}", lambda: WordTable(Vocabulary(tokenizer)))
+        piece = table.vocabulary.pieces.__getitem__
+        number = worker_cache(f"numbers:{tokenizer}", lambda: [str(k) for k in range(len(table.vocabulary.pieces))]).__getitem__
+        for batch in batches:
+            rows, every = [], [np.zeros(0, np.int32)]
+            for some in blocks([x or "" for x in batch.column("__text").to_pylist()]):
+                ids, sizes = table.encode(some)
+                every += [ids] * with_ids
+                flat, at = ids.tolist(), 0
+                for n in sizes.tolist():
+                    own = flat[at : at + n]
+                    at += n
+                    decoded = b"".join(map(piece, own)).decode("utf-8", "replace").encode()
+                    rows.append((n, sha256(",".join(map(number, own)).encode()).hexdigest(), sha256(decoded).hexdigest()))
+            kept = [n for n in batch.schema.names if n != "__text"]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            made = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]
+            if with_ids:
+                offsets = np.concatenate(([0], np.cumsum(columns[0], dtype=np.int64))).astype(np.int32)
+                made.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(every), pa.int32())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *made], [*kept, *(f.name for f in fields)])
+
+    return source.mapInArrow(run, schema)
+
+
 def round_trip_report(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
-    coded = decode(encode(docs.select("doc_id", "text"), tokenizer=tokenizer, keep_text=False), tokenizer=tokenizer)
-    return coded.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    return digests(docs.select("doc_id", "text"), tokenizer=tokenizer)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
 import regex
@@ -23,7 +24,7 @@ UNSURE = r"[^\x00-ԯ -⁣]"
 BLOCK_CHARS = 2_000_000
 
 #: Entries after which a worker's word table is emptied. It is a cache: results do not depend on it.
-TABLE_WORDS = 500_000
+TABLE_WORDS = 300_000
 
 
 def resolve(name: str) -> str:
@@ -42,6 +43,22 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+def read_pieces(name: str) -> tuple[dict, list[bytes]]:
+    """The parsed file of a byte-level BPE vocabulary, and the bytes of every id."""
+    with open(resolve(name), encoding="utf-8") as f:
+        spec = json.load(f)
+    alphabet = byte_alphabet()
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    vocab = spec["model"]["vocab"]
+    pieces = [b""] * (1 + max([*vocab.values(), *special.values()]))
+    for piece, i in vocab.items():
+        if piece not in special:
+            pieces[i] = bytes(alphabet[c] for c in piece)
+    for text, i in special.items():
+        pieces[i] = text.encode()
+    return spec, pieces
+
+
 class Vocabulary:
     """Pieces, merge ranks and special strings of one byte-level BPE file."""
 
@@ -49,12 +66,10 @@ class Vocabulary:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        path = resolve(name)
-        self.library = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(resolve(name))
         self.library.no_truncation()
         self.library.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec, self.pieces = read_pieces(name)
         model = spec["model"]
         if model["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"] or model["dropout"]:
             raise ValueError(f"{name} is not a plain byte-level BPE file")
@@ -63,12 +78,6 @@ class Vocabulary:
         alphabet = byte_alphabet()
         as_bytes = lambda piece: bytes(alphabet[c] for c in piece)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.pieces: list[bytes] = [b""] * (1 + max([*model["vocab"].values(), *special.values()]))
-        for piece, i in model["vocab"].items():
-            if piece not in special:
-                self.pieces[i] = as_bytes(piece)
-        for text, i in special.items():
-            self.pieces[i] = text.encode()
         self.special = special
         self.id_of = {p: i for i, p in enumerate(self.pieces) if p and i not in set(special.values())}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -140,14 +149,12 @@ class WordTable:
         self.ids, self.start, self.size = (np.zeros(0, np.int32) for _ in range(3))
 
     def add(self, words) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.row]
+        new = list(set(words).difference(self.row))
         if not new:
             return
-        special = self.vocabulary.special
         got = [e.ids for e in self.vocabulary.library.encode_batch_fast(new, add_special_tokens=False)]
-        got = [[special[w]] if w in special else i for w, i in zip(new, got, strict=True)]
         size = np.fromiter(map(len, got), np.int32, len(got))
-        flat = np.fromiter((x for i in got for x in i), np.int32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))
         self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
         self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size, dtype=np.int64) - size))
         self.size, self.ids = np.concatenate((self.size, size)), np.concatenate((self.ids, flat))
