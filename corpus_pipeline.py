@@ -19,13 +19,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule table rejects go."""
-    return quality_rules.apply_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+    return docs.select(*COLUMNS).where(quality_rules.verdict(F.col("text")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one that names it; rows that repeat its id stay too
-    only if their text is the least of them."""
-    return simhash_dedup.keep_one(spark, docs.select(*COLUMNS), shingle=5)
+    """One document of each group of near copies stays, the one with the least id: SimHash proposes pairs,
+    five-word shingles with a similarity of 0.8 or more decide."""
+    return simhash_dedup.keep_one(spark, docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with the text that they decode to."""
-    coded = bpe.decode(bpe.encode(docs.select(*COLUMNS), keep_text=False))
-    return coded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Token ids of every text, with digests of the ids and of the text that they decode to."""
+    return bpe.digests(docs.select(*COLUMNS), with_ids=True)
 
 
 STAGES = [
