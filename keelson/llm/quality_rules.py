@@ -137,6 +137,12 @@ def base_failed(metrics: Column) -> Column:
     return (metrics["n_words"] < 20) | (100 * metrics["n_repeat_words"] > 30 * metrics["n_words"])
 
 
+def verdict(text: Column, rules=RULES) -> Column:
+    """Whether a text is kept, as one expression that measures it once: a filter on the columns of
+    ``apply_rules`` would be pushed below them and measure it once for each bound."""
+    return let(measure(text), lambda m: ~base_failed(m) & compile_rules(m, rules))
+
+
 METRICS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
     "mean_word_chars", "symbol_ratio", "shout_ratio", "stop_ratio", "dup_line_ratio",

@@ -24,14 +24,16 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.llm.components import connected_components
-from keelson.llm.shared import stage
+from keelson.llm.shared import SPACE, let, stage
 
 SEED = 42
+#: Bits of a fingerprint of distinct words.
+VIEW_BITS = 48
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -84,6 +86,10 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     if radius % 2 or radius < 0:
         raise ValueError("the radius is even: each side emits variants within half of it")
     masks = F.array(*(F.lit(m).cast("long") for m in ball(radius // 2)))
+    # Each row becomes a whole ball, so rows that fit one task before do not after: deal them out first, by a
+    # key of its own, since an exchange on fp itself would be taken for the one that made them distinct.
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = distinct.repartition(parts, F.xxhash64("fp"))
     variants = distinct.select("fp", F.explode(masks).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("v"), "m")
     if radius <= 2:
         packed = variants.groupBy("v").agg(F.bit_or("m").alias("bits"), F.max(F.col("m") == 0).alias("self"))
@@ -116,20 +122,107 @@ def near_duplicate_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
-    """One row of every component of ``docs``: of the rows with its least ``doc_id`` (null counts as
-    largest) the one with the least text; equal rows collapse to one."""
-    own = docs.columns
-    fields = [f"`{c}`" for c in own]
-    marked = fingerprints(docs.select(*fields, F.col("text").alias("__copy")), shingle, "__copy", "__fp").select("__fp", *fields)
-    kept, _ = stage(spark, marked, "marked")
-    rows = kept.select("__fp", "doc_id", F.xxhash64(*fields).alias("__row"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
-    least = rows.groupBy("__fp").agg(first.alias("first"))
-    parts = connected_components(spark, links(rows.select(F.col("__fp").alias("fp")).distinct(), radius))
-    placed = least.join(parts, least["__fp"] == parts["node"], "left")
-    placed = placed.select("__fp", "first", F.coalesce("component", "__fp").alias("root"))
-    winners = placed.groupBy("root").agg(F.min(F.struct("first", "__fp")).alias("w")).select("w.__fp", "w.first.id", "w.first.row")
+# Near copies by similarity: fingerprints propose, shingles decide.
+
+
+def word_views(text: str | None, views: int) -> list[int]:
+    """``views`` fingerprints of ``VIEW_BITS`` bits over the distinct words of a text: an edited word moves few of their bits."""
+    import numpy as np
+    import xxhash
+
+    words = set((text or "").encode().lower().split())
+    if not words:
+        return [0] * views
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in sorted(words)), np.uint64, len(words))
+    out = []
+    for v in range(views):
+        x = (h ^ np.uint64(v * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> np.uint64(29))).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        out.append(int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words)).view(">u8")[0]) >> (64 - VIEW_BITS))
+    return out
+
+
+def candidates(spark: SparkSession, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``text_key``s whose fingerprints are within two bits in some view.
+
+    ``texts`` has one row per distinct text: ``text_key`` and ``views``.  Within a bucket of
+    variants (at most ``VIEW_BITS`` + 1 fingerprints) members are linked to the least and to
+    their neighbour; texts with one fingerprint are linked to the least of them."""
+    marked = texts.select("text_key", F.posexplode("views").alias("view", "fp"))
+    held = marked.groupBy("view", "fp").agg(F.min("text_key").alias("rep"))
+    held, _ = stage(spark, held, "views")
+    equal = marked.join(held.hint("rebalance"), ["view", "fp"]).where("text_key <> rep").select(F.col("text_key").alias("a"), F.col("rep").alias("b"))
+    # One flag per variant: a bit to turn, or the bit above them for the fingerprint itself; the view sits above all.
+    flags = F.array(*(F.lit(1 << b).cast("long") for b in range(VIEW_BITS + 1)))
+    low = F.lit((1 << VIEW_BITS) - 1).cast("long")
+    turned = lambda v, flag: v.bitwiseXOR(flag.bitwiseAND(low))
+    dealt = held.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "view", "fp")
+    coded = dealt.select(F.col("fp").bitwiseOR(F.expr(f"shiftleft(CAST(view AS BIGINT), {VIEW_BITS})")).alias("c"), F.explode(flags).alias("flag"))
+    packed = coded.select(turned(F.col("c"), F.col("flag")).alias("v"), "flag").groupBy("v").agg(F.bit_or("flag").alias("bits"))
+    met = packed.where(F.bit_count("bits") > 1)
+    on = F.filter(flags, lambda flag: F.col("bits").bitwiseAND(flag) != 0)
+    members = met.select(
+        F.expr(f"CAST(shiftright(v, {VIEW_BITS}) AS INT)").alias("view"),
+        F.array_sort(F.transform(on, lambda flag: turned(F.col("v"), flag).bitwiseAND(low))).alias("ms"),
+    )
+    stars = F.transform(F.slice("ms", 2, F.size("ms")), lambda x: F.struct(x.alias("x"), F.element_at("ms", 1).alias("y")))
+    steps = F.zip_with(F.slice("ms", 2, F.size("ms")), F.slice("ms", 1, F.size("ms") - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    linked = members.select("view", F.explode(F.array_distinct(F.concat(stars, steps))).alias("e")).select("view", "e.x", "e.y").distinct()
+    first = held.select("view", F.col("fp").alias("x"), F.col("rep").alias("a"))
+    second = held.select("view", F.col("fp").alias("y"), F.col("rep").alias("b"))
+    near = linked.join(first, ["view", "x"]).join(second, ["view", "y"]).select("a", "b")
+    pairs = near.unionByName(equal).where("a <> b")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, least: float = 0.8, views: int = 5) -> DataFrame:
+    """One row of every group of near copies: of the rows with the group's least ``doc_id`` (null counts as
+    largest) the one with the least row hash; equal rows collapse to one.
+
+    Fingerprints of distinct words propose pairs by ball hashing in several views; a pair
+    is a link if the sets of its ``shingle``-word shingles have a Jaccard similarity of at
+    least ``least``; groups are the components of links.  Exact copies are one text."""
+    own = [f"`{c}`" for c in docs.columns]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            made = pa.array([word_views(t.as_py(), views) for t in b.column("text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", "row", "text_key")), made], ["doc_id", "row", "text_key", "views"])
+
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    marked = docs.select("doc_id", F.xxhash64(*own).alias("row"), key.alias("text_key"), "text")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    marked, _ = stage(spark, marked.mapInArrow(run, f"doc_id {id_type}, row bigint, text_key bigint, views array<bigint>"), "marked")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")).alias("first")
+    texts, _ = stage(spark, marked.groupBy("text_key").agg(first, F.first("views").alias("views")), "texts")
+    pairs, _ = stage(spark, candidates(spark, texts), "pairs")
+    wanted = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct()
+    cut = docs.select(key.alias("text_key"), "text").join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
+    cut, _ = stage(spark, cut.select("text_key", shingle_set(F.coalesce("text", F.lit("")), shingle).alias("s")), "shingles")
+    met = pairs.join(cut.select(F.col("text_key").alias("a"), F.col("s").alias("sa")), "a").join(cut.select(F.col("text_key").alias("b"), F.col("s").alias("sb")), "b")
+    same = F.size(F.array_intersect("sa", "sb"))
+    links_ = met.where(same >= least * (F.size("sa") + F.size("sb") - same) - 1e-9).select("a", "b")
+    parts = connected_components(spark, links_)
+    placed = texts.select("text_key", "first").join(parts, F.col("text_key") == F.col("node"), "left")
+    winners = placed.groupBy(F.coalesce("component", "text_key").alias("root")).agg(F.min("first").alias("w")).select("w.id", "w.row")
     winners, _ = stage(spark, winners, "winners")
-    same = (kept["__fp"] == winners["__fp"]) & kept["doc_id"].eqNullSafe(winners["id"]) & (F.xxhash64(*(kept[c] for c in own)) == winners["row"])
-    return kept.join(winners, same, "left_semi").select(*fields).distinct()
+    rows = docs.withColumn("__row", F.xxhash64(*own))
+    same_row = (rows["__row"] == winners["row"]) & rows["doc_id"].eqNullSafe(winners["id"])
+    # Only winners can repeat: equal rows.
+    return rows.join(winners, same_row, "left_semi").drop("__row").dropDuplicates()
+
+
+def shingle_set(text: Column, k: int) -> Column:
+    """Distinct hashed ``k``-word shingles of a non-null text (A-Z lower-cased; fewer words: the whole sequence)."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(lower, SPACE), lambda w: w != "")
+
+    def cut(ws: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i: F.xxhash64(*(F.get(ws, i + j) for j in range(k))))
+        return F.array_distinct(F.when(F.size(ws) >= k, runs).otherwise(F.array(F.xxhash64(F.array_join(ws, " ")))))
+
+    return let(words, cut)
