@@ -137,3 +137,21 @@ def safe_to_delete(deleted: DataFrame, active: DataFrame) -> DataFrame:
     """Deleted entries with ``safe``: every active worker's epoch is beyond theirs.  One minimum decides for all."""
     least = active.agg(F.min("epoch").alias("__least"))
     return deleted.crossJoin(F.broadcast(least)).withColumn("safe", F.col("__least").isNull() | (F.col("__least") > F.col("epoch"))).drop("__least")
+
+
+def epoch_histograms(stream: DataFrame, key: str, epoch: str, epochs: int) -> DataFrame:
+    """(epoch, bucket, keys): the running histogram after each epoch's update.
+
+    At an epoch's end every used key's aged counter is put into its bucket, after all buckets
+    have moved down by one.  So a key of bucket b counts in bucket b - d of the d-th
+    epoch after it, for d = 0 .. b: at most sixteen rows a key, and no loop over epochs."""
+    per = stream.where(F.col(epoch) < epochs).groupBy(key, epoch).agg(F.count("*").alias("n"))
+    by_key = per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(epoch, "n"))).alias("m"))
+    used = F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: F.coalesce(F.element_at("m", e.cast("bigint")), F.lit(0).cast("bigint")))
+    start = F.array(F.lit(0).cast("bigint"))
+    counters = F.aggregate(used, start, lambda s, c: F.concat(s, F.array(F.shiftright(F.element_at(s, -1), 1) + c)))
+    rows = by_key.select(F.posexplode(F.slice(F.arrays_zip(counters.alias("c"), F.concat(start, used).alias("u")), 2, epochs)).alias("e", "x"))
+    seen = rows.where("x.u > 0").select("e", log2_bucket(F.col("x.c"), TOP_BUCKET).alias("b"))
+    moved = seen.groupBy("e", "b").agg(F.count("*").alias("k")).select("e", "b", "k", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("d"))
+    moved = moved.select((F.col("e") + F.col("d")).cast("bigint").alias("epoch"), (F.col("b") - F.col("d")).alias("bucket"), "k").where(F.col("epoch") < epochs)
+    return moved.groupBy("epoch", "bucket").agg(F.sum("k").alias("keys"))

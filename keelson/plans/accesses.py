@@ -295,3 +295,8 @@ def sieve_simulation(spark, sf_dir):
 @register("lru_simulation")
 def lru_simulation(spark, sf_dir):
     return simulate.simulate(access_sequence(spark, sf_dir), "rec", "seq", "lru", 10, 8)
+
+
+@register("epoch_histograms", f"{SEQ}, e AS (SELECT p.page_id, r.epoch, count(a.seq) AS n FROM (SELECT DISTINCT page_id FROM acc_seq WHERE epoch < 6) p CROSS JOIN range(0, 6) r(epoch) LEFT JOIN acc_seq a ON a.page_id = p.page_id AND a.epoch = r.epoch GROUP BY ALL), l AS (SELECT page_id, list(n ORDER BY epoch) AS ns FROM e GROUP BY 1), c AS (SELECT i AS epoch, ns[i + 1] AS n, list_reduce(ns[1:i + 1], lambda s, x: s // 2 + x) AS c FROM l, range(0, 6) r(i)), b AS (SELECT epoch, {LOG2.format('c')} AS b FROM c WHERE n > 0) SELECT r.i AS epoch, CAST(b - (r.i - epoch) AS INTEGER) AS bucket, count(*) AS keys FROM b JOIN range(0, 6) r(i) ON r.i >= epoch AND b - (r.i - epoch) >= 0 GROUP BY 1, 2")
+def epoch_histograms(spark, sf_dir):
+    return access.epoch_histograms(access_sequence(spark, sf_dir), "page_id", "epoch", 6)

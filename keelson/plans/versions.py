@@ -137,3 +137,38 @@ def graveyard_fallback(spark, sf_dir):
     keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
     state = F.when(F.col("side").isNull(), "not_found").when(F.col("side") == "graveyard", "removed").otherwise("found")
     return keys.join(seen, F.col("k") == F.col("c_custkey"), "left").select("c_custkey", state.alias("state"))
+
+
+@register("log_replay", f"{WITH}, l AS (SELECT k, op, v, row_number() OVER (PARTITION BY k ORDER BY command_id DESC) AS rn FROM tx WHERE commit_ts IS NOT NULL) SELECT k, v FROM l WHERE rn = 1 AND op <> 'D'")
+def log_replay(spark, sf_dir):
+    """Recovery: committed log records applied in log order."""
+    done = transactions(spark, sf_dir).where("commit_ts IS NOT NULL").withColumn("commit_ts", F.col("command_id"))
+    return VersionLog(done, ["k"], ["v"]).snapshot(level="rc")
+
+
+@register("log_records", f"{WITH} SELECT worker, op, count(*) AS records, count(commit_ts) AS committed FROM tx GROUP BY 1, 2")
+def log_records(spark, sf_dir):
+    return transactions(spark, sf_dir).groupBy("worker", "op").agg(F.count("*").alias("records"), F.count("commit_ts").alias("committed"))
+
+
+@register("history_lookup", f"{WITH} SELECT worker, start_ts, command_id, op, v FROM tx WHERE worker = 3 AND start_ts BETWEEN 100 AND 400")
+def history_lookup(spark, sf_dir):
+    """Versions of one worker in a range of transactions."""
+    return transactions(spark, sf_dir).where("worker = 3 AND start_ts BETWEEN 100 AND 400").select("worker", "start_ts", "command_id", "op", "v")
+
+
+@register("update_diffs", f"{WITH}, d AS (SELECT k, command_id, v AS new_value, lag(v) OVER (PARTITION BY k ORDER BY command_id) AS old_value FROM tx) SELECT * FROM d WHERE old_value IS NOT NULL AND old_value <> new_value")
+def update_diffs(spark, sf_dir):
+    """Before and after images of every update that changes its row."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("k").orderBy("command_id")
+    rows = transactions(spark, sf_dir).select("k", "command_id", F.col("v").alias("new_value"), F.lag("v").over(w).alias("old_value"))
+    return rows.where("old_value IS NOT NULL AND old_value <> new_value")
+
+
+@register("bulk_visible", "SELECT count(*) AS n FROM orders")
+def bulk_visible(spark, sf_dir):
+    """Bulk-loaded rows carry timestamp 0 and are visible to every snapshot."""
+    base = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS k", "o_totalprice AS v", "'I' AS op", "0L AS start_ts", "0L AS commit_ts", "0 AS worker", "o_orderkey AS command_id")
+    return VersionLog(base, ["k"], ["v"]).snapshot(1).agg(F.count("*").alias("n"))
