@@ -25,11 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Tables that this process has staged and not released.
+STAGED: list[str] = []
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and
     an executor lost later costs no recomputation."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -38,6 +43,14 @@ def release(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in STAGED:
+        STAGED.remove(path)
+
+
+def release_all(spark: SparkSession, *keep: str) -> None:
+    """Delete every staged table but ``keep``; for callers whose results are written."""
+    for path in [p for p in STAGED if p not in keep]:
+        release(spark, path)
 
 
 def worker_cache(name: str, make: Callable):
