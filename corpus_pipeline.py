@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm import bpe, quality_rules, secret_scan, simhash_dedup
 from keelson.llm.decontaminate import contaminated_texts
-from keelson.llm.shared import stage
+from keelson.llm.shared import STAGED, release_all, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -63,6 +63,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = tuple(STAGED)
     for name, step in STAGES[:-1]:
-        docs, _ = stage(spark, step(spark, docs, sf_dir), name)
+        docs, path = stage(spark, step(spark, docs, sf_dir), name)
+        release_all(spark, path, *others)  # what the stage has staged on its way, and its input
     return STAGES[-1][1](spark, docs, sf_dir)
