@@ -221,6 +221,20 @@ def shifted(df: DataFrame, key: str, groups: int = 1024) -> DataFrame:
     return out.withColumns({"next_key": F.coalesce("next_key", "__next"), "prev_key": F.coalesce("prev_key", "__prev")}).drop("__g", "__next", "__prev")
 
 
+def beside(df: DataFrame, keys: Sequence[str], order: str, tie: str, groups: int = 64) -> DataFrame:
+    """``df`` with ``prev_value`` and ``next_value``: ``order`` of the rows before and after within the key.
+
+    A key's rows are sorted in up to ``groups`` ranges of ``order``, each a group of its own, and one
+    row a range hands its edges on; so a key with a third of all rows is no single task."""
+    ranged, *_ = _ranges(df, order, groups)
+    edges = ranged.groupBy(*keys, "__g").agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
+    w = Window.partitionBy(*keys).orderBy("__g")
+    edges = edges.select(*keys, "__g", F.lead("__lo").over(w).alias("__next"), F.lag("__hi").over(w).alias("__prev"))
+    inside = Window.partitionBy(*keys, "__g").orderBy(order, tie)
+    out = ranged.withColumns({"prev_value": F.lag(order).over(inside), "next_value": F.lead(order).over(inside)}).join(edges, [*keys, "__g"])
+    return out.withColumns({"prev_value": F.coalesce("prev_value", "__prev"), "next_value": F.coalesce("next_value", "__next")}).drop("__g", "__next", "__prev")
+
+
 def moved(keys: DataFrame, values: DataFrame, hot: DataFrame, key: str, tid: str) -> tuple[DataFrame, DataFrame]:
     """Key and value tables of a non-clustered relation after ``hot`` keys went to new tuple ids at the end."""
     top = values.agg(F.max(tid).alias("__top"))

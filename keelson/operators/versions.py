@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.operators.keyed import beside
+
 LEVELS = ("ru", "rc", "si")
 
 
@@ -52,12 +54,10 @@ class VersionLog:
     def conflicts(self) -> DataFrame:
         """Writes of one key whose (start, commit) intervals overlap: the earlier commit wins.
 
-        A write loses iff an earlier-committing write of its key commits after it starts;
-        the latest such commit is a running maximum, so no pairs are formed."""
-        done = self.log.where("commit_ts IS NOT NULL")
-        w = Window.partitionBy(*self.keys).orderBy("commit_ts", "command_id").rowsBetween(Window.unboundedPreceding, -1)
-        marked = done.withColumn("__prior", F.max("commit_ts").over(w))
-        return marked.where(F.col("__prior") > F.col("start_ts")).select(*self.keys, "command_id", "start_ts", "commit_ts", F.col("__prior").alias("blocked_by_ts"))
+        A write loses iff one of its key that commits earlier commits after it starts; the
+        latest such commit is the one just before its own, so no pairs are formed."""
+        done = beside(self.log.where("commit_ts IS NOT NULL"), self.keys, "commit_ts", "command_id")
+        return done.where(F.col("prev_value") > F.col("start_ts")).select(*self.keys, "command_id", "start_ts", "commit_ts", F.col("prev_value").alias("blocked_by_ts"))
 
     def chain_length(self, ts: int) -> DataFrame:
         """Versions a reader at ``ts`` walks: the invisible newer ones and the one it gets."""
@@ -66,9 +66,8 @@ class VersionLog:
 
     def purge(self, low_water: int) -> DataFrame:
         """The log without versions superseded before ``low_water`` (no reader can need them)."""
-        w = Window.partitionBy(*self.keys).orderBy("commit_ts", "command_id")
-        follows = self.log.where("commit_ts IS NOT NULL").withColumn("__next", F.lead("commit_ts").over(w))
-        return follows.where(F.col("__next").isNull() | (F.col("__next") >= low_water)).drop("__next")
+        follows = beside(self.log.where("commit_ts IS NOT NULL"), self.keys, "commit_ts", "command_id")
+        return follows.where(F.col("next_value").isNull() | (F.col("next_value") >= low_water)).drop("prev_value", "next_value")
 
     def classify_tombstones(self, oltp_low: int, olap_low: int) -> DataFrame:
         """Latest-version deletes: drop (no reader), graveyard (only OLAP readers), keep."""
