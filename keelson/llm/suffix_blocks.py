@@ -10,11 +10,15 @@ anchor form a *run*; a run carries the bytes that its windows cover.
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 import zstandard
 
 #: Positions handled at a time: bounds the temporary arrays, whatever a text's length.
 CHUNK = 1 << 18
 
+#: Runs of one anchor key, over all blocks, beyond which its windows are dealt out one by one.
+HOT_RUNS = 50_000
+
 
 def piece_bytes(length: int) -> int:
     """Bytes of an anchor piece: short enough that anchors are rare, with at most 64 offsets in a window."""
@@ -113,9 +117,12 @@ class Block:
 
 
 def request(block: Block, length: int, buckets: int) -> list[tuple[int, bytes]]:
-    """(bucket, its sorted distinct 32-bit keys) of a block."""
+    """(bucket, its sorted distinct 32-bit keys with the number of runs of each, at most 65535) of a block."""
     *_, key = block.seeds(length, buckets)
-    return _by_bucket(np.unique(key), lambda part: pack(part.astype(np.uint32)))
+    keys, count = np.unique(key, return_counts=True)
+    few = np.minimum(count, 65535).astype(np.uint16)
+    bucket = (keys >> np.uint64(32)).astype(np.int64)
+    return [(int(bucket[a]), pack(keys[a:b].astype(np.uint32), few[a:b])) for a, b in segments(bucket)]
 
 
 def segments(values: np.ndarray) -> list[tuple[int, int]]:
@@ -124,29 +131,24 @@ def segments(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], len(values)], strict=False))
 
 
-def _by_bucket(key: np.ndarray, make) -> list[tuple[int, bytes]]:
-    bucket = (key >> np.uint64(32)).astype(np.int64)
-    return [(int(bucket[a]), make(key[a:b])) for a, b in segments(bucket)]
-
-
 def answer(blobs: list[bytes]) -> list[bytes]:
-    """For each block's keys of one bucket, one bit each: another block has it too."""
-    lists = [unpack(b, np.uint32)[0] for b in blobs]
-    keys, count = np.unique(np.concatenate(lists), return_counts=True)
-    again = keys[count > 1]
-    found = []
-    for x in lists:
-        at = np.searchsorted(again, x)
-        hit = (at < len(again)) & (again[np.minimum(at, len(again) - 1)] == x) if len(again) else np.zeros(len(x), bool)
-        found.append(np.packbits(hit).tobytes())
-    return found
+    """For each block's keys of one bucket, two bits each: another block has it too; it is hot."""
+    lists = [unpack(b, np.uint32, np.uint16) for b in blobs]
+    every = np.concatenate([x[0] for x in lists])
+    keys, row, blocks = np.unique(every, return_inverse=True, return_counts=True)
+    total = np.bincount(row, weights=np.concatenate([x[1] for x in lists]), minlength=len(keys))
+    again, hot = (blocks > 1)[row], (total > HOT_RUNS)[row]
+    cuts = np.cumsum([0, *(len(x[0]) for x in lists)])
+    return [np.packbits(np.concatenate((again[a:b], hot[a:b]))).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def offers(block: Block, answers: dict[int, bytes], length: int, buckets: int) -> tuple[list[tuple[int, bytes]], bytes | None]:
     """(bucket, runs of it that may repeat), and the spans that repeat within the block already.
 
     Of equal runs of a block only those of its least document travel on: whatever the
-    others' fate elsewhere, that document makes them removable."""
+    others' fate elsewhere, that document makes them removable.  Runs of a hot key are
+    cut into their windows first, each of which has the bucket of its own hash: so an anchor
+    that very many different passages share is no single bucket, and equal windows still meet."""
     start, size, anchor, doc, key = block.seeds(length, buckets)
     keys, row = np.unique(key, return_inverse=True)
     if not len(keys):
@@ -156,9 +158,22 @@ def offers(block: Block, answers: dict[int, bytes], length: int, buckets: int) -
     lo, hi = doc[order][heads], doc[order][np.append(heads[1:], len(order)) - 1]
     again = lo < hi
     bucket = (keys >> np.uint64(32)).astype(np.int64)
+    hot = np.zeros(len(keys), bool)
     for a, b in segments(bucket):
-        again[a:b] |= np.unpackbits(np.frombuffer(answers[int(bucket[a])], np.uint8), count=b - a).astype(bool)
+        bits = np.unpackbits(np.frombuffer(answers[int(bucket[a])], np.uint8), count=2 * (b - a)).astype(bool)
+        again[a:b] |= bits[: b - a]
+        hot[a:b] = bits[b - a :]
     chosen = np.flatnonzero(again[row])
+    start, size, anchor, doc = (v[chosen] for v in (start, size, anchor, doc))
+    home, warm = bucket[row[chosen]], hot[row[chosen]]
+    if warm.any():
+        n = np.where(warm, size, 1)
+        each = np.repeat(np.arange(len(start)), n)
+        step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+        start, size, anchor, doc, home, warm = start[each] + step, np.where(warm, 1, size)[each], anchor[each], doc[each], home[each], warm[each]
+        for k in np.flatnonzero(warm).tolist():
+            home[k] = xxhash.xxh64_intdigest(block.data[start[k] : start[k] + length]) % buckets
+    chosen = np.arange(len(start))
     data, ids = block.data, block.ids
     stop = start + size + length - 1
     texts = [data[a:b] for a, b in zip(start[chosen].tolist(), stop[chosen].tolist(), strict=True)]
@@ -172,10 +187,10 @@ def offers(block: Block, answers: dict[int, bytes], length: int, buckets: int) -
     local = pack((doc[gone]).astype(np.int32), (start - block.starts[doc])[gone], (stop - block.starts[doc])[gone]) if len(gone) else None
     kept = chosen[first]
     texts = [t for t, f in zip(texts, first.tolist(), strict=True) if f]
-    order = np.argsort(key[kept], kind="stable")
+    order = np.argsort(home[kept], kind="stable")
     kept, texts = kept[order], [texts[k] for k in order.tolist()]
     out = []
-    where = (key[kept] >> np.uint64(32)).astype(np.int64)
+    where = home[kept]
     for a, b in segments(where):
         k = kept[a:b]
         d = doc[k]

@@ -10,15 +10,16 @@ position in eighteen where a difference cover modulo 32 takes one in five.
 
 1. Documents are dealt into small blocks by a hash of their row.  That exchange is used
    by all later steps.
-2. Each block asks every bucket of anchor hashes for its keys (4 bytes a key); the
-   bucket answers one bit a key: whether another block has it.
+2. Each block asks every bucket of anchor hashes for its keys (six bytes a key); the
+   bucket answers two bits a key: whether another block has it, and whether it is hot.
 3. Each block offers the runs of repeating anchors, with their bytes, to the buckets.
    Equal runs of a block collapse to those of its least document.
 4. Each bucket ranks its anchors' contexts, names each suffix and finds those that
    start in a smaller document; blocks get the spans back and cut their documents.
 
 A task holds one block or one bucket.  Blocks and buckets grow in number with the
-input; a passage that many documents share costs its bucket one run a block.
+input; a passage that many documents share costs its bucket one run a block, and an
+anchor in very many different passages is dealt out by window.
 
 Defined results: null text counts as empty; a row with a null ``doc_id`` is neither
 smaller nor larger than another, so it keeps all its bytes and removes none; rows

@@ -417,6 +417,48 @@ def brute_removal(rows, length=50):
     return out
 
 
+def test_hot_anchors_are_dealt_out_by_window(documents):
+    """The local steps chained by hand, with every repeated anchor hot."""
+    from keelson.llm import suffix_blocks as S
+
+    rows = table(documents)[:60] + [(5000 + k, f"{k} the very same passage of some seventy bytes that is in many of the texts {k % 3}") for k in range(20)]
+    rows = [(i, t or "") for i, t in rows]
+    parts = [S.Block([i for i, _ in rows[k::4]], [t.encode() for _, t in rows[k::4]]) for k in range(4)]
+    want = {(i, n, g, s) for i, n, g, s, _ in brute_removal(rows)}
+    for limit in (0, 10**9):
+        S.HOT_RUNS, before = limit, S.HOT_RUNS
+        asked = [dict(S.request(p, 50, 5)) for p in parts]
+        replies = [{} for _ in parts]
+        for b in range(5):
+            on = [k for k in range(4) if b in asked[k]]
+            for k, x in zip(on, S.answer([asked[k][b] for k in on]) if on else [], strict=True):
+                replies[k][b] = x
+        S.HOT_RUNS = before
+        offered = [S.offers(p, replies[k], 50, 5) for k, p in enumerate(parts)]
+        spans = defaultdict(list)
+        for k, (_, local) in enumerate(offered):
+            if local is not None:
+                spans[k].append(local)
+        for b in range(5):
+            on = [(k, x) for k, (out, _) in enumerate(offered) for c, x in out if c == b]
+            for (k, _), x in zip(on, S.settle([x for _, x in on], 50) if on else [], strict=True):
+                if x is not None:
+                    spans[k].append(x)
+        got = set()
+        for k, p in enumerate(parts):
+            gone = defaultdict(list)
+            for x in spans[k]:
+                for d, a, e in zip(*(v.tolist() for v in S.unpack(x, "i4", "i8", "i8")), strict=True):
+                    gone[d].append((a, e))
+            for d, i in enumerate(p.ids.tolist()):
+                n = int(p.ends[d] - p.starts[d])
+                mask = bytearray(n)
+                for a, e in gone[d]:
+                    mask[a:e] = b"\1" * (e - a)
+                got.add((i, n, sum(mask), len(re.findall(b"\1+", bytes(mask)))))
+        assert got == want
+
+
 def test_suffix_removal(spark, both):
     copy = "0123456789" * 4 + "é" * 5
     more = [(2001, copy + "A" + copy), (2000, "x" + copy + "y"), (2002, "z" * 130), (1999, "z" * 55), (2003, "ab" * 60), (1998, "ba" * 40), (2001, "q" + copy)]
