@@ -7,8 +7,10 @@ mutations return a new table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,17 +166,23 @@ class KeyedTable:
 # Order across the whole table without a single task: ranges of keys, and one row a range.
 
 
-def _ranges(df: DataFrame, key: str, groups: int = 1024) -> tuple[DataFrame, float, float]:
-    lo, hi = df.agg(F.min(key).cast("double"), F.max(key).cast("double")).first()
-    lo = 0.0 if lo is None else lo
-    width = max(((hi or 0.0) - lo) / groups, 1e-9)
-    return df.withColumn("__g", F.floor((F.col(key).cast("double") - lo) / width).cast("int")), lo, width
+def _ranges(df: DataFrame, key: str, groups: int = 1024) -> DataFrame:
+    """``df`` with ``__g``: which of at most ``groups`` ranges of ``key``, of about equal numbers of rows, a row is in."""
+    value = F.col(key).cast("double")
+    points = [k / groups for k in range(1, groups)]
+    found = df.agg(F.percentile_approx(value, F.array(*map(F.lit, points)), 10_000).alias("q")).first()["q"]
+    cuts = sorted(set(found or []))
+    splits = [-math.inf, *cuts, math.inf]
+    if len(splits) < 3:
+        return df.withColumn("__g", F.lit(0))
+    held = Bucketizer(splits=splits, inputCol="__v", outputCol="__b", handleInvalid="keep").transform(df.withColumn("__v", value))
+    return held.withColumn("__g", F.col("__b").cast("int")).drop("__v", "__b")
 
 
 def global_rank(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with ``rank`` from 1 in the given order: ranks inside ranges of the first column,
     plus the number of rows in earlier ranges (a table of at most about a thousand rows)."""
-    ranged, *_ = _ranges(df, order[0])
+    ranged = _ranges(df, order[0])
     sizes = ranged.groupBy("__g").agg(F.count("*").alias("__n"))
     before = sizes.select("__g", F.coalesce(F.sum("__n").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = ranged.withColumn("rank", F.row_number().over(Window.partitionBy("__g").orderBy(*order)))
@@ -182,12 +190,13 @@ def global_rank(df: DataFrame, *order: str) -> DataFrame:
 
 
 def _probe(table: KeyedTable, probes: DataFrame, probe: str, keep: Sequence[str], up: bool) -> DataFrame:
+    """Distinct probe values are placed among the keys, so that a frequent probe is one row, and joined back."""
     key = table.keys[0]
     entry = F.struct(F.col(key).alias("k"), *(F.col(c) for c in keep))
-    rows = table.df.select(F.col(key).alias("__at"), entry.alias("__e"), *(F.lit(None).cast(t).alias(c) for c, t in probes.dtypes), F.lit(0 if not up else 1).alias("__o"))
-    asks = probes.select(F.col(probe).alias("__at"), F.lit(None).cast(rows.schema["__e"].dataType).alias("__e"), *probes.columns, F.lit(1 if not up else 0).alias("__o"))
-    rows, asks = rows.withColumn("__ask", F.lit(False)), asks.withColumn("__ask", F.lit(True))
-    ranged, *_ = _ranges(rows.unionByName(asks), "__at")
+    rows = table.df.select(F.col(key).alias("__at"), entry.alias("__e"), F.lit(0 if not up else 1).alias("__o"), F.lit(False).alias("__ask"))
+    asks = probes.select(F.col(probe).alias("__at")).where("__at IS NOT NULL").distinct()
+    asks = asks.select("__at", F.lit(None).cast(rows.schema["__e"].dataType).alias("__e"), F.lit(1 if not up else 0).alias("__o"), F.lit(True).alias("__ask"))
+    ranged = _ranges(rows.unionByName(asks), "__at")
     direction = (F.col("__at").desc(), F.col("__o").desc()) if up else (F.col("__at"), F.col("__o"))
     w = Window.partitionBy("__g").orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
     inside = ranged.withColumn("__near", F.last("__e", ignorenulls=True).over(w)).where("__ask")
@@ -196,7 +205,8 @@ def _probe(table: KeyedTable, probes: DataFrame, probe: str, keep: Sequence[str]
     cells = inside.select("__g").distinct().join(edge, "__g", "full")
     order = F.col("__g").desc() if up else F.col("__g")
     passed = cells.select("__g", F.last("__edge", ignorenulls=True).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)).alias("__passed"))
-    joined = inside.join(F.broadcast(passed), "__g", "left").withColumn("__m", F.coalesce("__near", "__passed"))
+    placed = inside.join(F.broadcast(passed), "__g", "left").select("__at", F.coalesce("__near", "__passed").alias("__m"))
+    joined = probes.join(placed, F.col(probe) == F.col("__at"), "left")
     return joined.select(*probes.columns, F.col("__m.k").alias(key), *(F.col(f"__m.{c}").alias(c) for c in keep))
 
 
@@ -212,7 +222,7 @@ def ceiling(table: KeyedTable, probes: DataFrame, probe: str, keep: Sequence[str
 
 def shifted(df: DataFrame, key: str, groups: int = 1024) -> DataFrame:
     """``df`` with ``next_key`` and ``prev_key``; ranges hand their edges to each other."""
-    ranged, *_ = _ranges(df, key, groups)
+    ranged = _ranges(df, key, groups)
     edges = ranged.groupBy("__g").agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
     w = Window.orderBy("__g")
     edges = edges.select("__g", F.lead("__lo").over(w).alias("__next"), F.lag("__hi").over(w).alias("__prev"))
@@ -226,7 +236,7 @@ def beside(df: DataFrame, keys: Sequence[str], order: str, tie: str, groups: int
 
     A key's rows are sorted in up to ``groups`` ranges of ``order``, each a group of its own, and one
     row a range hands its edges on; so a key with a third of all rows is no single task."""
-    ranged, *_ = _ranges(df, order, groups)
+    ranged = _ranges(df, order, groups)
     edges = ranged.groupBy(*keys, "__g").agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
     w = Window.partitionBy(*keys).orderBy("__g")
     edges = edges.select(*keys, "__g", F.lead("__lo").over(w).alias("__next"), F.lag("__hi").over(w).alias("__prev"))

@@ -119,6 +119,13 @@ def test_probes_at_edges_and_gaps(spark):
     assert values(ceiling(t, probes, "p"), "p", "k") == [(5, 10), (10, 10), (15, 20), (400, 500), (900, None)]
 
 
+def test_probes_take_nulls_repeats_and_skewed_keys(spark):
+    keys = [*range(100), 10**12, 10**15]
+    t = KeyedTable(spark.createDataFrame([(k,) for k in keys], "k bigint"), ["k"])
+    probes = spark.createDataFrame([(None,), (50,), (50,), (10**13,), (10**16,), (-1,)], "p bigint")
+    assert values(floor(t, probes, "p"), "p", "k") == [(None, None), (-1, None), (50, 50), (50, 50), (10**13, 10**12), (10**16, 10**15)]
+
+
 def test_scans_take_tuple_order(spark):
     t = KeyedTable(spark.createDataFrame([(a, b) for a in range(3) for b in range(3)], "a int, b int"), ["a", "b"])
     assert [tuple(r) for r in t.scan_asc(1, 1).collect()] == [(1, 1), (1, 2), (2, 0), (2, 1), (2, 2)]
