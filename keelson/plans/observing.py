@@ -36,7 +36,7 @@ def latency_hist(spark, sf_dir):
 
 
 def interpolated(p: float) -> str:
-    return f"SELECT {p} AS p, round(low + (high - low) * (target - (upto - n)) / n, 4) AS us FROM (SELECT *, list_extract([0] || {BOUNDS} || [2000000], bucket + 1) AS low, list_extract([0] || {BOUNDS} || [2000000], bucket + 2) AS high FROM (SELECT bucket, n, sum(n) OVER (ORDER BY bucket) AS upto, ceil({p}::DOUBLE * sum(n) OVER ()) AS target FROM hist) WHERE upto >= target ORDER BY bucket LIMIT 1)"
+    return f"SELECT {p}::DOUBLE AS p, round(low + (high - low) * (target - (upto - n)) / n, 4) AS us FROM (SELECT *, list_extract([0] || {BOUNDS} || [2000000], bucket + 1) AS low, list_extract([0] || {BOUNDS} || [2000000], bucket + 2) AS high FROM (SELECT bucket, n, sum(n) OVER (ORDER BY bucket) AS upto, ceil({p}::DOUBLE * sum(n) OVER ()) AS target FROM hist) WHERE upto >= target ORDER BY bucket LIMIT 1)"
 
 
 @register("latency_pct_interp", HIST + " " + " UNION ALL ".join(interpolated(p) for p in (0.5, 0.95, 0.99)))

@@ -16,8 +16,13 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream.  Its timestamps carry no zone: they are read as the session's time."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    parent, name = path.rsplit("/", 1)
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(parent)
+    source = spark.readStream.schema(schema)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory():
+        stream = source.parquet(path)
+    else:  # a stream reads folders: take the one file of its folder
+        parent, name = path.rsplit("/", 1)
+        stream = source.option("pathGlobFilter", name).parquet(parent)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
