@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,17 @@ def other_than(own: Column, u: Column) -> Column:
     return F.when(u >= own, u + 1).otherwise(u)
 
 
+def perturbed(params: dict[str, float], bounds: dict[str, tuple[float, float, float]], seed: int, spread: float = 0.3) -> dict[str, float]:
+    """A neighbour of a parameter setting: each value times a random factor, clamped to (least, most) and rounded to a step."""
+    rng = random.Random(seed)
+    out = {}
+    for name in sorted(params):
+        least, most, step = bounds[name]
+        value = min(most, max(least, params[name] * (1 + rng.uniform(-spread, spread))))
+        out[name] = min(most, max(least, round(value / step) * step))
+    return out
+
+
 def _times(z: Column, constant: int) -> Column:
     """Product modulo 2^64 of an unsigned DECIMAL(20,0) and a constant, in exact 32-bit halves."""
     half, whole = F.expr("CAST(4294967296 AS DECIMAL(20,0))"), F.expr("CAST(18446744073709551616 AS DECIMAL(21,0))")

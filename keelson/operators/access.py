@@ -90,12 +90,12 @@ def first_crossing(stream: DataFrame, key: str, epoch: str, order: str, threshol
     return stream.withColumn("nth", F.row_number().over(w)).where(F.col("nth") == threshold).select(epoch, key, F.col(order).alias("admit_seq"))
 
 
-def slot_counts(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("page_id", "slot_id").agg(F.count("*").alias("n"))
+def slot_counts(stream: DataFrame, group: list[str] | None = None) -> DataFrame:
+    return stream.groupBy(*(group or []), "page_id", "slot_id").agg(F.count("*").alias("n"))
 
 
-def promotion(slots: DataFrame, threshold: int, full_page_visits: int, slots_per_page: int, scan_mode: bool = False) -> DataFrame:
-    """Decision for every page from its slot counts, first rule that holds:
+def promotion(slots: DataFrame, threshold: int, full_page_visits: int, slots_per_page: int, scan_mode: bool = False, group: list[str] | None = None) -> DataFrame:
+    """Decision for every page (of every ``group``, such as an epoch, at whose end candidates are cleared) from its slot counts, first rule that holds:
 
     hot_records  a slot reaches the threshold (not in scan mode): these slots
     full_visits  enough visits and no skewed slot: the page
@@ -103,7 +103,7 @@ def promotion(slots: DataFrame, threshold: int, full_page_visits: int, slots_per
     skew         a slot holds over a tenth of the visits: these slots
     full_scan    in scan mode: the page; otherwise none
     """
-    page = slots.groupBy("page_id").agg(
+    page = slots.groupBy(*(group or []), "page_id").agg(
         F.sum("n").alias("visits"), F.count("*").alias("n_slots"), F.max("n").alias("top"), F.sort_array(F.collect_list(F.struct("slot_id", "n"))).alias("s")
     )
     skew_at = F.greatest(F.lit(1), F.ceil(F.col("visits") * SKEW_RATIO))
@@ -119,7 +119,7 @@ def promotion(slots: DataFrame, threshold: int, full_page_visits: int, slots_per
     chosen = F.when(F.col("rule").startswith("full"), F.lit(slots_per_page)).otherwise(F.size(F.filter("s", lambda x: x["n"] >= least)))
     chosen = F.when(F.col("rule") == "none", F.lit(0)).otherwise(chosen)
     done = F.col("rule").startswith("full") | ((F.col("rule") == "skew") & (chosen == F.col("n_slots")))
-    return page.select("page_id", "visits", "n_slots", "skew_at", "rule", chosen.cast("bigint").alias("promoted"), done.alias("leaves_candidates"))
+    return page.select(*(group or []), "page_id", "visits", "n_slots", "skew_at", "rule", chosen.cast("bigint").alias("promoted"), done.alias("leaves_candidates"))
 
 
 def harmonic(spark, n: int, theta: float) -> DataFrame:

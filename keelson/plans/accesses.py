@@ -300,3 +300,31 @@ def lru_simulation(spark, sf_dir):
 @register("epoch_histograms", f"{SEQ}, e AS (SELECT p.page_id, r.epoch, count(a.seq) AS n FROM (SELECT DISTINCT page_id FROM acc_seq WHERE epoch < 6) p CROSS JOIN range(0, 6) r(epoch) LEFT JOIN acc_seq a ON a.page_id = p.page_id AND a.epoch = r.epoch GROUP BY ALL), l AS (SELECT page_id, list(n ORDER BY epoch) AS ns FROM e GROUP BY 1), c AS (SELECT i AS epoch, ns[i + 1] AS n, list_reduce(ns[1:i + 1], lambda s, x: s // 2 + x) AS c FROM l, range(0, 6) r(i)), b AS (SELECT epoch, {LOG2.format('c')} AS b FROM c WHERE n > 0) SELECT r.i AS epoch, CAST(b - (r.i - epoch) AS INTEGER) AS bucket, count(*) AS keys FROM b JOIN range(0, 6) r(i) ON r.i >= epoch AND b - (r.i - epoch) >= 0 GROUP BY 1, 2")
 def epoch_histograms(spark, sf_dir):
     return access.epoch_histograms(access_sequence(spark, sf_dir), "page_id", "epoch", 6)
+
+
+def _by_epoch(sql: str) -> str:
+    """The rules' SQL with the epoch as one more key."""
+    sql = sql.replace(ACC, SEQ).replace("FROM acc GROUP BY 1, 2", "FROM acc_seq GROUP BY 1, 2, 3").replace("s AS (SELECT page_id", "s AS (SELECT epoch, page_id")
+    sql = sql.replace("p AS (SELECT page_id", "p AS (SELECT epoch, page_id").replace("AS skew_at FROM s GROUP BY 1)", "AS skew_at FROM s GROUP BY 1, 2)")
+    sql = sql.replace("c AS (SELECT r.page_id", "c AS (SELECT r.epoch, r.page_id").replace("JOIN s USING (page_id) GROUP BY 1)", "JOIN s USING (epoch, page_id) GROUP BY 1, 2)")
+    return sql.replace("SELECT page_id, visits, n_slots", "SELECT epoch, page_id, visits, n_slots").replace("JOIN c USING (page_id)", "JOIN c USING (epoch, page_id)")
+
+
+@register("epoch_promotions", _by_epoch(rules_sql(20, 60, False)))
+def epoch_promotions(spark, sf_dir):
+    """Decisions at every epoch tick, each from that epoch's candidates."""
+    return access.promotion(access.slot_counts(access_sequence(spark, sf_dir), ["epoch"]), 20, 60, 16, group=["epoch"])
+
+
+@register("freq_export", f"{ACC} SELECT rec, count(*) - 1 AS repeats FROM acc GROUP BY rec")
+def freq_export(spark, sf_dir):
+    """Frequencies that count repeats only: the first use is zero."""
+    return accesses(spark, sf_dir).groupBy("rec").agg((F.count("*") - 1).alias("repeats"))
+
+
+@register("set_operations", f"{ACC}, a AS (SELECT DISTINCT page_id FROM acc WHERE slot_id < 4), b AS (SELECT DISTINCT page_id FROM acc WHERE page_id % 3 = 0) SELECT 'union' AS op, page_id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'difference', page_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'distinct', page_id FROM a")
+def set_operations(spark, sf_dir):
+    rows = accesses(spark, sf_dir)
+    a, b = rows.where("slot_id < 4").select("page_id").dropDuplicates(), rows.where("page_id % 3 = 0").select("page_id").dropDuplicates()
+    named = lambda op, df: df.select(F.lit(op).alias("op"), "page_id")
+    return named("union", a.union(b).distinct()).unionByName(named("difference", a.join(b, "page_id", "left_anti"))).unionByName(named("distinct", a))

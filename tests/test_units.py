@@ -185,3 +185,19 @@ def test_latency_bucket_is_the_lower_bound(spark):
     assert len(bounds) == 37 and list(bounds) == sorted(bounds)
     rows = spark.createDataFrame([(0,), (1,), (11,), (2_000_000,), (9_999_999,)], "us bigint")
     assert [r[0] for r in rows.select(observe.bound_index(F.col("us"))).collect()] == [0, 0, 6, 36, 37]
+
+
+def test_zeta_tail_is_close_to_the_sum(spark):
+    exact = sum(i**-0.9 for i in range(1, 50_001))
+    got = spark.range(1).select(observe.zeta(F.lit(50_000), 0.9, exact=1000)).first()[0]
+    assert abs(got - exact) < 1e-4
+
+
+def test_perturbed_parameters_stay_in_bounds():
+    from keelson.functions.generators import perturbed
+
+    bounds = {"alpha": (0.1, 0.9, 0.05), "window": (1000, 5000, 500)}
+    for seed in range(50):
+        got = perturbed({"alpha": 0.5, "window": 4800}, bounds, seed)
+        assert 0.1 <= got["alpha"] <= 0.9 and 1000 <= got["window"] <= 5000 and got["window"] % 500 == 0
+    assert perturbed({"alpha": 0.5}, bounds, 3) == perturbed({"alpha": 0.5}, bounds, 3)
