@@ -139,7 +139,9 @@ def windows(spark: SparkSession, docs: DataFrame, items: DataFrame, shingle: int
     starts = F.when(F.size("at") >= F.col("need"), starts)
     chosen = hits.select("text_key", "m", "k", "n", F.explode(starts).alias("start"))
     chosen, _ = stage(spark, chosen, "windows")
-    texts = keyed.join(chosen.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
+    # Dealt out anew between join and aggregate: neither then holds all copies of a text in one task.
+    texts = keyed.join(chosen.select("text_key").distinct(), "text_key", "left_semi").hint("rebalance")
+    texts = texts.groupBy("text_key").agg(F.min("text").alias("text"))
     texts, _ = stage(spark, texts.select("text_key", words(F.col("text")).alias("ws")), "texts")
     cut = chosen.join(texts, "text_key").select("text_key", "m", "k", "start", F.slice("ws", F.col("start") + 1, F.col("n") + F.col("k") - 1).alias("w"))
     cut, _ = stage(spark, cut, "windows")

@@ -133,7 +133,7 @@ def word_views(text: str | None, views: int) -> list[int]:
     words = set((text or "").encode().lower().split())
     if not words:
         return [0] * views
-    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in sorted(words)), np.uint64, len(words))
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
     out = []
     for v in range(views):
         x = (h ^ np.uint64(v * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -177,7 +177,7 @@ def candidates(spark: SparkSession, texts: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, least: float = 0.8, views: int = 5) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, least: float = 0.8, views: int = 6) -> DataFrame:
     """One row of every group of near copies: of the rows with the group's least ``doc_id`` (null counts as
     largest) the one with the least row hash; equal rows collapse to one.
 
@@ -201,7 +201,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, least: floa
     texts, _ = stage(spark, marked.groupBy("text_key").agg(first, F.first("views").alias("views")), "texts")
     pairs, _ = stage(spark, candidates(spark, texts), "pairs")
     wanted = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct()
-    cut = docs.select(key.alias("text_key"), "text").join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
+    # Dealt out anew between join and aggregate: neither then holds all copies of a text in one task.
+    held = docs.select(key.alias("text_key"), "text").join(wanted, "text_key", "left_semi").hint("rebalance")
+    cut = held.groupBy("text_key").agg(F.min("text").alias("text"))
     cut, _ = stage(spark, cut.select("text_key", shingle_set(F.coalesce("text", F.lit("")), shingle).alias("s")), "shingles")
     met = pairs.join(cut.select(F.col("text_key").alias("a"), F.col("s").alias("sa")), "a").join(cut.select(F.col("text_key").alias("b"), F.col("s").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
