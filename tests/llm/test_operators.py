@@ -301,6 +301,19 @@ def test_license_digests(spark, odd, none):
     assert license_scan.scan(spark, odd).count() == 0
 
 
+@pytest.mark.parametrize("width", [60, 72, 80, 100])
+def test_wrapped_licenses_are_known(width):
+    import textwrap
+
+    digests = {d for d, *_ in license_scan.digest_table()}
+    for _, form, text in license_scan.KNOWN:
+        if form == "text":
+            wrapped = "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+            noted = "Copyright (c) 2021 Somebody <me@example.org>\n\n" + wrapped
+            for t in (wrapped, noted):
+                assert sha(license_scan.whole(license_scan.canonical(t))) in digests
+
+
 def test_license_twins_agree(spark):
     texts = [t for *_, t in license_scan.KNOWN] + ["Copyright X\nFoo & Bar v. 2\r\nLicence"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
