@@ -200,7 +200,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, least: floa
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")).alias("first")
     texts, _ = stage(spark, marked.groupBy("text_key").agg(first, F.first("views").alias("views")), "texts")
     pairs, _ = stage(spark, candidates(spark, texts), "pairs")
-    wanted = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct()
+    wanted = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct().hint("rebalance")
     # Dealt out anew between join and aggregate: neither then holds all copies of a text in one task.
     held = docs.select(key.alias("text_key"), "text").join(wanted, "text_key", "left_semi").hint("rebalance")
     cut = held.groupBy("text_key").agg(F.min("text").alias("text"))
