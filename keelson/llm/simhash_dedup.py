@@ -34,6 +34,8 @@ from keelson.llm.shared import SPACE, let, stage
 SEED = 42
 #: Bits of a fingerprint of distinct words.
 VIEW_BITS = 48
+#: One in so many shingles of a text is the number that two similar texts must share within their prefixes.
+SHARE = 20
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -177,13 +179,166 @@ def candidates(spark: SparkSession, texts: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def shingle_hashes(text: str | None, k: int):
+    """Distinct hashed ``k``-word shingles of a text, as ``shingle_set`` cuts them."""
+    import numpy as np
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if len(words) < k:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    w = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in words), np.uint64, len(words))
+    n = len(words) - k + 1
+    h = np.zeros(n, np.uint64)
+    for i in range(k):
+        h = (h ^ w[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def common_shingles(spark: SparkSession, docs: DataFrame, shingle: int):
+    """(sorted hashes, counts) of shingles that are common in a sample of texts.  They only set the order
+    of shingles in ``shared_prefixes``, which is exact in any order: common ones come last there."""
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for t in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py(), shingle).view(np.int64))], ["sh"])
+
+    some = docs.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(16)) == 0).select("text").mapInArrow(run, "sh bigint")
+    often = some.groupBy("sh").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "sh").limit(100000)
+    found = often.toArrow()
+    sh, n = found["sh"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(sh)
+    return sh[order], n[order]
+
+
+def must_share(n: Column) -> Column:
+    """Shingles that a text of ``n`` shingles must share within its prefix with a similar text of no fewer."""
+    return F.greatest(F.lit(1), F.floor(n / SHARE))
+
+
+def shared_prefixes(spark: SparkSession, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(sh, text_key, n, rank) for the shingles of every text's prefix that another text's prefix has too.
+
+    Texts with a Jaccard similarity of at least ``least`` share ``least`` * n of the n shingles of either, so in any
+    one order of all shingles the first t that they share are within the first n - ``least`` * n + t of both: no such
+    pair is left out.  t is ``must_share(n)``; a text that shares fewer than any partner's t has no partner.
+    ``rank`` is the number of shingles of the prefix that no other text has, negated: the text in the
+    middle of a group of edited copies has the highest."""
+    import numpy as np
+
+    held = spark.sparkContext.broadcast(common_shingles(spark, docs, shingle))
+
+    def cut(batches):
+        import pyarrow as pa
+
+        common, often = held.value
+        seen: set[int] = set()  # copies of one text
+        for b in batches:
+            keys, sizes, parts = [], [], []
+            for key, t in zip(b.column("text_key").to_pylist(), b.column("text"), strict=True):
+                if key in seen:
+                    continue
+                seen.add(key)
+                h = shingle_hashes(t.as_py(), shingle)
+                count = np.zeros(len(h), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    count = np.where(common[at] == h, often[at], 0)
+                first = h[np.lexsort((h, count))][: len(h) - int(np.ceil(least * len(h) - 1e-6)) + max(1, len(h) // SHARE)]
+                keys.append(key), sizes.append(len(h)), parts.append(first)
+            if parts:
+                size = [len(p) for p in parts]
+                columns = (np.concatenate(parts).view(np.int64), np.repeat(np.array(keys, np.int64), size), np.repeat(np.array(sizes, np.int32), size))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sh", "text_key", "n"])
+
+    def meet(batches):
+        import pyarrow as pa
+
+        got = list(batches)
+        if not got:
+            return
+        sh, key, n = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(3))
+        order = np.lexsort((key, sh))
+        sh, key, n = sh[order], key[order], n[order]
+        new = np.concatenate(([True], (sh[1:] != sh[:-1]) | (key[1:] != key[:-1])))
+        sh, key, n = sh[new], key[new], n[new]
+        same = np.concatenate(([False], sh[1:] == sh[:-1], [False]))
+        on = same[1:] | same[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (sh, key, n)], ["sh", "text_key", "n"])
+
+    keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = keyed.mapInArrow(cut, "sh bigint, text_key bigint, n int").repartition(parts, "sh")
+    rows, _ = stage(spark, rows.mapInArrow(meet, "sh bigint, text_key bigint, n int"), "prefixes")
+    own = rows.groupBy("text_key").agg(F.count("*").alias("met"), F.first("n").alias("of"))
+    rank = (F.col("met") - (F.col("of") - F.ceil(F.lit(least) * F.col("of") - 1e-6) + must_share(F.col("of")))).cast("int")
+    able = own.where(F.col("met") >= F.lit(least / SHARE) * F.col("of") - 1)
+    ranked, _ = stage(spark, rows.join(able.select("text_key", rank.alias("rank")).hint("rebalance"), "text_key"), "ranked")
+    return ranked
+
+
+def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The ``pairs`` (a, b) of text keys whose shingle sets are similar enough."""
+    pairs, _ = stage(spark, pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct().hint("rebalance")
+    # Dealt out anew between join and aggregate: neither then holds all copies of a text in one task.
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    held = docs.select(key.alias("text_key"), "text").join(wanted, "text_key", "left_semi").hint("rebalance")
+    cut = held.groupBy("text_key").agg(F.min("text").alias("text"))
+    cut, _ = stage(spark, cut.select("text_key", shingle_set(F.coalesce("text", F.lit("")), shingle).alias("s")), "shingles")
+    met = pairs.join(cut.select(F.col("text_key").alias("a"), F.col("s").alias("sa")), "a").join(cut.select(F.col("text_key").alias("b"), F.col("s").alias("sb")), "b")
+    same = F.size(F.array_intersect("sa", "sb"))
+    found, _ = stage(spark, met.where(same >= least * (F.size("sa") + F.size("sb") - same) - 1e-9).select("a", "b"), "similar")
+    return found
+
+
+def similar_components(spark: SparkSession, docs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(node, component) of the texts that have a similar text, exactly as a comparison of all pairs gives them.
+
+    What the fingerprints propose is compared first, then the texts that share a shingle of their prefixes with
+    the middle text of those that have it, then every pair that shares one and is still in two components."""
+    links_ = verified(spark, docs, candidates(spark, texts), shingle, least)
+    shared = shared_prefixes(spark, docs, shingle, least)
+
+    def placed():
+        parts, _ = stage(spark, connected_components(spark, links_), "parts")
+        at = shared.join(parts.hint("rebalance"), F.col("text_key") == F.col("node"), "left")
+        at = at.select("sh", "text_key", "n", "rank", F.coalesce("component", "text_key").alias("c"))
+        split = at.groupBy("sh").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("rank", "n", "text_key", "c")).alias("mid"))
+        return at, split.where("lo <> hi").hint("rebalance")
+
+    close = lambda x, y: (F.least(x, y) >= least * F.greatest(x, y) - 1e-9)
+
+    def enough(met: DataFrame) -> DataFrame:
+        """Pairs (x, y) of ``n`` and ``m`` shingles that share as many as similar texts must."""
+        counted = met.where(close(F.col("n"), F.col("m"))).groupBy("x", "y", "n", "m").agg(F.count("*").alias("met"))
+        return counted.where(F.col("met") >= must_share(F.least("n", "m"))).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+    at, split = placed()
+    stars = at.join(split.select("sh", "mid"), "sh").where(F.col("c") != F.col("mid.c"))
+    stars = enough(stars.select(F.col("text_key").alias("x"), F.col("mid.text_key").alias("y"), "n", F.col("mid.n").alias("m")))
+    links_ = links_.unionByName(verified(spark, docs, stars, shingle, least))
+    at, split = placed()
+    open_, _ = stage(spark, at.join(split.select("sh"), "sh", "left_semi").select("sh", "text_key", "n", "c"), "open")
+    other = open_.select("sh", F.col("text_key").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"))
+    rest = open_.withColumnRenamed("text_key", "x").hint("rebalance").join(other.hint("rebalance"), "sh")
+    rest = enough(rest.where((F.col("x") > F.col("y")) & (F.col("c") != F.col("d"))))
+    return connected_components(spark, links_.unionByName(verified(spark, docs, rest, shingle, least)))
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, least: float = 0.8, views: int = 6) -> DataFrame:
     """One row of every group of near copies: of the rows with the group's least ``doc_id`` (null counts as
     largest) the one with the least row hash; equal rows collapse to one.
 
-    Fingerprints of distinct words propose pairs by ball hashing in several views; a pair
-    is a link if the sets of its ``shingle``-word shingles have a Jaccard similarity of at
-    least ``least``; groups are the components of links.  Exact copies are one text."""
+    A pair is a link if the sets of its ``shingle``-word shingles have a Jaccard similarity of at least ``least``;
+    groups are the components of all links.  Fingerprints of distinct words propose pairs by ball hashing in
+    several views, which joins most groups early; prefixes of the shingle sets bring the pairs that are left.
+    Exact copies are one text."""
     own = [f"`{c}`" for c in docs.columns]
 
     def run(batches):
@@ -199,16 +354,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, least: floa
     marked, _ = stage(spark, marked.mapInArrow(run, f"doc_id {id_type}, row bigint, text_key bigint, views array<bigint>"), "marked")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")).alias("first")
     texts, _ = stage(spark, marked.groupBy("text_key").agg(first, F.first("views").alias("views")), "texts")
-    pairs, _ = stage(spark, candidates(spark, texts), "pairs")
-    wanted = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct().hint("rebalance")
-    # Dealt out anew between join and aggregate: neither then holds all copies of a text in one task.
-    held = docs.select(key.alias("text_key"), "text").join(wanted, "text_key", "left_semi").hint("rebalance")
-    cut = held.groupBy("text_key").agg(F.min("text").alias("text"))
-    cut, _ = stage(spark, cut.select("text_key", shingle_set(F.coalesce("text", F.lit("")), shingle).alias("s")), "shingles")
-    met = pairs.join(cut.select(F.col("text_key").alias("a"), F.col("s").alias("sa")), "a").join(cut.select(F.col("text_key").alias("b"), F.col("s").alias("sb")), "b")
-    same = F.size(F.array_intersect("sa", "sb"))
-    links_ = met.where(same >= least * (F.size("sa") + F.size("sb") - same) - 1e-9).select("a", "b")
-    parts = connected_components(spark, links_)
+    parts = similar_components(spark, docs, texts, shingle, least)
     placed = texts.select("text_key", "first").join(parts, F.col("text_key") == F.col("node"), "left")
     winners = placed.groupBy(F.coalesce("component", "text_key").alias("root")).agg(F.min("first").alias("w")).select("w.id", "w.row")
     winners, _ = stage(spark, winners, "winners")

@@ -80,6 +80,40 @@ def test_simhash_keeps_one_of_a_group(spark, odd, none):
     assert simhash_dedup.near_duplicate_report(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("n", [30, 200, 1000])
+def test_edited_copies_are_linked_as_by_brute_force(spark, n):
+    import random
+
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    first = [word() for _ in range(200)]
+    rows = [(0, " ".join(word() for _ in range(200)))]
+    for i in range(1, n + 1):
+        copy = list(first)
+        for k in rng.sample(range(200), 4):
+            copy[k] = word()
+        rows.append((i, " ".join(copy)))
+    rows.append((n + 1, " ".join(first)))  # the original has the largest id
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same >= 0.8 * (len(sets[i]) + len(sets[j]) - same):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {find(k) for k in range(len(rows))}
+    kept = simhash_dedup.keep_one(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert {r.doc_id for r in kept.collect()} == want
+
+
 # 2
 
 
