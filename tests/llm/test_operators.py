@@ -436,6 +436,21 @@ def test_long_shared_runs_are_all_found(spark, documents):
     assert want <= got and want
 
 
+def test_passages_on_either_side_of_a_gap(spark):
+    import random
+
+    rng = random.Random(5)
+    prose = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(n)]
+    rows, want = [], set()
+    for k, (n, gap) in enumerate([(60, 60), (100, 60), (100, 150), (100, 250), (200, 250)]):
+        one, two = prose(n), prose(n)
+        for i in range(2):
+            rows.append((2 * k + i, " ".join(one + prose(gap) + two)))
+        want |= {(2 * k + 1, 0), (2 * k + 1, n + gap)}
+    got = passage_dedup.repeated_passages(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert want <= {(r.doc_id, r.start_word) for r in got}
+
+
 def test_no_passages_in_nothing(spark, none):
     assert passage_dedup.repeated_passages(spark, none).count() == 0
 
