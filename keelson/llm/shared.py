@@ -70,6 +70,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def dealt_parts(spark: SparkSession, docs: DataFrame, block_bytes: int) -> tuple[int, int]:
+    """(blocks, tasks) for texts dealt into blocks of about ``block_bytes`` bytes: a count of the input's bytes, so a
+    task's share does not grow with the input; at least a block and a task for every shuffle partition."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(least, -(-size // block_bytes))
+    return blocks, max(least, blocks // 2)
+
+
+def numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with ``doc_id`` as a long in the same order, and the table (number, name) of other types' ids."""
+    if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), None
+    names = docs.select(F.col("doc_id").alias("name")).where("name IS NOT NULL").distinct().orderBy("name")
+    names, _ = stage(spark, names.select(F.monotonically_increasing_id().alias("number"), "name"), "names")
+    joined = docs.withColumnRenamed("doc_id", "name").join(names, "name", "left")
+    return joined.select(F.col("number").alias("doc_id"), "text"), names
+
+
+def named_again(rows: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """``rows`` with the ids that ``numbered`` took from them."""
+    if names is not None:
+        for c in columns:
+            held = names.select(F.col("number").alias("__number"), F.col("name").alias("__name"))
+            rows = rows.join(held, rows[c] == held["__number"], "left").withColumn(c, F.col("__name")).drop("__number", "__name")
+    return rows
+
+
 def sized_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast ``df`` only when its counted ``rows`` are within ``limit``; otherwise
     the plan stays a shuffled join."""
