@@ -10,20 +10,23 @@ as long as the item it is held against.
    ``2 s / (1 + s)`` of its shingles among the matches, and sliding it to its first
    match loses none, so windows start at matches.
 2. Every such window gets a 64-bit SimHash, as every item does.
-3. Fingerprints of windows and items of one length are joined on ``radius + 1`` bit
-   blocks: two fingerprints within ``radius`` differ in too few bits to touch all
-   blocks, so the join finds all of them; the distance is then checked.  A similarity
-   of 0.8 stands for about ten of 64 bits, hence the wide default radius.
+3. A window meets the items of its length that have one of its rarest shingles, as many
+   as a similar item must share at least one of (prefix filtering; lossless), and of
+   these the ones within ``radius`` by multi-index blocks: each fingerprint is cut into
+   ``BLOCKS`` blocks of eight bits, and two fingerprints within the radius are within
+   ``radius // BLOCKS`` bits in some block.  A similarity of 0.8 stands for about ten of
+   64 bits, hence the wide default radius; blocks alone would not prune at that radius.
 4. Candidates are verified by exact weighted Jaccard similarity over the shingle
    strings, repeats counted.
 
 Everything is DataFrame and SQL functions.  Equal texts are handled once: keys are
-digests of the text, so copies cost a partial aggregation and no hot task.  The
+SHA-256 digests of the text, so copies cost a partial aggregation and no hot task.  The
 item side is broadcast only while its counted rows stay under ``BROADCAST_ROWS``.
 
 Defined results: null and empty texts, and items without words, match nothing; a
-document shorter than an item is one clipped window; repeated documents or items are
-each reported once per (doc_id, item_id); null ids are reported as null; empty
+document shorter than an item is one clipped window; a very long text is one row,
+handled whole (time linear in it, and an unbroken run is one word); repeated documents or
+items are each reported once per (doc_id, item_id); null ids are reported as null; empty
 tables give an empty table; other columns are ignored.
 """
 
@@ -32,11 +35,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.shared import let, sized_broadcast, stage
+from keelson.llm.shared import let, one_by_key, sized_broadcast, stage, text_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 20
+#: Bits that two similar fingerprints may differ in, and blocks that a fingerprint is cut into.
+RADIUS, BLOCKS = 23, 8
 BROADCAST_ROWS = 1_000_000
 
 
@@ -77,14 +81,10 @@ def simhash(hashes: str, n: str) -> Column:
             | if(2 * shiftrightunsigned(get(c, k), 32) > {n}, shiftleft(1L, k + 32), 0L))), 1)""")
 
 
-def blocks(fp: str, radius: int) -> Column:
-    """(block number, its bits) for ``radius + 1`` blocks of a fingerprint column."""
-    count = radius + 1
-    cuts = [64 * j // count for j in range(count + 1)]
-    return F.array(*(
-        F.expr(f"named_struct('j', {j}, 'bits', shiftrightunsigned({fp}, {a}) & {(1 << (b - a)) - 1}L)")
-        for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
-    ))
+def blocks(fp: str) -> Column:
+    """(block number, its bits) for the ``BLOCKS`` blocks of a fingerprint column."""
+    wide = 64 // BLOCKS
+    return F.array(*(F.expr(f"named_struct('j', {j}, 'bits', shiftrightunsigned({fp}, {j * wide}) & {(1 << wide) - 1}L)") for j in range(BLOCKS)))
 
 
 def similarity(a: str, b: str) -> Column:
@@ -111,7 +111,7 @@ def item_table(spark: SparkSession, benchmark: DataFrame, shingle: int = SHINGLE
 
 def windows(spark: SparkSession, docs: DataFrame, items: DataFrame, shingle: int, least: float) -> DataFrame:
     """(text_key, m, k, start, shingles, hashes): the windows that enough matched shingles allow to be similar."""
-    keyed = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("text_key"), "text")
+    keyed = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("text_key"), "text")
     lengths = items.select(F.explode("hashes").alias("h"), "m", "k").distinct()
     n_lengths, sizes = lengths.agg(F.count("*"), F.collect_set("k")).first()
     lengths = sized_broadcast(lengths, n_lengths, BROADCAST_ROWS)
@@ -140,8 +140,7 @@ def windows(spark: SparkSession, docs: DataFrame, items: DataFrame, shingle: int
     chosen = hits.select("text_key", "m", "k", "n", F.explode(starts).alias("start"))
     chosen, _ = stage(spark, chosen, "windows")
     # Dealt out anew between join and aggregate: neither then holds all copies of a text in one task.
-    texts = keyed.join(chosen.select("text_key").distinct(), "text_key", "left_semi").hint("rebalance")
-    texts = texts.groupBy("text_key").agg(F.min("text").alias("text"))
+    texts = one_by_key(keyed.join(chosen.select("text_key").distinct(), "text_key", "left_semi").hint("rebalance"), "text_key", "text")
     texts, _ = stage(spark, texts.select("text_key", words(F.col("text")).alias("ws")), "texts")
     cut = chosen.join(texts, "text_key").select("text_key", "m", "k", "start", F.slice("ws", F.col("start") + 1, F.col("n") + F.col("k") - 1).alias("w"))
     cut, _ = stage(spark, cut, "windows")
@@ -156,22 +155,36 @@ def contaminated_texts(
     spark: SparkSession, docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS
 ) -> DataFrame:
     """(text_key, item, start_word, n_words, distance, similarity): the best window of every
-    distinct text and item that reach the similarity; ``text_key`` is xxhash64 of the text."""
-    items = item_table(spark, benchmark, shingle)
-    made, _ = stage(spark, windows(spark, docs, items, shingle, least), "windows")
-    marked = made.withColumn("fp", simhash("hashes", "size(hashes)"))
-    marked, _ = stage(spark, marked.drop("hashes"), "windows")
+    distinct text and item that reach the similarity; ``text_key`` stands for the text."""
+    items, _ = stage(spark, item_table(spark, benchmark, shingle), "items")
     n_items = items.count()
-    left = marked.withColumn("b", F.explode(blocks("fp", radius))).select("*", "b.j", "b.bits").drop("b")
-    right = items.withColumn("b", F.explode(blocks("item_fp", radius))).select("m", "item", "item_shingles", "item_fp", "b.j", "b.bits")
-    met = left.join(sized_broadcast(right, n_items * (radius + 1), BROADCAST_ROWS), ["m", "j", "bits"])
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    # A pair meets in every block it shares: it counts in the first of them.
+    made, _ = stage(spark, windows(spark, docs, items, shingle, least), "windows")
+    marked = made.withColumn("fp", simhash("hashes", "size(hashes)")).withColumn("window", F.struct("text_key", "m", "start"))
+    marked, _ = stage(spark, marked, "windows")
+    # Candidates: items that have one of the rarest shingles of a window.
+    held = items.select("m", "item", F.explode(F.array_distinct("hashes")).alias("h"))
+    often = held.groupBy("m", "h").agg(F.count("*").alias("often"))
+    n_often, n_held = often.agg(F.count("*"), F.coalesce(F.sum("often"), F.lit(0))).first()
+    often = sized_broadcast(often, n_often, BROADCAST_ROWS)
+    tagged = marked.select("window", "m", F.size("hashes").alias("n"), (F.col("m") - F.col("k") + 1).alias("n_item"), F.explode("hashes").alias("h"))
+    tagged = tagged.join(often, ["m", "h"], "left").groupBy("window", "m", "n", "n_item")
+    rare = tagged.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "h"))).alias("s"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("n_item")) * least / (1 + least) - 1e-9)).cast("int")
+    asked = rare.select("window", "m", F.explode(F.array_distinct(F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("n") - need + 1)))).alias("s"))
+    asked = asked.where("s.often > 0").select("window", "m", "s.h")
+    pairs = asked.join(sized_broadcast(held, n_held, BROADCAST_ROWS), ["m", "h"]).select("window", "item").distinct()
+    # Multi-index blocks: a pair goes on from the first block in which it is near.
+    left = marked.join(pairs, "window").withColumn("b", F.explode(blocks("fp")))
+    left = left.select("text_key", "m", "start", "shingles", "fp", "item", "b.j", "b.bits")
+    right = items.withColumn("b", F.explode(blocks("item_fp"))).select("item", "item_shingles", "item_fp", "b.j", F.col("b.bits").alias("item_bits"))
+    near = F.bit_count(F.col("bits").bitwiseXOR(F.col("item_bits"))) <= radius // BLOCKS
+    met = left.join(sized_broadcast(right, n_items * BLOCKS, BROADCAST_ROWS), ["item", "j"]).where(near)
     differs = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    first = F.lit(True)
-    cuts = [64 * j // (radius + 1) for j in range(radius + 2)]
-    for j in range(1, radius + 1):
-        first &= (F.col("j") < j) | (differs.bitwiseAND(F.lit((((1 << (cuts[j] - cuts[j - 1])) - 1) << cuts[j - 1])).cast("long")) != 0)
+    distance = F.bit_count(differs)
+    first, wide = F.lit(True), 64 // BLOCKS
+    for j in range(1, BLOCKS):
+        block = F.lit(((1 << wide) - 1) << (wide * (j - 1))).cast("long")
+        first &= (F.col("j") < j) | (F.bit_count(differs.bitwiseAND(block)) > radius // BLOCKS)
     met = met.where((distance <= radius) & first).withColumn("distance", distance)
     scored = met.withColumn("similarity", similarity("shingles", "item_shingles")).where(F.col("similarity") >= least - 1e-12)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "distance", "m"))
@@ -185,5 +198,5 @@ def leak_report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> D
     found, _ = stage(spark, contaminated_texts(spark, docs.select("text"), benchmark), "leaks")
     ids = benchmark.select("item_id", F.array_join(words(F.col("text")), " ").alias("item")).distinct()
     named = found.join(ids, "item").drop("item").hint("rebalance")
-    owners = docs.select("doc_id", F.xxhash64("text").alias("text_key")).distinct()
+    owners = docs.select("doc_id", text_key(F.col("text")).alias("text_key")).distinct()
     return owners.join(named, "text_key").drop("text_key")

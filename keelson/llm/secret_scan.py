@@ -10,13 +10,17 @@ bytes have the structure of a secret:
 * ``sshpub``: length-prefixed fields that begin with a key type name;
 * ``jwt``: three base64url parts, the first a JSON object with ``alg``, the second
   a JSON object;
-* ``pem``: a BEGIN/END PRIVATE KEY block whose body decodes to ``der`` or ``ssh``.
+* ``pem``: a BEGIN/END PRIVATE KEY block whose body decodes to ``der`` or ``ssh``, to an
+  encrypted key (algorithm SEQUENCE, OCTET STRING), or to anything if its header lines say
+  that it is encrypted.
 
-All of it runs map-side on whole texts (no shuffle, no limit); offsets are code
-points, ends exclusive.
+All of it runs map-side on whole texts (no shuffle, no limit) in time linear in the text:
+a run of coded characters is entered at its left border only.  Offsets are code points,
+ends exclusive.
 
 Defined results: a null text counts as empty (no spans); null or repeated
-``doc_id``s are scanned row by row; an empty table gives an empty table; other input
+``doc_id``s are scanned row by row; a very long text, unbroken or not, is scanned whole;
+an empty table gives an empty table; other input
 columns are kept and result columns win over equal names.
 """
 
@@ -42,8 +46,11 @@ BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "der", "ssh", "sshpub", "jwt", "pem")
 
 CODED = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:={0,2})(?:\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*)?")
-SIGNED = re.compile(r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-BLOCK = re.compile(r"-----BEGIN ([A-Z ]{0,30})PRIVATE KEY-----([A-Za-z0-9+/=\s\\]{16,}?)-----END \1PRIVATE KEY-----")
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
+BLOCK = re.compile(
+    r"-----BEGIN ([A-Z ]{0,30})PRIVATE KEY-----((?:\s*+(?:Proc-Type|DEK-Info): ?[^\n\\]{0,200}(?:\n|\\n))*)"
+    r"([A-Za-z0-9+/=\s\\]{16,}?)-----END \1PRIVATE KEY-----"
+)
 HEX_RUN = re.compile(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+")
 
 SSH_MAGIC = b"openssh-key-v1\0"
@@ -96,6 +103,18 @@ def is_der_key(data: bytes) -> bool:
     return items >= 3
 
 
+def is_sealed_key(data: bytes) -> bool:
+    """A SEQUENCE that fills ``data`` with just an algorithm (a SEQUENCE that begins with an OID) and an OCTET STRING."""
+    top = der_item(data, 0, len(data))
+    if top is None or top[0] != 0x30 or top[2] != len(data):
+        return False
+    kind = der_item(data, top[1], top[2])
+    if kind is None or kind[0] != 0x30 or data[kind[1] : kind[1] + 1] != b"\x06":
+        return False
+    rest = der_item(data, kind[2], top[2])
+    return rest is not None and rest[0] == 0x04 and rest[2] == top[2]
+
+
 def ssh_fields(data: bytes) -> list[bytes] | None:
     """Length-prefixed strings that fill ``data``, or None."""
     fields, at = [], 0
@@ -163,12 +182,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             kind = structure(bytes.fromhex(run))
         if kind:
             spans.append((m.start(), m.start() + len(run), kind))
-    if "eyJ" in text or "ewog" in text or "eyA" in text:  # how a JSON object begins in base64
+    if "." in text:
         spans += [(m.start(), m.end(), "jwt") for m in SIGNED.finditer(text) if is_signed_token(m[0])]
     if "PRIVATE KEY-----" in text:
         for m in BLOCK.finditer(text):
-            body = m[2].replace("\\r", "").replace("\\n", "")
-            if structure(unbase64("".join(body.split()).replace("\\", ""))) in ("der", "ssh"):
+            body = m[3].replace("\\r", "").replace("\\n", "")
+            data = unbase64("".join(body.split()).replace("\\", ""))
+            sealed = "Proc-Type" in m[2] and "ENCRYPTED" in m[2] and bool(data)
+            if sealed or structure(data) in ("der", "ssh") or (data and is_sealed_key(data)):
                 spans.append((m.start(), m.end(), "pem"))
     return spans
 

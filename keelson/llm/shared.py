@@ -70,6 +70,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def text_key(text: Column) -> Column:
+    """What stands for a text: 32 bytes, so that no two texts are taken for one."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def one_by_key(rows: DataFrame, key: str, value: str, salts: int = 64) -> DataFrame:
+    """(key, value), one row a key; all values of a key are equal.  Two steps: the last one gets at most ``salts`` rows of
+    a key, where one step alone would send it one from every task that holds a copy."""
+    salted = rows.select(key, value, F.pmod(F.spark_partition_id(), F.lit(salts)).alias("__salt"))
+    return salted.groupBy(key, "__salt").agg(F.first(value).alias(value)).groupBy(key).agg(F.first(value).alias(value))
+
+
 def dealt_parts(spark: SparkSession, docs: DataFrame, block_bytes: int) -> tuple[int, int]:
     """(blocks, tasks) for texts dealt into blocks of about ``block_bytes`` bytes: a count of the input's bytes, so a
     task's share does not grow with the input; at least a block and a task for every shuffle partition."""

@@ -12,7 +12,8 @@ budget questions are then reads of these sums; nothing is encoded again.
 Everything runs map-side (no shuffle); the table is a bounded per-worker cache.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); null or repeated
-``doc_id``s are counted row by row; an empty table gives an empty table; input
+``doc_id``s are counted row by row; a very long text is counted whole, a giant word in time
+linear in it (the table is bounded in words, so a few giant ones fit); an empty table gives an empty table; input
 columns other than the text are kept, and result columns win over equal names.
 """
 
@@ -44,6 +45,7 @@ class PrefixTable:
         self.heads: dict[bytes, tuple] = {}
         self.follows: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
+        self.summed: tuple[str, list[int]] = ("", [0])
 
     def may_follow(self, a: int, b: int) -> bool:
         got = self.follows.get((a, b))
@@ -122,13 +124,22 @@ class PrefixTable:
         blank_before = j > 0 and words[j - 1].isspace()
         if inside >= len(w) and not (w.isspace() and blank_before):
             return sums[j]
-        if w in self.vocabulary.special or w[0] == "'" or blank_before or w.isspace():
+        head = w[: min(inside, 4)]
+        if w in self.vocabulary.special or (w[0] == "'" and inside < 4) or (blank_before and head.isspace()):
             # A cut here can move a word boundary: split the last words' rest again.
             k = j - 1 if blank_before else j
             rest = "".join(words[k:j]) + w[:inside]
             return (sums[k - 1] if k else 0) + sum(self.word(x) for x in self.vocabulary.split(rest))
         self.word(w)
-        return before + self.prefix[w][len(w[:inside].encode())]
+        return before + self.prefix[w][self.offset(w, inside)]
+
+    def offset(self, w: str, inside: int) -> int:
+        """Bytes of the first ``inside`` characters; a long word's are summed up once for all its cuts."""
+        if len(w) < 64:
+            return len(w[:inside].encode())
+        if self.summed[0] != w:
+            self.summed = (w, list(accumulate((len(c.encode()) for c in w), initial=0)))
+        return self.summed[1][inside]
 
     def fit(self, words: list[str], sums: list[int], limit: int) -> int:
         """Characters of the longest prefix that encodes to at most ``limit`` tokens."""

@@ -154,6 +154,30 @@ def test_leaks(spark, both):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_edited_leaks_equal_brute_force(spark):
+    """Items of one length, and windows with few edits: most of those that count lie just above the similarity."""
+    import random
+
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(prose(40))) for i in range(150)]
+    docs = []
+    for t in range(400):
+        q = items[rng.randrange(len(items))][1].split()
+        for _ in range(rng.choice([0, 1, 1, 1, 1, 2])):
+            k, kind = rng.randrange(1, len(q)), rng.random()
+            q[k : k + (kind < 0.8)] = [] if kind >= 0.6 and kind < 0.8 else [rng.choice(vocabulary)]
+        docs.append((t, " ".join(prose(5) + q + prose(5))))
+    want = brute_leaks(docs, items)
+    found = decontaminate.leak_report(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id): r.similarity for r in found.collect()}
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want)
+    edge = {k for k, v in want.items() if v < 0.85}
+    assert len(edge) > 20 and len(edge & set(got)) >= 0.95 * len(edge)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
 def test_leaks_of_empty_tables(spark, odd, none):
     benchmark = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.leak_report(spark, odd, benchmark).count() == 0
