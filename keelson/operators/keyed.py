@@ -7,10 +7,8 @@ mutations return a new table.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,26 +78,24 @@ class KeyedTable:
     def count(self) -> DataFrame:
         return self.df.agg(F.count("*").alias("n"))
 
-    def ranges_empty(self, ranges: DataFrame) -> DataFrame:
-        """``ranges`` (lo, hi inclusive) with ``is_empty``: a ceiling probe of lo that lies beyond hi."""
-        found = ceiling(self, ranges.withColumnRenamed("lo", "probe"), "probe")
-        key = self.keys[0]
-        return found.select(F.col("probe").alias("lo"), "hi", (F.col(key).isNull() | (F.col(key) > F.col("hi"))).alias("is_empty"))
-
-    def neighbours(self, groups: int = 1024) -> DataFrame:
-        """Every key with the next and the previous one."""
-        return shifted(self.df.select(*self.keys), self.keys[0], groups)
-
-    def scan_n(self, probes: DataFrame, probe: str, n: str, most: int) -> DataFrame:
-        """For every probe row, the ``n`` rows (at most ``most``) from the first key >= ``probe``.
-
-        Keys are cut into ranges of about equal width; a probe meets its own range and
-        the next ones until ``most`` keys are certain, so no probe meets the whole table."""
-        key = self.keys[0]
-        ranked = global_rank(self.df.select(key), key)
-        at = ceiling(KeyedTable(ranked, [key]), probes, probe, keep=["rank"])
+    def ranges_empty(self, ranges: DataFrame, lo: str | Sequence[str] = "lo", hi: str | Sequence[str] = "hi") -> DataFrame:
+        """``ranges`` (columns ``lo`` to ``hi``, inclusive) with ``is_empty``: a ceiling probe of lo that lies beyond hi."""
+        lo, hi = _names(lo), _names(hi)
+        found = ceiling(self, ranges, lo)
+        met = F.struct(*(F.col(k).alias(k) for k in self.keys[: len(hi)]))
+        beyond = met > F.struct(*(F.col(h).cast(self.df.schema[k].dataType).alias(k) for k, h in zip(self.keys, hi, strict=False)))
+        return found.select(*lo, *hi, (F.col(self.keys[0]).isNull() | beyond).alias("is_empty"))
+
+    def neighbours(self) -> DataFrame:
+        """Every key with ``next_key`` and ``prev_key``: values, or structs if the key has several columns."""
+        return shifted(self.df.select(*self.keys), self.keys)
+
+    def scan_n(self, probes: DataFrame, probe: str | Sequence[str], n: str, most: int) -> DataFrame:
+        """For every probe row, the ``n`` rows (at most ``most``) from the first key >= ``probe``, by their ranks."""
+        ranked = global_rank(self.df, *self.keys)
+        at = ceiling(KeyedTable(ranked, self.keys), probes, probe, keep=["rank"]).drop(*self.keys)
         steps = at.where(F.col("rank").isNotNull()).withColumn("rank", F.explode(F.sequence("rank", F.col("rank") + F.least(F.col(n), F.lit(most)) - 1)))
-        return steps.drop(key).join(ranked, "rank").join(self.df, key).drop("rank")
+        return steps.join(ranked, "rank").drop("rank")
 
     # Mutations
 
@@ -108,11 +104,19 @@ class KeyedTable:
         return rows.join(self.df.select(*self.keys), self.keys, "left_semi")
 
     def insert(self, rows: DataFrame) -> KeyedTable:
+        """Rows of new keys are added; of several rows of one key in the batch the least one is, the others are refused."""
         fresh = rows.join(self.df.select(*self.keys), self.keys, "left_anti")
-        return self._with(self.df.unionByName(fresh))
+        if self.payload:
+            one = fresh.groupBy(*self.keys).agg(F.min(F.struct(*self.payload)).alias("__row"))
+            fresh = one.select(*self.keys, *(F.col(f"__row.{c}").alias(c) for c in self.payload))
+        else:
+            fresh = fresh.distinct()
+        return self._with(self.df.unionByName(fresh.select(*self.df.columns)))
 
     def append(self, rows: DataFrame, order: Sequence[str]) -> KeyedTable:
-        """Rows get the keys after the greatest one, in ``order``."""
+        """Rows get the keys after the greatest one, in ``order``; the key is one integer column."""
+        if len(self.keys) > 1:
+            raise ValueError("append draws keys of one column")
         key = self.keys[0]
         top = self.df.agg(F.coalesce(F.max(key), F.lit(-1)).alias("__top"))
         ranked = global_rank(rows, *order)
@@ -134,8 +138,9 @@ class KeyedTable:
         return self._with(self.df.join(keys.select(*self.keys), self.keys, "left_anti"))
 
     def range_remove(self, lo, hi) -> KeyedTable:
-        """Rows with lo <= first key <= hi go."""
-        return self._with(self.df.where(~F.col(self.keys[0]).between(lo, hi)))
+        """Rows with lo <= key <= hi go; bounds are values or tuples, of the first key columns or of all."""
+        lo, hi = (b if isinstance(b, tuple | list) else (b,) for b in (lo, hi))
+        return self._with(self.df.where(~(self._compare(lo) & self._compare(hi, descending=True))))
 
     def range_remove_pages(self, lo, hi, per_page: int) -> KeyedTable:
         """Only pages that lie in the range as a whole go, from the page of the first key in it on: if
@@ -165,78 +170,126 @@ class KeyedTable:
 
 # Order across the whole table without a single task: ranges of keys, and one row a range.
 
+#: Rows of a range, about, and the most ranges; the cuts between them are all that the driver gets.
+RANGE_ROWS, MOST_RANGES, COARSE = 200_000, 4096, 64
+
 
-def _ranges(df: DataFrame, key: str, groups: int = 1024) -> DataFrame:
-    """``df`` with ``__g``: which of at most ``groups`` ranges of ``key``, of about equal numbers of rows, a row is in."""
-    value = F.col(key).cast("double")
-    points = [k / groups for k in range(1, groups)]
-    found = df.agg(F.percentile_approx(value, F.array(*map(F.lit, points)), 10_000).alias("q")).first()["q"]
-    cuts = sorted(set(found or []))
-    splits = [-math.inf, *cuts, math.inf]
-    if len(splits) < 3:
+def _names(columns: str | Sequence[str]) -> list[str]:
+    return [columns] if isinstance(columns, str) else list(columns)
+
+
+def _cuts(df: DataFrame, keys: Sequence[str]) -> list:
+    """Sorted key tuples that cut ``df`` into ranges of about equal numbers of rows, from a sample of bounded size.
+    Which keys they are decides how work is dealt out, never what the result is."""
+    n = df.count()
+    groups = min(MOST_RANGES, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // RANGE_ROWS))
+    if n < 2 or groups < 2:
+        return []
+    some = df.select(*keys).sample(min(1.0, 16 * groups / n), seed=7).distinct().orderBy(*keys).collect()
+    step = max(1, len(some) // groups)
+    return some[step::step]
+
+
+def _ranges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with ``__g``: the range of the key tuple that a row is in, rising with the key.  A range is found among
+    the cuts in two steps, so a row is compared with about two square roots of their number."""
+    cuts = _cuts(df, keys)
+    if not cuts:
         return df.withColumn("__g", F.lit(0))
-    held = Bucketizer(splits=splits, inputCol="__v", outputCol="__b", handleInvalid="keep").transform(df.withColumn("__v", value))
-    return held.withColumn("__g", F.col("__b").cast("int")).drop("__v", "__b")
+    kinds = [df.schema[k].dataType for k in keys]
+    names = [f"k{j}" for j in range(len(keys))]
+    lits = [F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(cut, kinds, names, strict=True))) for cut in cuts]
+    key = F.struct(*(F.col(k).alias(c) for k, c in zip(keys, names, strict=True)))
+    upto = lambda some: F.size(F.filter(some, lambda c: c <= key))
+    if len(lits) <= COARSE:
+        return df.withColumn("__g", upto(F.array(*lits)))
+    rows = F.array(*(F.array(*lits[k : k + COARSE]) for k in range(0, len(lits), COARSE)))
+    first = upto(F.array(*lits[::COARSE]))
+    inside = F.when(F.col("__g") == 0, 0).otherwise((F.col("__g") - 1) * COARSE + upto(F.get(rows, F.col("__g") - 1)))
+    return df.withColumn("__g", first).withColumn("__g", inside)
 
 
 def global_rank(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` with ``rank`` from 1 in the given order: ranks inside ranges of the first column,
-    plus the number of rows in earlier ranges (a table of at most about a thousand rows)."""
-    ranged = _ranges(df, order[0])
+    """``df`` with ``rank`` from 1 in the given order: ranks inside ranges of the order's columns,
+    plus the number of rows in earlier ranges (one row a range)."""
+    ranged = _ranges(df, order)
     sizes = ranged.groupBy("__g").agg(F.count("*").alias("__n"))
     before = sizes.select("__g", F.coalesce(F.sum("__n").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = ranged.withColumn("rank", F.row_number().over(Window.partitionBy("__g").orderBy(*order)))
     return inside.join(F.broadcast(before), "__g").withColumn("rank", F.col("rank") + F.col("__before")).drop("__g", "__before")
 
 
-def _probe(table: KeyedTable, probes: DataFrame, probe: str, keep: Sequence[str], up: bool) -> DataFrame:
-    """Distinct probe values are placed among the keys, so that a frequent probe is one row, and joined back."""
-    key = table.keys[0]
-    entry = F.struct(F.col(key).alias("k"), *(F.col(c) for c in keep))
-    rows = table.df.select(F.col(key).alias("__at"), entry.alias("__e"), F.lit(0 if not up else 1).alias("__o"), F.lit(False).alias("__ask"))
-    asks = probes.select(F.col(probe).alias("__at")).where("__at IS NOT NULL").distinct()
-    asks = asks.select("__at", F.lit(None).cast(rows.schema["__e"].dataType).alias("__e"), F.lit(1 if not up else 0).alias("__o"), F.lit(True).alias("__ask"))
-    ranged = _ranges(rows.unionByName(asks), "__at")
-    direction = (F.col("__at").desc(), F.col("__o").desc()) if up else (F.col("__at"), F.col("__o"))
-    w = Window.partitionBy("__g").orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
+def rank_within(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """``df`` with ``rank`` from 1 inside every ``group``; a group with a third of all rows is ranked in ranges too."""
+    ranged = _ranges(df, [group, *order])
+    sizes = ranged.groupBy(group, "__g").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(group).orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col(group).alias("__k"), F.col("__g").alias("__h"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = ranged.withColumn("rank", F.row_number().over(Window.partitionBy(group, "__g").orderBy(*order)))
+    met = inside.join(before, F.col(group).eqNullSafe(F.col("__k")) & (F.col("__g") == F.col("__h")))
+    return met.withColumn("rank", F.col("rank") + F.col("__before")).drop("__g", "__h", "__k", "__before")
+
+
+def _probe(table: KeyedTable, probes: DataFrame, probe: str | Sequence[str], keep: Sequence[str], up: bool) -> DataFrame:
+    """Distinct probe tuples are placed among the keys, so that a frequent probe is one row, and joined back.  A probe
+    of fewer columns than the key stands before all keys that begin with it; one with a null column meets nothing."""
+    asked, keys = _names(probe), table.keys
+    kinds = [table.df.schema[k].dataType for k in keys]
+    names = [f"__k{j}" for j in range(len(keys))]
+    given = [F.col(a).cast(t).alias(n) for a, t, n in zip(asked, kinds, names, strict=False)]
+    open_ = [F.lit(None).cast(t).alias(n) for t, n in zip(kinds[len(asked) :], names[len(asked) :], strict=True)]
+    entry = F.struct(*(F.col(k).alias(k) for k in keys), *(F.col(c).alias(c) for c in keep))
+    rows = table.df.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), entry.alias("__e"), F.lit(0 if not up else 1).alias("__o"), F.lit(False).alias("__ask"))
+    whole = " AND ".join(f"{n} IS NOT NULL" for n in names[: len(asked)])
+    asks = probes.select(*given, *open_).where(whole).distinct()
+    asks = asks.select("*", F.lit(None).cast(rows.schema["__e"].dataType).alias("__e"), F.lit(1 if not up else 0).alias("__o"), F.lit(True).alias("__ask"))
+    ranged = _ranges(rows.unionByName(asks), names)
+    order = [*names, "__o"]
+    w = Window.partitionBy("__g").orderBy(*(F.col(c).desc() if up else F.col(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
     inside = ranged.withColumn("__near", F.last("__e", ignorenulls=True).over(w)).where("__ask")
     # What an earlier range hands on: its greatest (least) entry; one row a range.
-    edge = ranged.where("NOT __ask").groupBy("__g").agg((F.min if up else F.max)("__e").alias("__edge"))
+    edge = ranged.where("NOT __ask").groupBy("__g").agg((F.min_by if up else F.max_by)("__e", F.struct(*names)).alias("__edge"))
     cells = inside.select("__g").distinct().join(edge, "__g", "full")
-    order = F.col("__g").desc() if up else F.col("__g")
-    passed = cells.select("__g", F.last("__edge", ignorenulls=True).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)).alias("__passed"))
-    placed = inside.join(F.broadcast(passed), "__g", "left").select("__at", F.coalesce("__near", "__passed").alias("__m"))
-    joined = probes.join(placed, F.col(probe) == F.col("__at"), "left")
-    return joined.select(*probes.columns, F.col("__m.k").alias(key), *(F.col(f"__m.{c}").alias(c) for c in keep))
-
-
-def floor(table: KeyedTable, probes: DataFrame, probe: str, keep: Sequence[str] = ()) -> DataFrame:
+    by = F.col("__g").desc() if up else F.col("__g")
+    passed = cells.select("__g", F.last("__edge", ignorenulls=True).over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)).alias("__passed"))
+    placed = inside.join(F.broadcast(passed), "__g", "left").select(*names[: len(asked)], F.coalesce("__near", "__passed").alias("__m"))
+    met = [F.col(a).cast(t) == F.col(n) for a, t, n in zip(asked, kinds, names, strict=False)]
+    on = met[0]
+    for one in met[1:]:
+        on &= one
+    joined = probes.join(placed, on, "left")
+    return joined.select(*probes.columns, *(F.col(f"__m.{c}").alias(c) for c in (*keys, *keep)))
+
+
+def floor(table: KeyedTable, probes: DataFrame, probe: str | Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Every probe with the greatest key <= it (null if none) and ``keep`` columns: an as-of join."""
     return _probe(table, probes, probe, keep, up=False)
 
 
-def ceiling(table: KeyedTable, probes: DataFrame, probe: str, keep: Sequence[str] = ()) -> DataFrame:
+def ceiling(table: KeyedTable, probes: DataFrame, probe: str | Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Every probe with the least key >= it (null if none) and ``keep`` columns."""
     return _probe(table, probes, probe, keep, up=True)
 
 
-def shifted(df: DataFrame, key: str, groups: int = 1024) -> DataFrame:
+def shifted(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     """``df`` with ``next_key`` and ``prev_key``; ranges hand their edges to each other."""
-    ranged = _ranges(df, key, groups)
-    edges = ranged.groupBy("__g").agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
+    keys = _names(keys)
+    key = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    ranged = _ranges(df, keys).withColumn("__key", key)
+    edges = ranged.groupBy("__g").agg(F.min("__key").alias("__lo"), F.max("__key").alias("__hi"))
     w = Window.orderBy("__g")
     edges = edges.select("__g", F.lead("__lo").over(w).alias("__next"), F.lag("__hi").over(w).alias("__prev"))
-    inside = Window.partitionBy("__g").orderBy(key)
-    out = ranged.withColumns({"next_key": F.lead(key).over(inside), "prev_key": F.lag(key).over(inside)}).join(F.broadcast(edges), "__g")
-    return out.withColumns({"next_key": F.coalesce("next_key", "__next"), "prev_key": F.coalesce("prev_key", "__prev")}).drop("__g", "__next", "__prev")
+    inside = Window.partitionBy("__g").orderBy("__key")
+    out = ranged.withColumns({"next_key": F.lead("__key").over(inside), "prev_key": F.lag("__key").over(inside)}).join(F.broadcast(edges), "__g")
+    return out.withColumns({"next_key": F.coalesce("next_key", "__next"), "prev_key": F.coalesce("prev_key", "__prev")}).drop("__g", "__key", "__next", "__prev")
 
 
-def beside(df: DataFrame, keys: Sequence[str], order: str, tie: str, groups: int = 64) -> DataFrame:
+def beside(df: DataFrame, keys: Sequence[str], order: str, tie: str) -> DataFrame:
     """``df`` with ``prev_value`` and ``next_value``: ``order`` of the rows before and after within the key.
 
-    A key's rows are sorted in up to ``groups`` ranges of ``order``, each a group of its own, and one
-    row a range hands its edges on; so a key with a third of all rows is no single task."""
-    ranged = _ranges(df, order, groups)
+    A key's rows are sorted in ranges of ``order``, each a group of its own, and one row a range
+    hands its edges on; so a key with a third of all rows is no single task."""
+    ranged = _ranges(df, [order])
     edges = ranged.groupBy(*keys, "__g").agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
     w = Window.partitionBy(*keys).orderBy("__g")
     edges = edges.select(*keys, "__g", F.lead("__lo").over(w).alias("__next"), F.lag("__hi").over(w).alias("__prev"))

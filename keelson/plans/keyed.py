@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keelson.functions.scalar import folded_int
-from keelson.operators.keyed import KeyedTable, ceiling, floor, moved
+from keelson.operators.keyed import KeyedTable, ceiling, floor, global_rank, moved
 from keelson.plans.registry import register
 from keelson.sources.tables import table
 
@@ -73,39 +73,102 @@ def probes(spark, sf_dir):
 
 def sparse_orders(spark, sf_dir):
     """Orders of one status: a key space with gaps."""
-    return KeyedTable(table(spark, sf_dir, "orders").where("o_orderkey % 5 = 2"), ["o_orderkey"])
+    return KeyedTable(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), ["o_orderkey"])
 
 
-@register("ceiling_probe", f"SELECT probe, event_id, (SELECT min(o_orderkey) FROM orders WHERE o_orderkey % 5 = 2 AND o_orderkey >= probe) AS o_orderkey FROM ({PROBES})")
+SPARSE = f"o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders WHERE o_orderstatus = 'F'), p AS ({PROBES})"
+#: The composite index as one number; the second part has nine digits.
+INDEX = "i AS (SELECT o_custkey, o_orderkey, o_totalprice, o_custkey * 1000000000 + o_orderkey AS k, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS r FROM orders), p AS (SELECT event_id, user_id AS c, event_id * 7919 % 16000 AS o, user_id * 1000000000 + event_id * 7919 % 16000 AS pk, 1 + event_id % 9 AS n FROM events)"
+
+
+@register("ceiling_probe", f"WITH {SPARSE} SELECT probe, event_id, o_orderkey FROM p ASOF LEFT JOIN o ON o_orderkey >= probe")
 def ceiling_probe(spark, sf_dir):
     return ceiling(sparse_orders(spark, sf_dir), probes(spark, sf_dir), "probe")
 
 
-@register("floor_probe", f"SELECT p.probe, p.event_id, m.o_orderkey, o.o_totalprice FROM (SELECT probe, event_id, (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 5 = 2 AND o_orderkey <= probe) AS k FROM ({PROBES})) p LEFT JOIN orders o ON o.o_orderkey = p.k LEFT JOIN orders m ON m.o_orderkey = p.k")
+@register("floor_probe", f"WITH {SPARSE} SELECT probe, event_id, o_orderkey, o_totalprice FROM p ASOF LEFT JOIN o ON o_orderkey <= probe")
 def floor_probe(spark, sf_dir):
     return floor(sparse_orders(spark, sf_dir), probes(spark, sf_dir), "probe", keep=["o_totalprice"])
 
 
-@register("neighbour_keys", "SELECT o_orderkey, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS next_key, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS prev_key FROM orders WHERE o_orderkey % 5 = 2")
+@register("neighbour_keys", "SELECT o_orderkey, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS next_key, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS prev_key FROM orders WHERE o_orderstatus = 'F'")
 def neighbour_keys(spark, sf_dir):
     return sparse_orders(spark, sf_dir).neighbours()
 
 
-@register("range_empty", "SELECT lo, hi, NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 5 = 2 AND o_orderkey BETWEEN lo AND hi) AS is_empty FROM (SELECT event_id AS lo, event_id + event_id % 7 AS hi FROM events)")
+@register("range_empty", f"WITH {SPARSE}, q AS (SELECT event_id AS lo, event_id + event_id % 7 AS hi FROM events) SELECT lo, hi, coalesce(o_orderkey > hi, true) AS is_empty FROM q ASOF LEFT JOIN o ON o_orderkey >= lo")
 def range_empty(spark, sf_dir):
     ranges = table(spark, sf_dir, "events").selectExpr("event_id AS lo", "event_id + event_id % 7 AS hi")
     return sparse_orders(spark, sf_dir).ranges_empty(ranges)
 
 
-@register(
-    "scan_n_from_key",
-    "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders WHERE o_orderkey % 5 = 2), p AS (SELECT event_id, event_id * 13 % 900 AS probe, 1 + event_id % 20 AS n FROM events WHERE event_id % 10 = 0), s AS (SELECT p.*, (SELECT min(r) FROM o WHERE o_orderkey >= probe) AS r0 FROM p) SELECT event_id, probe, n, o_orderkey FROM s JOIN o ON r BETWEEN r0 AND r0 + n - 1",
-)
+@register("scan_n_from_key", f"WITH {SPARSE}, q AS (SELECT event_id, event_id * 13 % 15000 AS probe, 1 + event_id % 20 AS n FROM events), s AS (SELECT event_id, probe, n, unnest(range(r, r + n)) AS r FROM q ASOF JOIN o ON o_orderkey >= probe) SELECT event_id, probe, n, o_orderkey FROM s JOIN o USING (r)")
 def scan_n_from_key(spark, sf_dir):
-    asks = table(spark, sf_dir, "events").where("event_id % 10 = 0").selectExpr("event_id", "event_id * 13 % 900 AS probe", "1 + event_id % 20 AS n")
+    asks = table(spark, sf_dir, "events").selectExpr("event_id", "event_id * 13 % 15000 AS probe", "1 + event_id % 20 AS n")
     return sparse_orders(spark, sf_dir).scan_n(asks, "probe", "n", 100).select("event_id", "probe", "n", "o_orderkey")
 
 
+def index_probes(spark, sf_dir):
+    return table(spark, sf_dir, "events").selectExpr("event_id", "user_id AS c", "event_id * 7919 % 16000 AS o", "1 + event_id % 9 AS n")
+
+
+@register("index_floor_probe", f"WITH {INDEX} SELECT event_id, c, o, n, o_custkey, o_orderkey, o_totalprice FROM p ASOF LEFT JOIN i ON k <= pk")
+def index_floor_probe(spark, sf_dir):
+    """Greatest (customer, order) key not above the probe."""
+    return floor(order_index(spark, sf_dir), index_probes(spark, sf_dir), ["c", "o"], keep=["o_totalprice"])
+
+
+@register("index_ceiling_probe", f"WITH {INDEX} SELECT event_id, c, o, n, o_custkey, o_orderkey FROM p ASOF LEFT JOIN i ON k >= pk")
+def index_ceiling_probe(spark, sf_dir):
+    return ceiling(order_index(spark, sf_dir), index_probes(spark, sf_dir), ["c", "o"])
+
+
+@register("index_prefix_probe", f"WITH {INDEX} SELECT event_id, c, o, n, o_custkey, o_orderkey FROM p ASOF LEFT JOIN i ON k >= c * 1000000000")
+def index_prefix_probe(spark, sf_dir):
+    """First key of a customer, or of the next one that has any, from the leading column alone."""
+    return ceiling(order_index(spark, sf_dir), index_probes(spark, sf_dir), "c")
+
+
+@register("index_neighbours", "SELECT o_custkey, o_orderkey, lead(o_custkey) OVER w AS next_customer, lead(o_orderkey) OVER w AS next_order, lag(o_custkey) OVER w AS prev_customer, lag(o_orderkey) OVER w AS prev_order FROM orders WINDOW w AS (ORDER BY o_custkey, o_orderkey)")
+def index_neighbours(spark, sf_dir):
+    found = order_index(spark, sf_dir).neighbours()
+    part = lambda side, key, name: F.col(f"{side}_key.{key}").alias(f"{side}_{name}")
+    return found.select("o_custkey", "o_orderkey", *(part(s, k, n) for s in ("next", "prev") for k, n in (("o_custkey", "customer"), ("o_orderkey", "order"))))
+
+
+@register("index_scan_n", f"WITH {INDEX}, s AS (SELECT event_id, c, o, unnest(range(r, r + n)) AS r FROM p ASOF JOIN i ON k >= pk) SELECT event_id, c, o, o_custkey, o_orderkey FROM s JOIN i USING (r)")
+def index_scan_n(spark, sf_dir):
+    """Up to nine entries of the composite index from the probe on."""
+    return order_index(spark, sf_dir).scan_n(index_probes(spark, sf_dir), ["c", "o"], "n", 100).select("event_id", "c", "o", "o_custkey", "o_orderkey")
+
+
+@register("index_range_empty", f"WITH {INDEX} SELECT c, o, o + 40 AS top, coalesce(k > c * 1000000000 + o + 40, true) AS is_empty FROM p ASOF LEFT JOIN i ON k >= pk")
+def index_range_empty(spark, sf_dir):
+    ranges = index_probes(spark, sf_dir).select("c", "o", F.col("c").alias("c2"), (F.col("o") + 40).alias("top"))
+    return order_index(spark, sf_dir).ranges_empty(ranges, ["c", "o"], ["c2", "top"]).drop("c2")
+
+
+@register("name_probe", "WITH p AS (SELECT event_id, 'Customer#' || lpad(CAST(event_id * 31 % 20000 AS VARCHAR), 9, '0') || '.' AS name FROM events) SELECT event_id, name, c_name, c_custkey FROM p ASOF LEFT JOIN customer ON c_name <= name")
+def name_probe(spark, sf_dir):
+    """Floor match on a text key."""
+    index = KeyedTable(table(spark, sf_dir, "customer").select("c_name", "c_custkey"), ["c_name"])
+    asks = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Customer#"), F.lpad((F.col("event_id") * 31 % 20000).cast("string"), 9, "0"), F.lit(".")).alias("name"))
+    return floor(index, asks, "name", keep=["c_custkey"])
+
+
+@register("index_range_remove", "SELECT o_custkey, o_orderkey FROM orders WHERE NOT ((o_custkey, o_orderkey) >= (20, 300) AND (o_custkey, o_orderkey) <= (70, 900))")
+def index_range_remove(spark, sf_dir):
+    return order_index(spark, sf_dir).range_remove((20, 300), (70, 900)).df.select("o_custkey", "o_orderkey")
+
+
+@register("insert_batch", "SELECT count(*) AS n, round(sum(p), 2) AS total FROM (SELECT o_orderkey, o_totalprice AS p FROM orders UNION ALL SELECT user_id + 1000000 AS k, min(value) FROM events GROUP BY user_id)")
+def insert_batch(spark, sf_dir):
+    """Several rows of one new key in a batch: one is added, the others are refused."""
+    base = KeyedTable(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    rows = table(spark, sf_dir, "events").selectExpr("user_id + 1000000 AS o_orderkey", "value AS o_totalprice")
+    return base.insert(rows).df.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @register("insert_duplicates", "SELECT event_id * 4 AS o_orderkey, value AS o_totalprice FROM events WHERE event_id * 4 IN (SELECT o_orderkey FROM orders)")
 def insert_duplicates(spark, sf_dir):
     rows = table(spark, sf_dir, "events").selectExpr("event_id * 4 AS o_orderkey", "value AS o_totalprice")
@@ -190,14 +253,12 @@ def nc_move(spark, sf_dir):
     return new_keys.join(new_values, "tid").select("s_suppkey", "tid", "s_name")
 
 
-@register("fold_order", "SELECT event_id, value_key, rank() OVER (ORDER BY value_key) AS by_number FROM (SELECT event_id, CAST(floor(value) AS INTEGER) - 250 AS value_key FROM events WHERE event_id < 500)")
+@register("fold_order", "SELECT event_id, value_key, row_number() OVER (ORDER BY value_key, event_id) AS by_number FROM (SELECT event_id, CAST(floor(value) AS INTEGER) - 250 AS value_key FROM events)")
 def fold_order(spark, sf_dir):
-    """Ranks by folded bytes equal ranks by number; the key column is small by its filter."""
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "events").where("event_id < 500").selectExpr("event_id", "CAST(floor(value) AS INT) - 250 AS value_key")
-    folded = rows.withColumn("__f", folded_int(F.col("value_key")))
-    return folded.withColumn("by_number", F.rank().over(Window.orderBy("__f")).cast("bigint")).drop("__f")
+    """Ranks by folded bytes equal ranks by number, for all rows."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "CAST(floor(value) AS INT) - 250 AS value_key")
+    ranked = global_rank(rows.withColumn("__f", folded_int(F.col("value_key"))), "__f", "event_id")
+    return ranked.select("event_id", "value_key", F.col("rank").alias("by_number"))
 
 
 @register("deterministic_update", "SELECT o_orderkey, round(o_totalprice + coalesce(d, 0), 2) AS o_totalprice FROM orders LEFT JOIN (SELECT event_id % 500 AS o_orderkey, sum(value) AS d FROM events GROUP BY 1) USING (o_orderkey)")
@@ -208,11 +269,11 @@ def deterministic_update(spark, sf_dir):
     return joined.select("o_orderkey", F.round(F.col("o_totalprice") + F.coalesce("d", F.lit(0.0)), 2).alias("o_totalprice"))
 
 
-@register("merge_sorted", "SELECT o_orderkey AS k, 'live' AS side FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT event_id, 'dead' FROM events WHERE event_id % 2 = 1")
+@register("merge_sorted", "SELECT o_orderkey AS k, 'live' AS side FROM orders UNION ALL SELECT event_id, 'dead' FROM events")
 def merge_sorted(spark, sf_dir):
     """Ordered merge of two sorted inputs."""
-    live = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").selectExpr("o_orderkey AS k", "'live' AS side")
-    dead = table(spark, sf_dir, "events").where("event_id % 2 = 1").selectExpr("event_id AS k", "'dead' AS side")
+    live = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "'live' AS side")
+    dead = table(spark, sf_dir, "events").selectExpr("event_id AS k", "'dead' AS side")
     return live.unionByName(dead).orderBy("k")
 
 
