@@ -121,8 +121,9 @@ class PrefixTable:
         j = bisect_right(starts, p - 1) - 1
         w, inside = words[j], p - starts[j]
         before = sums[j - 1] if j else 0
-        blank_before = j > 0 and words[j - 1].isspace()
-        if inside >= len(w) and not (w.isspace() and blank_before):
+        blank = lambda x: x[-1].isspace()  # noqa: E731  (a word ends with white space only if it is nothing else)
+        blank_before = j > 0 and blank(words[j - 1])
+        if inside >= len(w) and not (blank_before and blank(w)):
             return sums[j]
         head = w[: min(inside, 4)]
         if w in self.vocabulary.special or (w[0] == "'" and inside < 4) or (blank_before and head.isspace()):
