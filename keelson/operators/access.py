@@ -14,30 +14,68 @@ from keelson.functions.scalar import log2_bucket
 ALPHA, SKEW_RATIO, SLOT_RATIO, TOP_BUCKET = 0.25, 0.10, 0.5, 15
 
 
-def count_min(stream: DataFrame, key: str, rows: int = 4, cols: int = 1024) -> DataFrame:
+#: Fixed values: (rows, columns) of the sketches of pages and of records.
+PAGE_SKETCH, RECORD_SKETCH = (12, 1024 * 1024), (4, 64 * 1024)
+
+
+def _cells(key: str | list[str], rows: int, cols: int) -> Column:
+    """A key's cell in every row; a key of several columns, such as (page, slot), is hashed as a whole."""
+    parts = [F.col(k) for k in ([key] if isinstance(key, str) else key)]
+    return F.explode(F.array(*(F.struct(F.lit(r).alias("row"), F.pmod(F.xxhash64(*parts, F.lit(r)), F.lit(cols)).alias("col")) for r in range(rows))))
+
+
+def count_min(stream: DataFrame, key: str | list[str], rows: int = 4, cols: int = 1024) -> DataFrame:
     """Sketch cells (row, col, n): every key counts once in each row."""
-    cells = stream.select(F.explode(F.array(*(F.struct(F.lit(r).alias("row"), F.pmod(F.xxhash64(F.col(key), F.lit(r)), F.lit(cols)).alias("col")) for r in range(rows)))).alias("c"))
+    cells = stream.select(_cells(key, rows, cols).alias("c"))
     return cells.groupBy("c.row", "c.col").agg(F.count("*").alias("n"))
 
 
-def estimate(keys: DataFrame, key: str, sketch: DataFrame, rows: int = 4, cols: int = 1024) -> DataFrame:
-    """``keys`` with the least of their cells: never below the true count.  The sketch has at most rows x cols rows."""
-    asked = keys.select("*", F.explode(F.array(*(F.struct(F.lit(r).alias("row"), F.pmod(F.xxhash64(F.col(key), F.lit(r)), F.lit(cols)).alias("col")) for r in range(rows)))).alias("c"))
-    cell = F.broadcast(sketch.select(F.col("row").alias("r"), F.col("col").alias("k"), F.col("n").alias("__n")))
+def estimate(keys: DataFrame, key: str | list[str], sketch: DataFrame, rows: int = 4, cols: int = 1024) -> DataFrame:
+    """``keys`` with the least of their cells: never below the true count.  The sketch has at most rows x cols rows; one
+    of more than a quarter of a million is joined, not broadcast."""
+    asked = keys.select("*", _cells(key, rows, cols).alias("c"))
+    cell = sketch.select(F.col("row").alias("r"), F.col("col").alias("k"), F.col("n").alias("__n"))
+    cell = F.broadcast(cell) if rows * cols <= 1 << 18 else cell
     met = asked.join(cell, (F.col("c.row") == F.col("r")) & (F.col("c.col") == F.col("k")), "left")
     return met.groupBy(*keys.columns).agg(F.min(F.coalesce("__n", F.lit(0))).alias("estimate"))
 
 
-def aged_counts(stream: DataFrame, key: str, epoch: str, epochs: int) -> DataFrame:
-    """Counter of every key after ``epochs`` epochs, halved (rounding down) before each epoch is added."""
-    per = stream.where(F.col(epoch) < epochs).groupBy(key, epoch).agg(F.count("*").alias("n"))
-    by_key = per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(epoch, "n"))).alias("m"))
-    steps = F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: F.coalesce(F.element_at("m", e.cast("bigint")), F.lit(0).cast("bigint")))
-    return by_key.select(key, F.aggregate(steps, F.lit(0).cast("bigint"), lambda s, c: F.shiftright(s, 1) + c).alias("aged"))
+def running_counters(stream: DataFrame, key: str, epoch: str) -> DataFrame:
+    """(key, epoch, n, counter) for every epoch that a key is used in: its uses there, and its counter after them,
+    halved (rounding down) before each epoch is added.
+
+    Idle epochs are one shift by their number.  The rule is sequential in a key's epochs, so these are sorted and passed
+    over once, in batches: a task's memory does not grow with a key's history."""
+    per = stream.groupBy(F.col(key).alias("key"), F.col(epoch).cast("bigint").alias("epoch")).agg(F.count("*").alias("n"))
+    parts = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = per.schema["key"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, at, counter = object(), 0, 0
+        for batch in batches:
+            out = []
+            for k, e, n in zip(*(batch.column(c).to_pylist() for c in ("key", "epoch", "n")), strict=True):
+                counter = (counter >> (e - at) if k == held else 0) + n
+                held, at = k, e
+                out.append(counter)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], ["key", "epoch", "n", "counter"])
+
+    ordered = per.repartition(parts, "key").sortWithinPartitions("key", "epoch")
+    return ordered.mapInArrow(run, f"key {kind}, epoch bigint, n bigint, counter bigint")
+
+
+def aged_counts(stream: DataFrame, key: str, epoch: str) -> DataFrame:
+    """Counter of every key after the last epoch of the stream."""
+    last = stream.agg(F.max(F.col(epoch).cast("bigint")).alias("last"))
+    final = running_counters(stream, key, epoch).groupBy("key").agg(F.max(F.struct("epoch", "counter")).alias("c"))
+    idle = F.least(F.col("last") - F.col("c.epoch"), F.lit(63)).cast("int")
+    return final.crossJoin(F.broadcast(last)).select(F.col("key").alias(key), F.call_function("shiftright", F.col("c.counter"), idle).alias("aged"))
 
 
 def first_distinct(stream: DataFrame, key: str, epoch: str, order: str, limit: int) -> DataFrame:
-    """First ``limit`` distinct keys of every epoch by first use."""
+    """First ``limit`` distinct keys of every epoch by first use; each task sends on no more than its own first ``limit``."""
     first = stream.groupBy(epoch, key).agg(F.min(order).alias("first_seq"))
     w = Window.partitionBy(epoch).orderBy("first_seq")
     return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
@@ -139,19 +177,27 @@ def safe_to_delete(deleted: DataFrame, active: DataFrame) -> DataFrame:
     return deleted.crossJoin(F.broadcast(least)).withColumn("safe", F.col("__least").isNull() | (F.col("__least") > F.col("epoch"))).drop("__least")
 
 
-def epoch_histograms(stream: DataFrame, key: str, epoch: str, epochs: int) -> DataFrame:
-    """(epoch, bucket, keys): the running histogram after each epoch's update.
+def epoch_histograms(stream: DataFrame, key: str, epoch: str) -> DataFrame:
+    """(epoch, bucket, keys): the running histogram after the update of each epoch, up to the last of the stream.
 
     At an epoch's end every used key's aged counter is put into its bucket, after all buckets
     have moved down by one.  So a key of bucket b counts in bucket b - d of the d-th
     epoch after it, for d = 0 .. b: at most sixteen rows a key, and no loop over epochs."""
-    per = stream.where(F.col(epoch) < epochs).groupBy(key, epoch).agg(F.count("*").alias("n"))
-    by_key = per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(epoch, "n"))).alias("m"))
-    used = F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: F.coalesce(F.element_at("m", e.cast("bigint")), F.lit(0).cast("bigint")))
-    start = F.array(F.lit(0).cast("bigint"))
-    counters = F.aggregate(used, start, lambda s, c: F.concat(s, F.array(F.shiftright(F.element_at(s, -1), 1) + c)))
-    rows = by_key.select(F.posexplode(F.slice(F.arrays_zip(counters.alias("c"), F.concat(start, used).alias("u")), 2, epochs)).alias("e", "x"))
-    seen = rows.where("x.u > 0").select("e", log2_bucket(F.col("x.c"), TOP_BUCKET).alias("b"))
-    moved = seen.groupBy("e", "b").agg(F.count("*").alias("k")).select("e", "b", "k", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("d"))
-    moved = moved.select((F.col("e") + F.col("d")).cast("bigint").alias("epoch"), (F.col("b") - F.col("d")).alias("bucket"), "k").where(F.col("epoch") < epochs)
+    last = stream.agg(F.max(F.col(epoch).cast("bigint")).alias("last"))
+    seen = running_counters(stream, key, epoch).select("epoch", log2_bucket(F.col("counter"), TOP_BUCKET).alias("b"))
+    moved = seen.groupBy("epoch", "b").agg(F.count("*").alias("k")).select("epoch", "b", "k", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("d"))
+    moved = moved.select((F.col("epoch") + F.col("d")).alias("epoch"), (F.col("b") - F.col("d")).alias("bucket"), "k")
+    moved = moved.crossJoin(F.broadcast(last)).where("epoch <= last")
     return moved.groupBy("epoch", "bucket").agg(F.sum("k").alias("keys"))
+
+
+def page_clock(stream: DataFrame, page: str, epoch: str) -> DataFrame:
+    """(page, idle, state, tier): what an epoch clock makes of a page after the last epoch.  A used page is hot and in
+    DRAM; idle ones cool first, then go down a tier for every two further idle epochs."""
+    last = stream.agg(F.max(F.col(epoch).cast("bigint")).alias("__last"))
+    used = stream.groupBy(page).agg(F.max(F.col(epoch).cast("bigint")).alias("__used")).crossJoin(F.broadcast(last))
+    idle = F.col("__last") - F.col("__used")
+    return used.select(
+        page, idle.alias("idle"), F.when(idle == 0, "HOT").otherwise("COOL").alias("state"),
+        F.when(idle <= 1, "DRAM").when(idle <= 3, "CXL").otherwise("SSD").alias("tier"),
+    )

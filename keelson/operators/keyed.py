@@ -209,6 +209,11 @@ def _ranges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("__g", first).withColumn("__g", inside)
 
 
+def cut_by(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with ``__g``, rising with the key columns: groups by which sorting can be dealt out."""
+    return _ranges(df, keys)
+
+
 def global_rank(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with ``rank`` from 1 in the given order: ranks inside ranges of the order's columns,
     plus the number of rows in earlier ranges (one row a range)."""

@@ -72,3 +72,56 @@ def parse_progress(lines: DataFrame) -> DataFrame:
         number(F.regexp_extract(clean, r"Progress ([0-9.,]*[0-9])/", 1)).alias("done"), number(F.regexp_extract(clean, r"/([0-9.,]*[0-9])", 1)).alias("total"),
         F.regexp_extract(clean, r"throughput=([0-9.]+)", 1).cast("double").alias("mqps"), F.regexp_extract(clean, r"RC_HR=([0-9.]+)%", 1).cast("double").alias("rc_hit_pct"),
     )
+
+
+#: The fields of a sweep's result lines: column, what marks the line, the pattern of the value, its type.
+SWEEP_FIELDS = (
+    ("trigger_window", "trigger_window=", r"trigger_window=([0-9]+)", "bigint"),
+    ("rc_fill", "Final", r"fill=([0-9.]+)", "double"),
+    ("rc_hr", "mode=two_level", r"RC_HR=([0-9.]+)", "double"),
+    ("mqps", "mode=two_level", r"Mqps=([0-9.]+)", "double"),
+    ("p95_us", "mode=two_level", r"p95_us=([0-9.]+)", "double"),
+    ("p99_us", "mode=two_level", r"p99_us=([0-9.]+)", "double"),
+    ("skew_promote", "skew_promote=", r"skew_promote=([0-9]+)", "bigint"),
+    ("uniform_promote", "skew_promote=", r"uniform_promote=([0-9]+)", "bigint"),
+    ("sieve_evicted", "SIEVE evicted_entries", r"([0-9]+)[^0-9]*$", "bigint"),
+)
+
+
+def sweep_table(lines: DataFrame) -> DataFrame:
+    """One row per run of a parameter sweep, from the lines (file, line, value) of its result files.
+
+    Run group, workload and sketch columns stand in the file's name; of every other field the last line that has it
+    counts, and a field that no line has is null."""
+    clean = F.regexp_replace("value", "\x1b\\[[0-9;]*m", "")
+    name = lambda pattern: F.nullif(F.regexp_extract("file", pattern, 1), F.lit(""))
+    rows = lines.select(
+        name(r"result_([A-Z][0-9])_ycsb").alias("run_group"), name(r"result_[A-Z][0-9]_ycsb([bc])_").alias("w"), name(r"cols([0-9]+[KMG]?)").alias("cms_cols"), "line", clean.alias("v")
+    ).where("run_group IS NOT NULL AND w IS NOT NULL")
+    found = [
+        F.max_by(F.nullif(F.regexp_extract("v", pattern, 1), F.lit("")), F.when(F.col("v").contains(mark), F.col("line"))).cast(kind).alias(column)
+        for column, mark, pattern, kind in SWEEP_FIELDS
+    ]
+    return rows.groupBy("run_group", F.concat(F.lit("YCSB-"), F.upper("w")).alias("workload"), "cms_cols").agg(*found)
+
+
+def metric_tables(events: DataFrame, config: DataFrame) -> dict[str, DataFrame]:
+    """The metric tables of a run, each joined to its configuration by ``c_hash``: buffer manager (bm), data structures
+    (dt), processor (cpu), concurrency and recovery (cr), and the configurations.
+
+    ``events``: (t, c_hash, user_id, event_type, value); a page is 4 KiB, and a worker is one of four by user."""
+    n = lambda kind: F.count(F.when(F.col("event_type") == kind, 1))
+    mib = lambda kind, name: F.round(n(kind) / 256.0, 4).alias(name)
+    pages = F.countDistinct("user_id")
+    base = ["t", "c_hash"]
+    tables = {
+        "bm": events.groupBy(*base).agg(
+            pages.alias("consumed_pages"), F.round(pages * 4.0, 4).alias("space_usage_kib"), mib("error", "evicted_mib"), mib("purchase", "w_mib"), mib("view", "r_mib"), n("signup").alias("allocate_ops")
+        ),
+        "dt": events.groupBy(*base, F.col("event_type").alias("dt_name")).agg(F.count("*").alias("dt_page_reads"), F.count(F.when(F.col("value") > 100, 1)).alias("dt_page_writes")),
+        "cpu": events.groupBy(*base, (F.col("user_id") % 4).alias("worker")).agg(F.round(F.sum("value"), 2).alias("cycles"), F.round(F.sum("value") / F.count("*"), 4).alias("cycles_per_tx")),
+        "cr": events.groupBy(*base).agg(
+            (F.count("*") - n("error")).alias("tx"), n("error").alias("tx_abort"), n("view").alias("olap_tx"), F.round(100.0 * n("error") / F.count("*"), 4).alias("abort_pct")
+        ),
+    }
+    return {name: df.join(config, "c_hash").drop("c_hash") for name, df in tables.items()} | {"configs": config}

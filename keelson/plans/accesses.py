@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from keelson.functions.generators import shard
 from keelson.operators import access, simulate
+from keelson.plans.generating import FNV
 from keelson.plans.registry import register
 from keelson.sources.tables import access_sequence, accesses, table, with_sql
 
@@ -46,9 +48,30 @@ def cms_error(spark, sf_dir):
     )
 
 
-@register("cms_aging", f"{SEQ}, e AS (SELECT p.page_id, r.epoch, count(a.seq) AS n FROM (SELECT DISTINCT page_id FROM acc_seq WHERE epoch < 8) p CROSS JOIN range(0, 8) r(epoch) LEFT JOIN acc_seq a ON a.page_id = p.page_id AND a.epoch = r.epoch GROUP BY ALL) SELECT page_id, list_reduce(list(n ORDER BY epoch), lambda s, c: s // 2 + c) AS aged FROM e GROUP BY page_id")
+#: Every page in every epoch of the stream, with its uses there.
+GRID = f"{SEQ}, top AS (SELECT max(epoch) AS t FROM acc_seq), e AS (SELECT p.page_id, r.epoch, count(a.seq) AS n FROM (SELECT DISTINCT page_id FROM acc_seq) p CROSS JOIN (SELECT unnest(range(0, t + 1)) AS epoch FROM top) r LEFT JOIN acc_seq a ON a.page_id = p.page_id AND a.epoch = r.epoch GROUP BY ALL)"
+
+
+@register("cms_aging", f"{GRID} SELECT page_id, list_reduce(list(n ORDER BY epoch), lambda s, c: s // 2 + c) AS aged FROM e GROUP BY page_id")
 def cms_aging(spark, sf_dir):
-    return access.aged_counts(access_sequence(spark, sf_dir), "page_id", "epoch", 8)
+    return access.aged_counts(access_sequence(spark, sf_dir), "page_id", "epoch")
+
+
+@register("page_clock", f"{SEQ}, u AS (SELECT page_id, (SELECT max(epoch) FROM acc_seq) - max(epoch) AS idle FROM acc_seq GROUP BY page_id) SELECT page_id, idle, CASE WHEN idle = 0 THEN 'HOT' ELSE 'COOL' END AS state, CASE WHEN idle <= 1 THEN 'DRAM' WHEN idle <= 3 THEN 'CXL' ELSE 'SSD' END AS tier FROM u")
+def page_clock(spark, sf_dir):
+    return access.page_clock(access_sequence(spark, sf_dir, window=100), "page_id", "epoch")
+
+
+@register("sketch_bounds", f"{ACC}, r AS (SELECT page_id, slot_id, count(*) AS n FROM acc GROUP BY 1, 2) SELECT 'page' AS sketch, count(*) AS keys, 0::BIGINT AS below FROM (SELECT page_id FROM r GROUP BY 1) UNION ALL SELECT 'record', count(*), 0 FROM r")
+def sketch_bounds(spark, sf_dir):
+    """Page and record sketches in the sizes they are used in: no estimate is below the true count."""
+    stream, out = accesses(spark, sf_dir), None
+    for name, key, (rows, cols) in (("page", ["page_id"], access.PAGE_SKETCH), ("record", ["page_id", "slot_id"], access.RECORD_SKETCH)):
+        exact = stream.groupBy(*key).agg(F.count("*").alias("n"))
+        guessed = access.estimate(exact, key, access.count_min(stream, key, rows, cols), rows, cols)
+        one = guessed.agg(F.lit(name).alias("sketch"), F.count("*").alias("keys"), F.count(F.when(F.col("estimate") < F.col("n"), 1)).alias("below"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("first_n_distinct", f"{SEQ}, f AS (SELECT epoch, page_id, min(seq) AS first_seq FROM acc_seq GROUP BY 1, 2) SELECT epoch, page_id, first_seq FROM f QUALIFY row_number() OVER (PARTITION BY epoch ORDER BY first_seq) <= 6")
@@ -104,13 +127,19 @@ def admit_pages(spark, sf_dir):
     return counts.crossJoin(F.broadcast(limit)).where("n >= coarse").select("page_id", "n")
 
 
-@register("histogram_report", f"{PAGES} SELECT CAST(bucket AS INTEGER) AS bucket, 1::BIGINT << bucket::INTEGER AS low, keys, round(100.0 * keys / sum(keys) OVER (), 2) AS pct, repeat('#', CAST(ceil(20.0 * keys / max(keys) OVER ()) AS INTEGER)) AS bar FROM hist")
+@register("histogram_report", f"{PAGES}, c AS (SELECT bucket, keys, sum(keys) OVER (ORDER BY bucket) AS upto, sum(keys) OVER (ORDER BY bucket DESC) AS down, sum(keys) OVER () AS total FROM hist), t AS (SELECT max(bucket) AS b FROM c WHERE down >= greatest(1, floor(total / 4))) SELECT CAST(bucket AS INTEGER) AS bucket, CASE WHEN bucket = 0 THEN '[1]' ELSE '[' || (1::BIGINT << bucket::INTEGER) || ', ' || ((2::BIGINT << bucket::INTEGER) - 1) || ']' END AS visit_range, keys, CAST(upto AS BIGINT) AS cumulative, round(100.0 * keys / total, 1) AS pct, repeat('█', CAST(50 * keys // total AS INTEGER)) AS bar, CASE WHEN bucket = b THEN '<- THRESHOLD' ELSE '' END AS marker FROM c, t")
 def histogram_report(spark, sf_dir):
-    hist = access.histogram(pages(spark, sf_dir), "n")
-    whole = Window.partitionBy()
-    return hist.select(
-        "bucket", F.pow(F.lit(2), F.col("bucket")).cast("bigint").alias("low"), "keys", F.round(100.0 * F.col("keys") / F.sum("keys").over(whole), 2).alias("pct"),
-        F.expr("repeat('#', CAST(ceil(20.0 * keys / max(keys) OVER ()) AS INT))").alias("bar"),
+    """The histogram as it is printed: ranges, cumulative counts, shares, bars, and the coarse threshold's bucket."""
+    counts = pages(spark, sf_dir)
+    hist = access.histogram(counts, "n")
+    whole, upto = Window.partitionBy(), Window.orderBy("bucket")
+    low = F.pow(F.lit(2), F.col("bucket")).cast("bigint")
+    coarse = access.thresholds(counts, "n", 1, 3).select("coarse")
+    rows = hist.withColumn("total", F.sum("keys").over(whole)).withColumn("cumulative", F.sum("keys").over(upto)).join(F.broadcast(coarse), how="left")
+    return rows.select(
+        "bucket", F.when(F.col("bucket") == 0, "[1]").otherwise(F.concat(F.lit("["), low, F.lit(", "), 2 * low - 1, F.lit("]"))).alias("visit_range"), "keys", "cumulative",
+        F.round(100.0 * F.col("keys") / F.col("total"), 1).alias("pct"), F.expr("repeat('█', CAST(50 * keys div total AS INT))").alias("bar"),
+        F.when(low == F.col("coarse"), "<- THRESHOLD").otherwise("").alias("marker"),
     )
 
 
@@ -241,10 +270,10 @@ def eviction_policy(spark, sf_dir):
     return rows.withColumn("action", action)
 
 
-@register("promotion_intake", "WITH live AS (SELECT DISTINCT user_id AS rec FROM events WHERE event_type = 'view' AND event_id % 3 = 0), c AS (SELECT l_partkey AS rec, count(*) AS n FROM lineitem GROUP BY 1) SELECT rec, n FROM c WHERE rec NOT IN (SELECT rec FROM live) QUALIFY row_number() OVER (ORDER BY n DESC, rec) <= 40")
+@register("promotion_intake", "WITH live AS (SELECT DISTINCT user_id AS rec FROM events WHERE event_type = 'view' AND value > 80), c AS (SELECT l_partkey AS rec, count(*) AS n FROM lineitem GROUP BY 1) SELECT rec, n FROM c WHERE rec NOT IN (SELECT rec FROM live) QUALIFY row_number() OVER (ORDER BY n DESC, rec) <= 40")
 def promotion_intake(spark, sf_dir):
     """Candidates that are not cached yet, as many as the cache has room for."""
-    live = table(spark, sf_dir, "events").where("event_type = 'view' AND event_id % 3 = 0").select(F.col("user_id").alias("rec")).distinct()
+    live = table(spark, sf_dir, "events").where("event_type = 'view' AND value > 80").select(F.col("user_id").alias("rec")).distinct()
     counts = accesses(spark, sf_dir).groupBy("rec").agg(F.count("*").alias("n"))
     return counts.join(live, "rec", "left_anti").orderBy(F.col("n").desc(), "rec").limit(40)
 
@@ -273,9 +302,11 @@ def cache_capacity(spark, sf_dir):
     return rows.crossJoin(F.broadcast(n)).select("payload", "capacity", F.round(F.col("n") * 1.0 / F.col("capacity"), 6).alias("fill"))
 
 
-@register("shard_counts", "SELECT (l_partkey * 2654435761 % 4294967296) % 16 AS shard, count(*) AS n FROM lineitem GROUP BY 1")
+@register("shard_counts", f"SELECT CAST({FNV.format('l_partkey')} % 16 AS BIGINT) AS shard, count(*) AS n FROM lineitem GROUP BY 1")
 def shard_counts(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.expr("(l_partkey * 2654435761 % 4294967296) % 16").alias("shard")).agg(F.count("*").alias("n"))
+    """Keys by shard; each distinct key is hashed once."""
+    per = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("k"))
+    return per.groupBy(shard(F.col("l_partkey"), 16).alias("shard")).agg(F.sum("k").alias("n"))
 
 
 @register("merge_candidates", f"{PAGES} SELECT page_id FROM (SELECT page_id, sum(least(n, 600) / 600.0) OVER w AS fill, count(*) OVER w AS k FROM pages WINDOW w AS (PARTITION BY page_id // 64 ORDER BY page_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE k = 5 AND 5 - ceil(round(fill, 6)) >= 1")
@@ -297,9 +328,9 @@ def lru_simulation(spark, sf_dir):
     return simulate.simulate(access_sequence(spark, sf_dir), "rec", "seq", "lru", 10, 8)
 
 
-@register("epoch_histograms", f"{SEQ}, e AS (SELECT p.page_id, r.epoch, count(a.seq) AS n FROM (SELECT DISTINCT page_id FROM acc_seq WHERE epoch < 6) p CROSS JOIN range(0, 6) r(epoch) LEFT JOIN acc_seq a ON a.page_id = p.page_id AND a.epoch = r.epoch GROUP BY ALL), l AS (SELECT page_id, list(n ORDER BY epoch) AS ns FROM e GROUP BY 1), c AS (SELECT i AS epoch, ns[i + 1] AS n, list_reduce(ns[1:i + 1], lambda s, x: s // 2 + x) AS c FROM l, range(0, 6) r(i)), b AS (SELECT epoch, {LOG2.format('c')} AS b FROM c WHERE n > 0) SELECT r.i AS epoch, CAST(b - (r.i - epoch) AS INTEGER) AS bucket, count(*) AS keys FROM b JOIN range(0, 6) r(i) ON r.i >= epoch AND b - (r.i - epoch) >= 0 GROUP BY 1, 2")
+@register("epoch_histograms", f"{GRID}, l AS (SELECT page_id, list(n ORDER BY epoch) AS ns FROM e GROUP BY 1), i AS (SELECT unnest(range(0, t + 1)) AS i FROM top), c AS (SELECT i AS epoch, ns[i + 1] AS n, list_reduce(ns[1:i + 1], lambda s, x: s // 2 + x) AS c FROM l, i), b AS (SELECT epoch, {LOG2.format('c')} AS b FROM c WHERE n > 0) SELECT i.i AS epoch, CAST(b - (i.i - epoch) AS INTEGER) AS bucket, count(*) AS keys FROM b JOIN i ON i.i >= epoch AND b - (i.i - epoch) >= 0 GROUP BY 1, 2")
 def epoch_histograms(spark, sf_dir):
-    return access.epoch_histograms(access_sequence(spark, sf_dir), "page_id", "epoch", 6)
+    return access.epoch_histograms(access_sequence(spark, sf_dir), "page_id", "epoch")
 
 
 def _by_epoch(sql: str) -> str:

@@ -28,9 +28,9 @@ def zipf_ranks(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", generators.zipf_rank(u, 1000, 0.9).alias("rank"))
 
 
-@register("fnv_hash", f"SELECT event_id, CAST({FNV.format('event_id')} AS VARCHAR) AS fnv FROM events WHERE event_id < 2000")
+@register("fnv_hash", f"SELECT event_id, CAST({FNV.format('event_id')} AS VARCHAR) AS fnv FROM events")
 def fnv_hash(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_id < 2000").select("event_id", fnv1a_long(F.col("event_id")).cast("string").alias("fnv"))
+    return table(spark, sf_dir, "events").select("event_id", fnv1a_long(F.col("event_id")).cast("string").alias("fnv"))
 
 
 @register("fnv_text", "SELECT p_partkey, CAST(list_reduce([14695981039346656037::HUGEINT] || [ord(c)::HUGEINT FOR c IN string_split(p_brand, '')], lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS VARCHAR) AS fnv FROM part")
@@ -38,16 +38,16 @@ def fnv_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", fnv1a_text(F.col("p_brand")).cast("string").alias("fnv"))
 
 
-@register("scrambled_keys", f"SELECT event_id, CAST({FNV.format('(event_id % 97 + 1)')} % 5000 AS BIGINT) AS key FROM events WHERE event_id < 2000")
+@register("scrambled_keys", f"SELECT event_id, CAST({FNV.format('(event_id % 97 + 1)')} % 5000 AS BIGINT) AS key FROM events")
 def scrambled_keys(spark, sf_dir):
     """Ranks scattered over the key space by hash."""
-    return table(spark, sf_dir, "events").where("event_id < 2000").select("event_id", generators.scrambled(F.col("event_id") % 97 + 1, 5000).alias("key"))
+    return table(spark, sf_dir, "events").select("event_id", generators.scrambled(F.col("event_id") % 97 + 1, 5000).alias("key"))
 
 
-@register("place_record", f"SELECT event_id, CAST({FNV.format('event_id')} % 300 AS BIGINT) AS page_id, CAST({FNV.format('xor(event_id, 244837814094590)')} % 16 AS BIGINT) AS slot_id FROM events WHERE event_id < 1500")
+@register("place_record", f"SELECT event_id, CAST({FNV.format('event_id')} % 300 AS BIGINT) AS page_id, CAST({FNV.format('xor(event_id, 244837814094590)')} % 16 AS BIGINT) AS slot_id FROM events")
 def place_record(spark, sf_dir):
     """Record -> (page, slot) by two hashes."""
-    rows = table(spark, sf_dir, "events").where("event_id < 1500")
+    rows = table(spark, sf_dir, "events")
     return rows.select("event_id", *generators.placed(F.col("event_id"), 300, 16))
 
 
@@ -140,6 +140,63 @@ def config_hash_query(spark, sf_dir):
     return c.select("n_nationkey", config_hash(["n_nationkey", "n_regionkey", "n_name"]).alias("c_hash"))
 
 
-@register("splitmix", f"WITH s AS (SELECT event_id, (event_id::HUGEINT + 11400714819323198485) % 18446744073709551616 AS z FROM events WHERE event_id < 2000), a AS (SELECT event_id, (xor(z, z // 1073741824) * 13787848793156543929) % 18446744073709551616 AS z FROM s), b AS (SELECT event_id, (xor(z, z // 134217728)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM a) SELECT event_id, CAST(xor(z, z // 2147483648) AS VARCHAR) AS z FROM b".replace("(xor(z, z // 1073741824) * 13787848793156543929) % 18446744073709551616", "CAST((xor(z, z // 1073741824)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS HUGEINT)"))
+SPLITMIX = (
+    "WITH s AS (SELECT event_id, ((event_id::HUGEINT + 11400714819323198485) % 18446744073709551616)::UHUGEINT AS z FROM events), "
+    "a AS (SELECT event_id, (xor(z, z // 1073741824::UHUGEINT) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM s), "
+    "b AS (SELECT event_id, (xor(z, z // 134217728::UHUGEINT) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM a), "
+    "c AS (SELECT event_id, xor(z, z // 2147483648::UHUGEINT) AS z FROM b) "
+)
+
+
+@register("splitmix", SPLITMIX + "SELECT event_id, CAST(z AS VARCHAR) AS z FROM c")
 def splitmix(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_id < 2000").select("event_id", generators.splitmix64(F.col("event_id")).cast("string").alias("z"))
+    """Hash of every event's number."""
+    return table(spark, sf_dir, "events").select("event_id", generators.splitmix64(F.col("event_id")).cast("string").alias("z"))
+
+
+@register("uniform_numbers", SPLITMIX + "SELECT event_id, round(z::DOUBLE / 18446744073709551615::DOUBLE, 12) AS u FROM c")
+def uniform_numbers(spark, sf_dir):
+    """SplitMix64 as numbers between 0 and 1."""
+    return table(spark, sf_dir, "events").select("event_id", F.round(generators.next01(F.col("event_id")), 12).alias("u"))
+
+
+def zipf_sql(n: int, zeta: str) -> str:
+    """SQL of Zipf ranks from 0 (k): over ``n`` keys, with ``zeta`` the sum over ranks."""
+    return (
+        f"z AS (SELECT {zeta} AS zn, 1 + pow(2, -0.9) AS z2), u AS (SELECT event_id, (event_id * 7919 % 10007) / 10007.0::DOUBLE AS u FROM events), "
+        f"k AS (SELECT event_id, CAST(CASE WHEN u * zn < 1 THEN 0 WHEN u * zn < 1 + pow(0.5, 0.9) THEN 1 ELSE least(floor({n} * pow((1 - pow(2.0 / {n}, 0.1)) / (1 - z2 / zn) * u - (1 - pow(2.0 / {n}, 0.1)) / (1 - z2 / zn) + 1, 10)), {n - 1}) END AS BIGINT) AS rank FROM u, z)"
+    )
+
+
+SUM = "(SELECT sum(pow(i, -0.9)) FROM range(1, {0}) r(i))"
+
+
+def uniform():
+    return (F.col("event_id") * 7919 % 10007) / 10007.0
+
+
+@register("zipf_ranks_from_zero", f"WITH {zipf_sql(1000, SUM.format(1001))} SELECT event_id, rank FROM k")
+def zipf_ranks_from_zero(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", generators.zipf_rank0(uniform(), 1000, 0.9).alias("rank"))
+
+
+@register("zipf_ranks_approximate", f"WITH {zipf_sql(50000, SUM.format(1001) + ' + (pow(50000, 0.1) - pow(1000, 0.1)) / 0.1')} SELECT event_id, rank FROM k")
+def zipf_ranks_approximate(spark, sf_dir):
+    """A thousand exact terms, then an integral."""
+    return table(spark, sf_dir, "events").select("event_id", generators.zipf_rank0(uniform(), 50000, 0.9, exact=1000).alias("rank"))
+
+
+MIXED = "(({0})::UHUGEINT * {1}::UHUGEINT) % 18446744073709551616::UHUGEINT"
+
+
+@register("mixed_keys", f"WITH a AS (SELECT event_id, {MIXED.format('event_id', generators.MIX[0])} AS z FROM events), b AS (SELECT event_id, {MIXED.format('xor(z, z // 8589934592::UHUGEINT)', generators.MIX[1])} AS z FROM a) SELECT event_id, CAST(xor(z, z // 8589934592::UHUGEINT) % 5000::UHUGEINT AS BIGINT) AS key FROM b")
+def mixed_keys(spark, sf_dir):
+    """Ranks scattered over the key space by a multiplicative mix."""
+    return table(spark, sf_dir, "events").select("event_id", generators.mixed(F.col("event_id"), 5000).alias("key"))
+
+
+@register("growing_keys", f"WITH {zipf_sql(1200, SUM.format(1201))} SELECT event_id, rank + 1 AS rank, CAST({FNV.format('(rank + 1)')} % 1200 AS BIGINT) AS key FROM k")
+def growing_keys(spark, sf_dir):
+    """Scrambled Zipf keys after the key space has grown from 1,000 to 1,200."""
+    zipf = generators.GrowingZipf(1000, 0.9).grow_to(1200)
+    return table(spark, sf_dir, "events").select("event_id", zipf.rank(uniform()).alias("rank"), zipf.key(uniform()).alias("key"))

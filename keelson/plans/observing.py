@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.scalar import labelled_bucket
 from keelson.operators import observe
+from keelson.operators.keyed import shifted
 from keelson.operators.workloads import upper_median
 from keelson.plans.registry import register
 from keelson.sources.tables import accesses, latencies, table, with_sql
@@ -187,7 +188,7 @@ def upper_median_value(spark, sf_dir):
 def counter_deltas(spark, sf_dir):
     """Cumulative counters read once an interval, as increments (one row an interval)."""
     per = table(spark, sf_dir, "events").groupBy(F.expr("event_id div 1000").alias("bucket")).agg(F.max("event_id").alias("n"))
-    return per.withColumn("delta", F.col("n") - F.coalesce(F.lag("n").over(Window.orderBy("bucket")), F.lit(0)))
+    return shifted(per, ["bucket", "n"]).select("bucket", "n", (F.col("n") - F.coalesce("prev_key.n", F.lit(0))).alias("delta"))
 
 
 @register("console_row", "SELECT user_id % 4 AS worker, count(*) AS tx, round(100.0 * count(*) FILTER (WHERE event_type = 'error') / count(*), 4) AS abort_pct, round(sum(value) / count(*), 4) AS per_tx FROM events GROUP BY 1")
@@ -215,7 +216,8 @@ def best_of_sweep(spark, sf_dir):
 def trace_summary(spark, sf_dir):
     n = lambda kind: F.count(F.when(F.col("event_type") == kind, 1))
     rows = table(spark, sf_dir, "events").groupBy(F.expr("event_id div 500").alias("round")).agg(n("signup").alias("skew_records"), n("purchase").alias("uniform_pages"), F.min("event_id").alias("first"))
-    return rows.select("round", "skew_records", "uniform_pages", (F.col("skew_records") == 0).alias("idle"), (F.col("first") - F.coalesce(F.lag("first").over(Window.orderBy("round")), F.lit(0))).alias("interval"))
+    found = shifted(rows, ["round", "first"])
+    return found.select("round", "skew_records", "uniform_pages", (F.col("skew_records") == 0).alias("idle"), (F.col("first") - F.coalesce("prev_key.first", F.lit(0))).alias("interval"))
 
 
 @register("expected_visits", "WITH z AS (SELECT i, 100000 * pow(i, -0.9) / (SELECT sum(pow(j, -0.9)) FROM range(1, 5001) s(j)) AS lam FROM range(1, 5001) r(i)) SELECT count(*) FILTER (WHERE 1 - exp(-lam) * (1 + lam + lam * lam / 2) > 0.5) AS likely_thrice, round(sum(1 - pow(1 - lam / 100000, 100000)), 4) AS distinct_pages FROM z")
@@ -248,22 +250,75 @@ def sorted_runs(spark, sf_dir):
     return rows.orderBy("workload", F.col("mqps").desc())
 
 
-@register("log_epoch_ticks", "SELECT event_id AS req, event_id % 9 AS l1_fine_threshold, user_id AS promotions, event_id % 31 AS cleared_candidates FROM events WHERE event_id % 10 = 0")
+@register("log_epoch_ticks", "SELECT event_id AS req, event_id % 9 AS l1_fine_threshold, user_id AS promotions, event_id % 31 AS cleared_candidates FROM events WHERE event_type = 'view'")
 def log_epoch_ticks(spark, sf_dir):
-    """Log lines written out and parsed back."""
-    e = table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    """Log lines written out, a tick for every view and noise for the rest, and parsed back."""
     line = F.format_string("\x1b[32madmission_epoch_tick\x1b[0m req=%d l1_fine_threshold=%d promotions=%d cleared_candidates=%d", "event_id", F.col("event_id") % 9, "user_id", F.col("event_id") % 31)
-    return observe.parse_epoch_ticks(e.select(F.when(F.col("event_id") % 10 == 0, line).otherwise("noise").alias("value")))
+    return observe.parse_epoch_ticks(table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "view", line).otherwise("noise").alias("value")))
 
 
-@register("log_progress", "SELECT event_id * 1000 AS done, 20000000 AS total, round(user_id / 100.0, 2)::DOUBLE AS mqps, (event_id % 100)::DOUBLE AS rc_hit_pct FROM events WHERE event_id % 10 = 0 AND event_id >= 1000")
+@register("log_progress", "SELECT event_id * 1000 AS done, 20000000 AS total, round(user_id / 100.0, 2)::DOUBLE AS mqps, (event_id % 100)::DOUBLE AS rc_hit_pct FROM events")
 def log_progress(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 10 = 0 AND event_id >= 1000")
+    e = table(spark, sf_dir, "events")
     dots = F.replace(F.format_number(F.col("event_id") * 1000, 0), F.lit(","), F.lit("."))
     line = F.concat(F.lit("Progress "), dots, F.lit("/20.000.000, throughput="), F.format_string("%.2f", F.col("user_id") / 100.0), F.lit(" Mqps, RC_HR="), F.format_string("%d", F.col("event_id") % 100), F.lit("%"))
     return observe.parse_progress(e.select(line.alias("value"))).withColumn("total", F.col("total").cast("int"))
 
 
+SWEEP = "SELECT chr(CAST(65 + user_id % 3 AS INTEGER)) || (user_id % 4) AS run_group, CASE WHEN user_id % 2 = 0 THEN 'b' ELSE 'c' END AS workload, event_id, user_id, value FROM events"
+
+
+@register(
+    "sweep_table",
+    f"WITH e AS ({SWEEP}), l AS (SELECT run_group, workload, max(event_id) AS last FROM e GROUP BY 1, 2) SELECT run_group, 'YCSB-' || upper(e.workload) AS workload, '64K' AS cms_cols, last * 100 AS trigger_window, (last % 100)::DOUBLE AS rc_fill, (last % 97)::DOUBLE AS rc_hr, (last % 13)::DOUBLE AS mqps, (last % 50)::DOUBLE AS p95_us, (last % 70)::DOUBLE AS p99_us, last % 1000 AS skew_promote, user_id AS uniform_promote, last % 11 AS sieve_evicted FROM l JOIN e USING (run_group, workload) WHERE event_id = last",
+)
+def sweep_table(spark, sf_dir):
+    """A sweep's result files parsed into one table: of each field the last line that has it counts."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.chr(65 + F.col("user_id") % 3), F.col("user_id") % 4).alias("g"), F.when(F.col("user_id") % 2 == 0, "b").otherwise("c").alias("w"), "event_id", "user_id")
+    n = F.col("event_id")
+    lines = F.array(
+        F.format_string("\x1b[33mDEBUG\x1b[0m trigger_window=%d", n * 100), F.format_string("RC State (Final) fill=%d.0", n % 100),
+        F.format_string("mode=two_level RC_HR=%d.0 Mqps=%d.0 p95_us=%d.0 p99_us=%d.0", n % 97, n % 13, n % 50, n % 70),
+        F.format_string("skew_promote=%d uniform_promote=%d", n % 1000, F.col("user_id")), F.format_string("SIEVE evicted_entries %d", n % 11), F.lit("noise"),
+    )
+    files = e.select(F.concat(F.lit("result_"), "g", F.lit("_ycsb"), "w", F.lit("_cols64K_7.csv")).alias("file"), F.posexplode(lines).alias("at", "value"), n.alias("part"))
+    return observe.sweep_table(files.select("file", (F.col("part") * 10 + F.col("at")).alias("line"), "value"))
+
+
+METRIC = "m AS (SELECT event_id // 2000 AS t, user_id % 6 AS c_hash, * FROM events), c AS (SELECT DISTINCT c_hash, 'cfg' || c_hash AS c_tag, c_hash + 1 AS c_worker_threads FROM m)"
+
+
+def metrics(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("t", F.expr("event_id div 2000")).withColumn("c_hash", F.col("user_id") % 6)
+    config = events.select("c_hash").distinct().select("c_hash", F.concat(F.lit("cfg"), "c_hash").alias("c_tag"), (F.col("c_hash") + 1).alias("c_worker_threads"))
+    return observe.metric_tables(events, config)
+
+
+@register("metrics_bm", f"WITH {METRIC} SELECT t, c_tag, c_worker_threads, count(DISTINCT user_id) AS consumed_pages, round(count(DISTINCT user_id) * 4.0, 4) AS space_usage_kib, round(count(*) FILTER (WHERE event_type = 'error') / 256.0, 4) AS evicted_mib, round(count(*) FILTER (WHERE event_type = 'purchase') / 256.0, 4) AS w_mib, round(count(*) FILTER (WHERE event_type = 'view') / 256.0, 4) AS r_mib, count(*) FILTER (WHERE event_type = 'signup') AS allocate_ops FROM m JOIN c USING (c_hash) GROUP BY 1, 2, 3")
+def metrics_bm(spark, sf_dir):
+    return metrics(spark, sf_dir)["bm"]
+
+
+@register("metrics_dt", f"WITH {METRIC} SELECT t, c_tag, c_worker_threads, event_type AS dt_name, count(*) AS dt_page_reads, count(*) FILTER (WHERE value > 100) AS dt_page_writes FROM m JOIN c USING (c_hash) GROUP BY 1, 2, 3, 4")
+def metrics_dt(spark, sf_dir):
+    return metrics(spark, sf_dir)["dt"]
+
+
+@register("metrics_cpu", f"WITH {METRIC} SELECT t, c_tag, c_worker_threads, user_id % 4 AS worker, round(sum(value), 2) AS cycles, round(sum(value) / count(*), 4) AS cycles_per_tx FROM m JOIN c USING (c_hash) GROUP BY 1, 2, 3, 4")
+def metrics_cpu(spark, sf_dir):
+    return metrics(spark, sf_dir)["cpu"]
+
+
+@register("metrics_cr", f"WITH {METRIC} SELECT t, c_tag, c_worker_threads, count(*) FILTER (WHERE event_type <> 'error') AS tx, count(*) FILTER (WHERE event_type = 'error') AS tx_abort, count(*) FILTER (WHERE event_type = 'view') AS olap_tx, round(100.0 * count(*) FILTER (WHERE event_type = 'error') / count(*), 4) AS abort_pct FROM m JOIN c USING (c_hash) GROUP BY 1, 2, 3")
+def metrics_cr(spark, sf_dir):
+    return metrics(spark, sf_dir)["cr"]
+
+
+@register("metrics_configs", f"WITH {METRIC} SELECT * FROM c")
+def metrics_configs(spark, sf_dir):
+    return metrics(spark, sf_dir)["configs"]
+
+
 @register("sweep_summary", "SELECT c_mktsegment AS variant, max(c_acctbal) FILTER (WHERE c_nationkey % 3 = 0) AS t0, max(c_acctbal) FILTER (WHERE c_nationkey % 3 = 1) AS t1, max(c_acctbal) FILTER (WHERE c_nationkey % 3 = 2) AS t2 FROM customer GROUP BY 1")
 def sweep_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("variant"), F.concat(F.lit("t"), F.col("c_nationkey") % 3).alias("k"), "c_acctbal")

@@ -55,12 +55,39 @@ def partial_updates(spark, sf_dir):
 
 @register(
     "ww_conflicts",
-    f"{WITH} SELECT a.k, a.command_id, a.start_ts, a.commit_ts, max(b.commit_ts) AS blocked_by_ts FROM tx a JOIN tx b ON a.k = b.k AND (b.commit_ts < a.commit_ts OR (b.commit_ts = a.commit_ts AND b.command_id < a.command_id)) AND b.commit_ts > a.start_ts GROUP BY ALL",
+    f"{WITH.replace('WITH', 'WITH RECURSIVE')}, w AS (SELECT k, command_id, start_ts, commit_ts, row_number() OVER (PARTITION BY k ORDER BY commit_ts, command_id) AS rn FROM tx WHERE commit_ts IS NOT NULL), "
+    "f AS (SELECT k, rn, command_id, start_ts, commit_ts, commit_ts AS last, NULL::BIGINT AS blocked_by_ts FROM w WHERE rn = 1 UNION ALL SELECT w.k, w.rn, w.command_id, w.start_ts, w.commit_ts, CASE WHEN f.last > w.start_ts THEN f.last ELSE w.commit_ts END, CASE WHEN f.last > w.start_ts THEN f.last END FROM f JOIN w ON w.k = f.k AND w.rn = f.rn + 1) "
+    "SELECT k, command_id, start_ts, commit_ts, blocked_by_ts FROM f WHERE blocked_by_ts IS NOT NULL",
 )
 def ww_conflicts(spark, sf_dir):
     return log(spark, sf_dir).conflicts()
 
 
+CLOCK = "q AS (SELECT event_id AS command_id, event_id * 3 AS begin_seq, event_id * 3 + 1 + event_id % 7 * 2 AS end_seq, event_type = 'error' AS aborted FROM events), e AS (SELECT command_id, begin_seq AS seq, 0 AS kind FROM q UNION ALL SELECT command_id, end_seq, 1 FROM q WHERE NOT aborted), d AS (SELECT *, row_number() OVER (ORDER BY seq, kind, command_id) AS ts FROM e)"
+
+
+@register("tx_timestamps", f"WITH {CLOCK} SELECT command_id, begin_seq, end_seq, aborted, max(ts) FILTER (WHERE kind = 0) AS start_ts, max(ts) FILTER (WHERE kind = 1) AS commit_ts FROM q JOIN d USING (command_id) GROUP BY 1, 2, 3, 4")
+def tx_timestamps(spark, sf_dir):
+    """Begin and commit draw from one clock; an abort draws nothing at its end."""
+    asks = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS command_id", "event_id * 3 AS begin_seq", "event_id * 3 + 1 + event_id % 7 * 2 AS end_seq", "event_type = 'error' AS aborted")
+    return versions.draw_timestamps(asks)
+
+
+@register("fat_tuples", f"{WITH} SELECT k, count(*) AS updates, count(*) FILTER (WHERE commit_ts >= 5000) AS deltas, arg_max(v, (commit_ts, command_id)) FILTER (WHERE commit_ts < 5000) AS v FROM tx WHERE commit_ts IS NOT NULL GROUP BY k HAVING count(*) > 8")
+def fat_tuples(spark, sf_dir):
+    return log(spark, sf_dir).fat_tuples(8, 5000)
+
+
+ENTRIES = f"{WITH}, e AS (SELECT worker, command_id, 0 AS step, 'TX_START' AS kind, NULL AS op, NULL AS payload FROM tx UNION ALL SELECT worker, command_id, 1, 'DT_SPECIFIC', op, k || '|' || CAST(floor(v) AS BIGINT) FROM tx UNION ALL SELECT worker, command_id, 2, CASE WHEN commit_ts IS NULL THEN 'TX_ABORT' ELSE 'TX_COMMIT' END, NULL, NULL FROM tx)"
+
+
+@register("wal_entries", f"{ENTRIES} SELECT worker, command_id, kind, op, payload, row_number() OVER (PARTITION BY worker ORDER BY command_id, step) AS lsn, CAST(32 + coalesce(strlen(payload), 0) AS INTEGER) AS size, true AS intact FROM e")
+def wal_entries(spark, sf_dir):
+    """Every worker's log, its entries checked; the checksums themselves are tested against another CRC-32."""
+    tx = transactions(spark, sf_dir).withColumn("v", F.floor("v").cast("bigint"))
+    return versions.checked(versions.wal_entries(tx, ["k", "v"])).drop("crc")
+
+
 @register("chain_length", f"{WITH} SELECT k, 1 + count(*) FILTER (WHERE commit_ts >= 7000) AS chain_length FROM tx WHERE commit_ts IS NOT NULL GROUP BY k")
 def chain_length(spark, sf_dir):
     return log(spark, sf_dir).chain_length(7000)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keelson.functions.scalar import credit_line
-from keelson.operators.workloads import lower_median, stock_after
+from keelson.functions.scalar import SYLLABLES, credit_line
+from keelson.functions.scalar import last_name as last_name_of
+from keelson.operators.keyed import rank_within
+from keelson.operators.workloads import by_name, deliver, lower_median, place_orders, rotate, stock_after
 from keelson.plans.registry import register
 from keelson.sources.tables import table
 
@@ -71,7 +73,10 @@ def credit_history(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
     user = F.col("user_id")
     line = F.format_string("| %4d %2d %4d %2d %4d $%7d %d", user, user % 10, user % 25, user % 10, user % 25, F.floor("value"), F.col("event_id"))
-    lines = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", line.alias("line"))), asc=False).alias("h"))
+    # A line has 33 characters or more, so the latest sixteen fill the text; every task sends on no more of a user.
+    w = Window.partitionBy("user_id").orderBy(F.col("event_id").desc())
+    last = e.select("user_id", "event_id", line.alias("line")).withColumn("nth", F.row_number().over(w)).where("nth <= 16")
+    lines = last.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("nth", "line"))).alias("h"))
     return lines.select("user_id", F.substring(F.array_join(F.transform("h", lambda x: x["line"]), ""), 1, 500).alias("c_data"))
 
 
@@ -97,9 +102,8 @@ def delivery_oldest(spark, sf_dir):
 @register("new_order_ids", "SELECT event_id, user_id % 10 AS district, 3001 + row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS o_id FROM events WHERE event_type = 'purchase'")
 def new_order_ids(spark, sf_dir):
     """The next order number of a district plus the place in the batch."""
-    w = Window.partitionBy("district").orderBy("event_id")
     rows = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", (F.col("user_id") % 10).alias("district"))
-    return rows.withColumn("o_id", (F.row_number().over(w) + 3000).cast("bigint"))
+    return rank_within(rows, "district", "event_id").select("event_id", "district", (F.col("rank") + 3000).cast("bigint").alias("o_id"))
 
 
 @register("new_order_amount", "SELECT l_orderkey, CAST(round(sum(CAST(l_quantity AS DECIMAL(6,2)) * CAST(p_retailprice AS DECIMAL(10,2)) * CAST(1.05 + CAST(l_tax AS DECIMAL(4,2)) AS DECIMAL(4,2)) * CAST(1 - CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(4,2))), 2) AS DOUBLE) AS amount FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
@@ -157,9 +161,10 @@ def load_verify(spark, sf_dir):
     return out
 
 
-@register("fk_dangling", "SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_suppkey % 120 NOT IN (SELECT s_suppkey FROM supplier)")
+@register("fk_dangling", "SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_suppkey * 2 NOT IN (SELECT s_suppkey FROM supplier)")
 def fk_dangling(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_suppkey") % 120).alias("s_suppkey"))
+    """References into a key space twice as wide as the table: about half of them dangle."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_suppkey") * 2).alias("s_suppkey"))
     return lines.join(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", "left_anti").select("l_orderkey", "l_suppkey")
 
 
@@ -169,10 +174,110 @@ def fk_join(spark, sf_dir):
     return joined.groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
 
 
-@register("queue_rotate", "SELECT o_orderkey + 5000 AS k FROM orders WHERE o_orderkey + 5000 < (SELECT count(*) FROM orders) + 5000")
+@register("queue_rotate", "WITH q AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders WHERE o_orderstatus = 'O'), e AS (SELECT max(k) AS hi, count(*) AS n FROM q) SELECT k FROM q WHERE r > 700 UNION ALL SELECT hi + i FROM e, range(1, 701) t(i) WHERE i > 700 - n")
 def queue_rotate(spark, sf_dir):
-    """Five thousand pops of the oldest and pushes of the newest plus one, in closed form."""
-    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 5000).alias("k"))
+    """Seven hundred pops of the least key, each with a push of the greatest plus one."""
+    return rotate(table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("k")), "k", 700)
+
+
+SYLLABLE = "list_extract([" + ", ".join(f"'{x}'" for x in SYLLABLES) + "], {0} % 10 + 1)"
+LAST = " || ".join(SYLLABLE.format(x) for x in ("({0}) // 100", "({0}) // 10", "({0})"))
+
+
+@register(
+    "customer_by_name",
+    f"WITH i AS (SELECT c_nationkey AS district, {LAST.format('c_custkey % 40')} AS name, c_name AS first, c_custkey FROM customer), a AS (SELECT DISTINCT user_id % 25 AS district, {LAST.format('event_id % 90')} AS name FROM events), "
+    "m AS (SELECT i.*, row_number() OVER w AS rn, count(*) OVER (PARTITION BY district, name) AS n FROM i JOIN a USING (district, name) WINDOW w AS (PARTITION BY district, name ORDER BY first, c_custkey)) SELECT m.c_custkey, district, name, c_acctbal FROM m JOIN customer c ON c.c_custkey = m.c_custkey WHERE rn = (n + 1) // 2",
+)
+def customer_by_name(spark, sf_dir):
+    """Payments by last name: name index, middle customer, then its row."""
+    customer = table(spark, sf_dir, "customer")
+    index = customer.select(F.col("c_nationkey").alias("district"), last_name_of(F.col("c_custkey") % 40).alias("name"), F.col("c_name").alias("first"), "c_custkey")
+    asked = table(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("district"), last_name_of(F.col("event_id") % 90).alias("name"))
+    return by_name(index, ["district", "name"], ["first", "c_custkey"], asked, customer.select("c_custkey", "c_acctbal"), "c_custkey")
+
+
+ORDERED = (
+    "WITH RECURSIVE req AS (SELECT event_id AS seq, user_id % 10 AS district, user_id AS customer, ts AS entry FROM events WHERE event_type = 'purchase'), "
+    "lin AS (SELECT event_id AS seq, j AS number, (event_id * 13 + j * 7) % (SELECT count(*) + 1 FROM part) AS item, (event_id + j) % 12 AS supplier, (event_id + j) % 10 + 1 AS quantity FROM events, range(1, 6) r(j) WHERE event_type = 'purchase' AND j <= 2 + event_id % 4), "
+    "pri AS (SELECT lin.*, p_retailprice AS price, p_brand AS info FROM lin LEFT JOIN part ON p_partkey = item), "
+    "num AS (SELECT req.*, 3000 + row_number() OVER (PARTITION BY district ORDER BY seq) AS o_id FROM req WHERE seq NOT IN (SELECT seq FROM pri WHERE price IS NULL)), "
+    "met AS (SELECT pri.*, district, o_id FROM pri JOIN num USING (seq))"
+)
+
+
+def placed_orders(spark, sf_dir):
+    """Purchases as new orders of two to five lines; items run one beyond the parts, so some orders are rolled back."""
+    bought = table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    requests = bought.selectExpr("event_id AS seq", "user_id % 10 AS district", "user_id AS customer", "ts AS entry")
+    part = table(spark, sf_dir, "part")
+    n = part.agg((F.count("*") + 1).alias("n"))
+    lines = bought.select("event_id", F.explode(F.sequence(F.lit(1).cast("bigint"), 2 + F.col("event_id") % 4)).alias("number")).crossJoin(F.broadcast(n))
+    lines = lines.selectExpr("event_id AS seq", "number", "(event_id * 13 + number * 7) % n AS item", "(event_id + number) % 12 AS supplier", "(event_id + number) % 10 + 1 AS quantity")
+    return place_orders(requests, lines, part.selectExpr("p_partkey AS item", "p_retailprice AS price", "p_brand AS info"))
+
+
+@register("place_orders", f"{ORDERED} SELECT district, o_id, customer, entry, CAST(NULL AS INTEGER) AS carrier, count(*) AS ol_cnt, CAST(min(CAST(supplier = district AS INTEGER)) AS INTEGER) AS all_local FROM num JOIN (SELECT seq, supplier FROM pri) USING (seq) GROUP BY ALL")
+def place_orders_orders(spark, sf_dir):
+    return placed_orders(spark, sf_dir)["orders"]
+
+
+@register("place_orders_queue", f"{ORDERED} SELECT district, o_id FROM num")
+def place_orders_queue(spark, sf_dir):
+    return placed_orders(spark, sf_dir)["queue"]
+
+
+@register("place_orders_lines", f"{ORDERED} SELECT district, o_id, number, item, supplier, quantity, round(quantity * price, 2) AS amount, rpad(info || '-' || district, 24, 'x') AS dist_info FROM met")
+def place_orders_lines(spark, sf_dir):
+    return placed_orders(spark, sf_dir)["lines"]
+
+
+@register("place_orders_stock", f"{ORDERED}, l AS (SELECT item, quantity, row_number() OVER (PARTITION BY item ORDER BY seq, number) AS rn FROM met), f AS (SELECT DISTINCT item, CAST(0 AS BIGINT) AS rn, CAST(50 AS BIGINT) AS q FROM l UNION ALL SELECT l.item, l.rn, CASE WHEN q >= quantity + 10 THEN q - quantity ELSE q + 91 - quantity END FROM f JOIN l ON l.item = f.item AND l.rn = f.rn + 1) SELECT item, arg_max(q, rn) AS quantity, CAST(max(rn) AS BIGINT) AS order_cnt, (SELECT CAST(sum(quantity) AS BIGINT) FROM met WHERE met.item = f.item) AS ytd FROM f GROUP BY item")
+def place_orders_stock(spark, sf_dir):
+    return placed_orders(spark, sf_dir)["stock"]
+
+
+DELIVERED = "WITH o AS (SELECT o_custkey % 10 AS district, o_orderkey AS o_id, o_custkey AS customer, o_orderstatus FROM orders), old AS (SELECT district, min(o_id) AS o_id FROM o WHERE o_orderstatus = 'O' GROUP BY 1)"
+
+
+def delivered(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").selectExpr("o_custkey % 10 AS district", "o_orderkey AS o_id", "o_custkey AS customer", "o_orderstatus")
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o_id", "l_linenumber AS number", "l_extendedprice AS amount")
+    lines = lines.join(orders.select("district", "o_id"), "o_id")
+    queue = orders.where("o_orderstatus = 'O'").select("district", "o_id")
+    return deliver(orders.drop("o_orderstatus"), queue, lines, carrier=7, when="1998-12-01")
+
+
+@register("deliver_orders", f"{DELIVERED} SELECT district, o_id, customer, CASE WHEN (district, o_id) IN (SELECT (district, o_id) FROM old) THEN 7 END AS carrier FROM o")
+def deliver_orders(spark, sf_dir):
+    return delivered(spark, sf_dir)["orders"]
+
+
+@register("deliver_queue", f"{DELIVERED} SELECT district, o_id FROM o WHERE o_orderstatus = 'O' EXCEPT SELECT district, o_id FROM old")
+def deliver_queue(spark, sf_dir):
+    return delivered(spark, sf_dir)["queue"]
+
+
+@register("deliver_lines", f"{DELIVERED} SELECT o.district, l_orderkey AS o_id, l_linenumber AS number, l_extendedprice AS amount, CASE WHEN old.o_id IS NOT NULL THEN '1998-12-01' END AS delivered FROM lineitem JOIN o ON o.o_id = l_orderkey LEFT JOIN old ON old.o_id = l_orderkey")
+def deliver_lines(spark, sf_dir):
+    return delivered(spark, sf_dir)["lines"]
+
+
+@register("deliver_customers", f"{DELIVERED} SELECT customer, round(sum(coalesce(s, 0)), 2) AS balance, count(*) AS delivery_cnt FROM o JOIN old USING (district, o_id) LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_id GROUP BY 1")
+def deliver_customers(spark, sf_dir):
+    return delivered(spark, sf_dir)["customers"]
+
+
+@register("kv_transactions", "WITH t AS (SELECT event_id // 4 AS tx, (event_id * 40503 // 16) % 100 < 80 AS reads, event_id * 7919 % 15000 AS key, value FROM events) SELECT tx, count(*) AS ops, count(*) FILTER (WHERE reads) AS n_reads, count(o_orderkey) FILTER (WHERE reads) AS hits, count(*) FILTER (WHERE NOT reads) AS n_updates, round(coalesce(sum(value) FILTER (WHERE NOT reads AND o_orderkey IS NOT NULL), 0), 2) AS written FROM t LEFT JOIN orders ON o_orderkey = key GROUP BY tx")
+def kv_transactions(spark, sf_dir):
+    """Transactions of four operations each, eighty of a hundred of them reads."""
+    ops = table(spark, sf_dir, "events").selectExpr("event_id div 4 AS tx", "(event_id * 40503 div 16) % 100 < 80 AS reads", "event_id * 7919 % 15000 AS key", "value")
+    met = ops.join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("o_orderkey") == F.col("key"), "left")
+    read, hit = F.col("reads"), F.col("o_orderkey").isNotNull()
+    return met.groupBy("tx").agg(
+        F.count("*").alias("ops"), F.count(F.when(read, 1)).alias("n_reads"), F.count(F.when(read & hit, 1)).alias("hits"), F.count(F.when(~read, 1)).alias("n_updates"),
+        F.round(F.coalesce(F.sum(F.when(~read & hit, F.col("value"))), F.lit(0.0)), 2).alias("written"),
+    )
 
 
 #: Operations of a hundred: (until which read, until which update, until which insert, rest), by workload.
@@ -204,10 +309,10 @@ for _name, _mix in MIXES.items():
     mix_query(_name, *_mix)
 
 
-@register("kv_scans", "WITH s AS (SELECT event_id, event_id * 7919 % 15000 AS start, 1 + event_id * 31 % 100 AS n FROM events WHERE event_id % 20 = 0), o AS (SELECT o_orderkey, o_totalprice FROM orders) SELECT event_id, count(o_orderkey) AS got, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM s LEFT JOIN o ON o_orderkey BETWEEN start AND start + n - 1 GROUP BY event_id")
+@register("kv_scans", "WITH s AS (SELECT event_id, event_id * 7919 % 15000 AS start, 1 + event_id * 31 % 100 AS n FROM events), o AS (SELECT o_orderkey, o_totalprice FROM orders) SELECT event_id, count(o_orderkey) AS got, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM s LEFT JOIN o ON o_orderkey BETWEEN start AND start + n - 1 GROUP BY event_id")
 def kv_scans(spark, sf_dir):
     """Range scans of up to a hundred keys; keys are dense, so a scan is its list of keys."""
-    asks = table(spark, sf_dir, "events").where("event_id % 20 = 0").selectExpr("event_id", "event_id * 7919 % 15000 AS start", "1 + event_id * 31 % 100 AS n")
+    asks = table(spark, sf_dir, "events").selectExpr("event_id", "event_id * 7919 % 15000 AS start", "1 + event_id * 31 % 100 AS n")
     keys = asks.select("event_id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("o_orderkey"))
     met = keys.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", "left")
     return met.groupBy("event_id").agg(F.count("o_totalprice").alias("got"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("total"))
