@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.shared import let, one_by_key, sized_broadcast, stage, text_key
+from keelson.llm.shared import counted, let, one_by_key, sized_broadcast, stage, text_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -140,7 +140,8 @@ def windows(spark: SparkSession, docs: DataFrame, items: DataFrame, shingle: int
     chosen = hits.select("text_key", "m", "k", "n", F.explode(starts).alias("start"))
     chosen, _ = stage(spark, chosen, "windows")
     # Dealt out anew between join and aggregate: neither then holds all copies of a text in one task.
-    texts = one_by_key(keyed.join(chosen.select("text_key").distinct(), "text_key", "left_semi").hint("rebalance"), "text_key", "text")
+    few = counted(spark, chosen.select("text_key").distinct(), "keys", BROADCAST_ROWS)
+    texts = one_by_key(keyed.join(few, "text_key", "left_semi").hint("rebalance"), "text_key", "text")
     texts, _ = stage(spark, texts.select("text_key", words(F.col("text")).alias("ws")), "texts")
     cut = chosen.join(texts, "text_key").select("text_key", "m", "k", "start", F.slice("ws", F.col("start") + 1, F.col("n") + F.col("k") - 1).alias("w"))
     cut, _ = stage(spark, cut, "windows")
@@ -198,5 +199,6 @@ def leak_report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> D
     found, _ = stage(spark, contaminated_texts(spark, docs.select("text"), benchmark), "leaks")
     ids = benchmark.select("item_id", F.array_join(words(F.col("text")), " ").alias("item")).distinct()
     named = found.join(ids, "item").drop("item").hint("rebalance")
-    owners = docs.select("doc_id", text_key(F.col("text")).alias("text_key")).distinct()
-    return owners.join(named, "text_key").drop("text_key")
+    named = counted(spark, named, "named", BROADCAST_ROWS)
+    owners = docs.select("doc_id", text_key(F.col("text")).alias("text_key"))
+    return owners.join(named, "text_key").drop("text_key").distinct()

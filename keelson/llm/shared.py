@@ -118,3 +118,9 @@ def sized_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
 
 #: ASCII white space of every contract, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]+"
+
+
+def counted(spark: SparkSession, df: DataFrame, name: str, limit: int) -> DataFrame:
+    """``df`` staged and counted, and to be broadcast only if it has at most ``limit`` rows."""
+    held, _ = stage(spark, df, name)
+    return sized_broadcast(held, held.count(), limit)
