@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import bpe, quality_rules, secret_scan, simhash_dedup
-from keelson.llm.decontaminate import contaminated_texts
-from keelson.llm.shared import STAGED, release_all, stage
+from keelson.llm.decontaminate import BROADCAST_ROWS, contaminated_texts
+from keelson.llm.shared import STAGED, counted, release_all, stage, text_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,8 +31,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("__key"))
+    keyed = docs.select(*COLUMNS, text_key(F.col("text")).alias("__key"))
     found = contaminated_texts(spark, docs.select("text"), benchmark).select(F.col("text_key").alias("__key")).distinct()
+    found = counted(spark, found, "leaked", BROADCAST_ROWS)
     return keyed.join(found, "__key", "left_anti").select(*COLUMNS)
 
 
