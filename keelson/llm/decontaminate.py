@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.shared import counted, let, one_by_key, sized_broadcast, stage, text_key
+from keelson.llm.shared import counted, let, one_by_key, release_all, sized_broadcast, stage, staging, text_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -196,9 +196,11 @@ def contaminated_texts(
 
 def leak_report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, distance, similarity) of every leaked item."""
-    found, _ = stage(spark, contaminated_texts(spark, docs.select("text"), benchmark), "leaks")
-    ids = benchmark.select("item_id", F.array_join(words(F.col("text")), " ").alias("item")).distinct()
-    named = found.join(ids, "item").drop("item").hint("rebalance")
-    named = counted(spark, named, "named", BROADCAST_ROWS)
+    with staging() as held:
+        ids = benchmark.select("item_id", F.array_join(words(F.col("text")), " ").alias("item")).distinct()
+        named = contaminated_texts(spark, docs.select("text"), benchmark).join(ids, "item").drop("item").hint("rebalance")
+        named, path = stage(spark, named, "leaks")
+        release_all(spark, held, path)
+    named = sized_broadcast(named, named.count(), BROADCAST_ROWS)
     owners = docs.select("doc_id", text_key(F.col("text")).alias("text_key"))
     return owners.join(named, "text_key").drop("text_key").distinct()

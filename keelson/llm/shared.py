@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-#: Tables that this process has staged and not released.
-STAGED: list[str] = []
+#: For each thread, the open scopes: paths that were staged inside and are not released yet.
+_SCOPES = threading.local()
+
+
+@contextmanager
+def staging():
+    """A scope that gathers what is staged inside it, on this thread, so that a caller can release its own tables and
+    no one else's: ``with staging() as held: ...; release_all(spark, held, keep)``."""
+    open_ = _SCOPES.__dict__.setdefault("open", [])
+    held: list[str] = []
+    open_.append(held)
+    try:
+        yield held
+    finally:
+        open_[:] = [s for s in open_ if s is not held]
 
 
 def stage(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -34,7 +49,8 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str
     an executor lost later costs no recomputation."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    STAGED.append(path)
+    for held in _SCOPES.__dict__.get("open", []):
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -43,14 +59,17 @@ def release(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    if path in STAGED:
-        STAGED.remove(path)
+    for held in _SCOPES.__dict__.get("open", []):
+        if path in held:
+            held.remove(path)
 
 
-def release_all(spark: SparkSession, *keep: str) -> None:
-    """Delete every staged table but ``keep``; for callers whose results are written."""
-    for path in [p for p in STAGED if p not in keep]:
+def release_all(spark: SparkSession, held: list[str], *keep: str) -> None:
+    """Delete the tables of a scope but ``keep``; for callers whose results are written."""
+    for path in [p for p in held if p not in keep]:
         release(spark, path)
+        if path in held:
+            held.remove(path)
 
 
 def worker_cache(name: str, make: Callable):
@@ -122,5 +141,5 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 def counted(spark: SparkSession, df: DataFrame, name: str, limit: int) -> DataFrame:
     """``df`` staged and counted, and to be broadcast only if it has at most ``limit`` rows."""
-    held, _ = stage(spark, df, name)
-    return sized_broadcast(held, held.count(), limit)
+    kept, _ = stage(spark, df, name)
+    return sized_broadcast(kept, kept.count(), limit)

@@ -16,7 +16,7 @@
 Defined results: null text counts as empty; a text without words has fingerprint
 zero, linked like any other; a null ``doc_id`` keeps its row and joins its
 component but never names it (a component of null ids only is named null); repeated
-rows come back repeated; an empty table gives an empty table; other input columns
+rows come back repeated; a very long text is hashed whole, in time linear in it; an empty table gives an empty table; other input columns
 are kept by ``with_components`` and result columns win over equal names.
 """
 
@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.llm.components import connected_components
-from keelson.llm.shared import SPACE, let, stage
+from keelson.llm.shared import SPACE, counted, let, one_by_key, stage, text_key
 
 SEED = 42
 #: Bits of a fingerprint of distinct words.
 VIEW_BITS = 48
+#: Rows up to which a counted table of keys is broadcast.
+BROADCAST_ROWS = 500_000
 #: One in so many shingles of a text is the number that two similar texts must share within their prefixes.
 SHARE = 20
 
@@ -127,78 +129,48 @@ def near_duplicate_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
 # Near copies by similarity: fingerprints propose, shingles decide.
 
 
-def word_views(text: str | None, views: int) -> list[int]:
-    """``views`` fingerprints of ``VIEW_BITS`` bits over the distinct words of a text: an edited word moves few of their bits."""
+def word_views(hashes, views: int) -> list[int]:
+    """``views`` fingerprints of ``VIEW_BITS`` bits over the hashes of a text's distinct words: an edited word moves few of
+    their bits."""
     import numpy as np
-    import xxhash
 
-    words = set((text or "").encode().lower().split())
-    if not words:
+    if not len(hashes):
         return [0] * views
-    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
     out = []
     for v in range(views):
-        x = (h ^ np.uint64(v * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (hashes ^ np.uint64(v * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(32)
         x *= np.uint64(0x94D049BB133111EB)
         bits = np.unpackbits((x ^ (x >> np.uint64(29))).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        out.append(int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words)).view(">u8")[0]) >> (64 - VIEW_BITS))
+        out.append(int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).view(">u8")[0]) >> (64 - VIEW_BITS))
     return out
 
 
-def candidates(spark: SparkSession, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``text_key``s whose fingerprints are within two bits in some view.
+def hashed_words(text: str | None):
+    """(hash of every word, hashes of the distinct words) of a text; A-Z count as a-z."""
+    import numpy as np
+    import xxhash
 
-    ``texts`` has one row per distinct text: ``text_key`` and ``views``.  Within a bucket of
-    variants (at most ``VIEW_BITS`` + 1 fingerprints) members are linked to the least and to
-    their neighbour; texts with one fingerprint are linked to the least of them."""
-    marked = texts.select("text_key", F.posexplode("views").alias("view", "fp"))
-    held = marked.groupBy("view", "fp").agg(F.min("text_key").alias("rep"))
-    held, _ = stage(spark, held, "views")
-    equal = marked.join(held.hint("rebalance"), ["view", "fp"]).where("text_key <> rep").select(F.col("text_key").alias("a"), F.col("rep").alias("b"))
-    # One flag per variant: a bit to turn, or the bit above them for the fingerprint itself; the view sits above all.
-    flags = F.array(*(F.lit(1 << b).cast("long") for b in range(VIEW_BITS + 1)))
-    low = F.lit((1 << VIEW_BITS) - 1).cast("long")
-    turned = lambda v, flag: v.bitwiseXOR(flag.bitwiseAND(low))
-    dealt = held.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "view", "fp")
-    coded = dealt.select(F.col("fp").bitwiseOR(F.expr(f"shiftleft(CAST(view AS BIGINT), {VIEW_BITS})")).alias("c"), F.explode(flags).alias("flag"))
-    packed = coded.select(turned(F.col("c"), F.col("flag")).alias("v"), "flag").groupBy("v").agg(F.bit_or("flag").alias("bits"))
-    met = packed.where(F.bit_count("bits") > 1)
-    on = F.filter(flags, lambda flag: F.col("bits").bitwiseAND(flag) != 0)
-    members = met.select(
-        F.expr(f"CAST(shiftright(v, {VIEW_BITS}) AS INT)").alias("view"),
-        F.array_sort(F.transform(on, lambda flag: turned(F.col("v"), flag).bitwiseAND(low))).alias("ms"),
-    )
-    stars = F.transform(F.slice("ms", 2, F.size("ms")), lambda x: F.struct(x.alias("x"), F.element_at("ms", 1).alias("y")))
-    steps = F.zip_with(F.slice("ms", 2, F.size("ms")), F.slice("ms", 1, F.size("ms") - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    linked = members.select("view", F.explode(F.array_distinct(F.concat(stars, steps))).alias("e")).select("view", "e.x", "e.y").distinct()
-    first = held.select("view", F.col("fp").alias("x"), F.col("rep").alias("a"))
-    second = held.select("view", F.col("fp").alias("y"), F.col("rep").alias("b"))
-    near = linked.join(first, ["view", "x"]).join(second, ["view", "y"]).select("a", "b")
-    pairs = near.unionByName(equal).where("a <> b")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    words = (text or "").encode().lower().split()
+    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.fromiter(known.values(), np.uint64, len(known))
 
 
-def shingle_hashes(text: str | None, k: int):
-    """Distinct hashed ``k``-word shingles of a text, as ``shingle_set`` cuts them."""
+def shingle_hashes(words, k: int):
+    """Distinct hashed ``k``-word shingles of hashed words, as ``shingle_set`` cuts them."""
     import numpy as np
-    import xxhash
 
-    words = (text or "").encode().lower().split()
-    if len(words) < k:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    w = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in words), np.uint64, len(words))
-    n = len(words) - k + 1
-    h = np.zeros(n, np.uint64)
-    for i in range(k):
-        h = (h ^ w[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+    n, size = max(1, len(words) - k + 1), min(k, len(words))
+    h = np.full(n, size, np.uint64)
+    for i in range(size):
+        h = (h ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return np.unique(h)
 
 
 def common_shingles(spark: SparkSession, docs: DataFrame, shingle: int):
     """(sorted hashes, counts) of shingles that are common in a sample of texts.  They only set the order
-    of shingles in ``shared_prefixes``, which is exact in any order: common ones come last there."""
+    of shingles in a prefix, which is exact in any order: common ones come last there."""
     import numpy as np
 
     def run(batches):
@@ -206,7 +178,7 @@ def common_shingles(spark: SparkSession, docs: DataFrame, shingle: int):
 
         for b in batches:
             for t in b.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py(), shingle).view(np.int64))], ["sh"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(hashed_words(t.as_py())[0], shingle).view(np.int64))], ["sh"])
 
     some = docs.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(16)) == 0).select("text").mapInArrow(run, "sh bigint")
     often = some.groupBy("sh").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "sh").limit(100000)
@@ -221,40 +193,96 @@ def must_share(n: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(n / SHARE))
 
 
-def shared_prefixes(spark: SparkSession, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(sh, text_key, n, rank) for the shingles of every text's prefix that another text's prefix has too.
+def distinct_texts(spark: SparkSession, docs: DataFrame, shingle: int, least: float, views: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts).  ``rows``: (doc_id, row, text_key) of every document, ``row`` a digest of its other columns.
+    ``texts``: one row per distinct text: ``node`` (a number of its own), ``text_key``, ``first`` (none, id, row,
+    text_key of its first row), ``views``, ``n`` (its shingles) and ``prefix``, the first of its shingles in one order.
 
     Texts with a Jaccard similarity of at least ``least`` share ``least`` * n of the n shingles of either, so in any
     one order of all shingles the first t that they share are within the first n - ``least`` * n + t of both: no such
-    pair is left out.  t is ``must_share(n)``; a text that shares fewer than any partner's t has no partner.
-    ``rank`` is the number of shingles of the prefix that no other text has, negated: the text in the
-    middle of a group of edited copies has the highest."""
+    pair is left out.  t is ``must_share(n)``."""
     import numpy as np
 
-    held = spark.sparkContext.broadcast(common_shingles(spark, docs, shingle))
+    order = spark.sparkContext.broadcast(common_shingles(spark, docs, shingle))
 
-    def cut(batches):
+    def run(batches):
         import pyarrow as pa
 
-        common, often = held.value
-        seen: set[int] = set()  # copies of one text
+        common, often = order.value
         for b in batches:
-            keys, sizes, parts = [], [], []
-            for key, t in zip(b.column("text_key").to_pylist(), b.column("text"), strict=True):
-                if key in seen:
-                    continue
-                seen.add(key)
-                h = shingle_hashes(t.as_py(), shingle)
+            made, sizes, parts = [], [], []
+            for t in b.column("text"):
+                words, known = hashed_words(t.as_py())
+                made.append(word_views(known, views))
+                h = shingle_hashes(words, shingle)
                 count = np.zeros(len(h), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     count = np.where(common[at] == h, often[at], 0)
-                first = h[np.lexsort((h, count))][: len(h) - int(np.ceil(least * len(h) - 1e-6)) + max(1, len(h) // SHARE)]
-                keys.append(key), sizes.append(len(h)), parts.append(first)
-            if parts:
-                size = [len(p) for p in parts]
-                columns = (np.concatenate(parts).view(np.int64), np.repeat(np.array(keys, np.int64), size), np.repeat(np.array(sizes, np.int32), size))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sh", "text_key", "n"])
+                top = len(h) - int(np.ceil(least * len(h) - 1e-6)) + max(1, len(h) // SHARE)
+                parts.append(h[np.lexsort((h, count))][:top].view(np.int64))
+                sizes.append(len(h))
+            ends = np.cumsum([0, *map(len, parts)])
+            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else [], pa.int64()))
+            columns = [*(b.column(n) for n in ("doc_id", "row", "text_key")), pa.array(made, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), prefix]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "text_key", "views", "n", "prefix"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    marked = docs.select("doc_id", row_key(docs).alias("row"), text_key(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    schema = f"doc_id {id_type}, row binary, text_key binary, views array<bigint>, n int, prefix array<bigint>"
+    marked, _ = stage(spark, marked.mapInArrow(run, schema), "marked")
+    # In two steps: the last gets at most 64 rows of a text, not one from every task that holds a copy.
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row", "text_key")
+    held = [F.first(c).alias(c) for c in ("views", "n", "prefix")]
+    salted = marked.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("text_key", "salt").agg(F.min(first).alias("first"), *held)
+    texts = salted.groupBy("text_key").agg(F.min("first").alias("first"), *held)
+    texts, _ = stage(spark, texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    return marked.select("doc_id", "row", "text_key"), texts
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A digest of the columns but ``doc_id`` and ``text``."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return F.unhex(F.sha2(F.to_json(F.struct(F.lit(0).alias("0"), *others)), 256))
+
+
+def candidates(spark: SparkSession, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are within two bits in some view.
+
+    Within a bucket of variants (at most ``VIEW_BITS`` + 1 fingerprints) members are linked to the least and to
+    their neighbour; texts with one fingerprint are linked to the least of them."""
+    marked = texts.select("node", F.posexplode("views").alias("view", "fp"))
+    held = marked.groupBy("view", "fp").agg(F.min("node").alias("rep"))
+    held, _ = stage(spark, held, "views")
+    equal = marked.join(held.hint("rebalance"), ["view", "fp"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    # One flag per variant: a bit to turn, or the bit above them for the fingerprint itself; the view sits above all.
+    flags = F.array(*(F.lit(1 << b).cast("long") for b in range(VIEW_BITS + 1)))
+    low = F.lit((1 << VIEW_BITS) - 1).cast("long")
+    turned = lambda v, flag: v.bitwiseXOR(flag.bitwiseAND(low))
+    dealt = held.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "view", "fp")
+    coded = dealt.select(F.col("fp").bitwiseOR(F.expr(f"shiftleft(CAST(view AS BIGINT), {VIEW_BITS})")).alias("c"), F.explode(flags).alias("flag"))
+    packed = coded.select(turned(F.col("c"), F.col("flag")).alias("v"), "flag").groupBy("v").agg(F.bit_or("flag").alias("bits"))
+    met = packed.where(F.bit_count("bits") > 1)
+    on = F.filter(flags, lambda flag: F.col("bits").bitwiseAND(flag) != 0)
+    members = met.select(
+        F.expr(f"CAST(shiftright(v, {VIEW_BITS}) AS INT)").alias("view"),
+        F.array_sort(F.transform(on, lambda flag: turned(F.col("v"), flag).bitwiseAND(low))).alias("ms"),
+    )
+    stars = F.transform(F.slice("ms", 2, F.size("ms")), lambda x: F.struct(x.alias("x"), F.element_at("ms", 1).alias("y")))
+    steps = F.zip_with(F.slice("ms", 2, F.size("ms")), F.slice("ms", 1, F.size("ms") - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    linked = members.select("view", F.explode(F.array_distinct(F.concat(stars, steps))).alias("e")).select("view", "e.x", "e.y").distinct()
+    first = held.select("view", F.col("fp").alias("x"), F.col("rep").alias("a"))
+    second = held.select("view", F.col("fp").alias("y"), F.col("rep").alias("b"))
+    near = linked.join(first, ["view", "x"]).join(second, ["view", "y"]).select("a", "b")
+    pairs = near.unionByName(equal).where("a <> b")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def shared_prefixes(spark: SparkSession, texts: DataFrame, least: float) -> DataFrame:
+    """(sh, node, n, rank) for the shingles of every text's prefix that another text's prefix has too; a text that shares
+    fewer than any partner's t has no partner and is left out.  ``rank`` is the number of shingles of the prefix that no
+    other text has, negated: the text in the middle of a group of edited copies has the highest."""
+    import numpy as np
 
     def meet(batches):
         import pyarrow as pa
@@ -262,36 +290,33 @@ def shared_prefixes(spark: SparkSession, docs: DataFrame, shingle: int, least: f
         got = list(batches)
         if not got:
             return
-        sh, key, n = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(3))
-        order = np.lexsort((key, sh))
-        sh, key, n = sh[order], key[order], n[order]
-        new = np.concatenate(([True], (sh[1:] != sh[:-1]) | (key[1:] != key[:-1])))
-        sh, key, n = sh[new], key[new], n[new]
+        sh, node, n = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(3))
+        order = np.lexsort((node, sh))
+        sh, node, n = sh[order], node[order], n[order]
         same = np.concatenate(([False], sh[1:] == sh[:-1], [False]))
         on = same[1:] | same[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (sh, key, n)], ["sh", "text_key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (sh, node, n)], ["sh", "node", "n"])
 
-    keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = keyed.mapInArrow(cut, "sh bigint, text_key bigint, n int").repartition(parts, "sh")
-    rows, _ = stage(spark, rows.mapInArrow(meet, "sh bigint, text_key bigint, n int"), "prefixes")
-    own = rows.groupBy("text_key").agg(F.count("*").alias("met"), F.first("n").alias("of"))
+    rows = texts.select(F.explode("prefix").alias("sh"), "node", "n").repartition(parts, "sh")
+    rows, _ = stage(spark, rows.mapInArrow(meet, "sh bigint, node bigint, n int"), "prefixes")
+    own = rows.groupBy("node").agg(F.count("*").alias("met"), F.first("n").alias("of"))
     rank = (F.col("met") - (F.col("of") - F.ceil(F.lit(least) * F.col("of") - 1e-6) + must_share(F.col("of")))).cast("int")
     able = own.where(F.col("met") >= F.lit(least / SHARE) * F.col("of") - 1)
-    ranked, _ = stage(spark, rows.join(able.select("text_key", rank.alias("rank")).hint("rebalance"), "text_key"), "ranked")
+    ranked, _ = stage(spark, rows.join(able.select("node", rank.alias("rank")).hint("rebalance"), "node"), "ranked")
     return ranked
 
 
-def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The ``pairs`` (a, b) of text keys whose shingle sets are similar enough."""
+def verified(spark: SparkSession, docs: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose shingle sets are similar enough."""
     pairs, _ = stage(spark, pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct().hint("rebalance")
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = counted(spark, texts.select("node", "text_key").join(asked, "node"), "wanted", BROADCAST_ROWS)
     # Dealt out anew between join and aggregate: neither then holds all copies of a text in one task.
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    held = docs.select(key.alias("text_key"), "text").join(wanted, "text_key", "left_semi").hint("rebalance")
-    cut = held.groupBy("text_key").agg(F.min("text").alias("text"))
-    cut, _ = stage(spark, cut.select("text_key", shingle_set(F.coalesce("text", F.lit("")), shingle).alias("s")), "shingles")
-    met = pairs.join(cut.select(F.col("text_key").alias("a"), F.col("s").alias("sa")), "a").join(cut.select(F.col("text_key").alias("b"), F.col("s").alias("sb")), "b")
+    keyed = docs.select(text_key(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    cut = one_by_key(keyed.join(wanted, "text_key").hint("rebalance"), "node", "text")
+    cut, _ = stage(spark, cut.select("node", shingle_set(F.col("text"), shingle).alias("s")), "shingles")
+    met = pairs.join(cut.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(cut.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
     found, _ = stage(spark, met.where(same >= least * (F.size("sa") + F.size("sb") - same) - 1e-9).select("a", "b"), "similar")
     return found
@@ -302,66 +327,69 @@ def similar_components(spark: SparkSession, docs: DataFrame, texts: DataFrame, s
 
     What the fingerprints propose is compared first, then the texts that share a shingle of their prefixes with
     the middle text of those that have it, then every pair that shares one and is still in two components."""
-    links_ = verified(spark, docs, candidates(spark, texts), shingle, least)
-    shared = shared_prefixes(spark, docs, shingle, least)
+    links_ = verified(spark, docs, texts, candidates(spark, texts), shingle, least)
+    shared = shared_prefixes(spark, texts, least)
 
     def placed():
         parts, _ = stage(spark, connected_components(spark, links_), "parts")
-        at = shared.join(parts.hint("rebalance"), F.col("text_key") == F.col("node"), "left")
-        at = at.select("sh", "text_key", "n", "rank", F.coalesce("component", "text_key").alias("c"))
-        split = at.groupBy("sh").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("rank", "n", "text_key", "c")).alias("mid"))
+        at = shared.withColumnRenamed("node", "own").join(parts.hint("rebalance"), F.col("own") == F.col("node"), "left")
+        at = at.select("sh", F.col("own").alias("node"), "n", "rank", F.coalesce("component", "own").alias("c"))
+        split = at.groupBy("sh").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("rank", "n", "node", "c")).alias("mid"))
         return at, split.where("lo <> hi").hint("rebalance")
 
     close = lambda x, y: (F.least(x, y) >= least * F.greatest(x, y) - 1e-9)
 
     def enough(met: DataFrame) -> DataFrame:
         """Pairs (x, y) of ``n`` and ``m`` shingles that share as many as similar texts must."""
-        counted = met.where(close(F.col("n"), F.col("m"))).groupBy("x", "y", "n", "m").agg(F.count("*").alias("met"))
-        return counted.where(F.col("met") >= must_share(F.least("n", "m"))).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        tallied = met.where(close(F.col("n"), F.col("m"))).groupBy("x", "y", "n", "m").agg(F.count("*").alias("met"))
+        return tallied.where(F.col("met") >= must_share(F.least("n", "m"))).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
     at, split = placed()
     stars = at.join(split.select("sh", "mid"), "sh").where(F.col("c") != F.col("mid.c"))
-    stars = enough(stars.select(F.col("text_key").alias("x"), F.col("mid.text_key").alias("y"), "n", F.col("mid.n").alias("m")))
-    links_ = links_.unionByName(verified(spark, docs, stars, shingle, least))
+    stars = enough(stars.select(F.col("node").alias("x"), F.col("mid.node").alias("y"), "n", F.col("mid.n").alias("m")))
+    links_ = links_.unionByName(verified(spark, docs, texts, stars, shingle, least))
     at, split = placed()
-    open_, _ = stage(spark, at.join(split.select("sh"), "sh", "left_semi").select("sh", "text_key", "n", "c"), "open")
-    other = open_.select("sh", F.col("text_key").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"))
-    rest = open_.withColumnRenamed("text_key", "x").hint("rebalance").join(other.hint("rebalance"), "sh")
+    open_, _ = stage(spark, at.join(split.select("sh"), "sh", "left_semi").select("sh", "node", "n", "c"), "open")
+    other = open_.select("sh", F.col("node").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"))
+    rest = open_.withColumnRenamed("node", "x").hint("rebalance").join(other.hint("rebalance"), "sh")
     rest = enough(rest.where((F.col("x") > F.col("y")) & (F.col("c") != F.col("d"))))
-    return connected_components(spark, links_.unionByName(verified(spark, docs, rest, shingle, least)))
+    return connected_components(spark, links_.unionByName(verified(spark, docs, texts, rest, shingle, least)))
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, least: float = 0.8, views: int = 6) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, least: float = 0.8, views: int = 3) -> DataFrame:
     """One row of every group of near copies: of the rows with the group's least ``doc_id`` (null counts as
-    largest) the one with the least row hash; equal rows collapse to one.
+    largest) the one with the least digest; equal rows collapse to one.
 
     A pair is a link if the sets of its ``shingle``-word shingles have a Jaccard similarity of at least ``least``;
     groups are the components of all links.  Fingerprints of distinct words propose pairs by ball hashing in
     several views, which joins most groups early; prefixes of the shingle sets bring the pairs that are left.
-    Exact copies are one text."""
-    own = [f"`{c}`" for c in docs.columns]
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            made = pa.array([word_views(t.as_py(), views) for t in b.column("text")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", "row", "text_key")), made], ["doc_id", "row", "text_key", "views"])
-
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    marked = docs.select("doc_id", F.xxhash64(*own).alias("row"), key.alias("text_key"), "text")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    marked, _ = stage(spark, marked.mapInArrow(run, f"doc_id {id_type}, row bigint, text_key bigint, views array<bigint>"), "marked")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")).alias("first")
-    texts, _ = stage(spark, marked.groupBy("text_key").agg(first, F.first("views").alias("views")), "texts")
+    Exact copies are one text.  Only the rows that go are joined back to the documents."""
+    rows, texts = distinct_texts(spark, docs, shingle, least, views)
     parts = similar_components(spark, docs, texts, shingle, least)
-    placed = texts.select("text_key", "first").join(parts, F.col("text_key") == F.col("node"), "left")
-    winners = placed.groupBy(F.coalesce("component", "text_key").alias("root")).agg(F.min("first").alias("w")).select("w.id", "w.row")
+    placed = texts.select("node", "text_key", "first").join(parts.withColumnRenamed("node", "met"), F.col("node") == F.col("met"), "left")
+    placed, _ = stage(spark, placed.select("text_key", "first", F.coalesce("component", "node").alias("root")), "roots")
+    winners = placed.groupBy("root").agg(F.min("first").alias("w"))
+    same = F.col("first") == F.col("w")
+    winners = placed.join(winners.hint("rebalance"), "root").where(same).select("w.id", "w.row", "w.text_key")
     winners, _ = stage(spark, winners, "winners")
-    rows = docs.withColumn("__row", F.xxhash64(*own))
-    same_row = (rows["__row"] == winners["row"]) & rows["doc_id"].eqNullSafe(winners["id"])
-    # Only winners can repeat: equal rows.
-    return rows.join(winners, same_row, "left_semi").drop("__row").dropDuplicates()
+    won = (rows["text_key"] == winners["text_key"]) & (rows["row"] == winners["row"]) & rows["doc_id"].eqNullSafe(winners["id"])
+    key = ["text_key", "row", "doc_id"]
+    gone = counted(spark, rows.join(winners, won, "left_anti").select(*key).distinct(), "gone", BROADCAST_ROWS)
+    kept = rows.join(winners, won, "left_semi").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    twice = counted(spark, kept.select(*key), "twice", BROADCAST_ROWS)
+    whole = docs.withColumn("__key", text_key(F.coalesce("text", F.lit("")))).withColumn("__row", row_key(docs))
+
+    def among(some: DataFrame, how: str) -> DataFrame:
+        hit = (whole["__key"] == some["text_key"]) & (whole["__row"] == some["row"]) & whole["doc_id"].eqNullSafe(some["doc_id"])
+        return whole.join(some, hit, how)
+
+    left = among(gone, "left_anti")
+    once = left if twice.isEmpty() else among(gone.unionByName(twice), "left_anti")
+    out = once.drop("__key", "__row")
+    if not twice.isEmpty():
+        # Equal rows: only they are compared as a whole.
+        out = out.unionByName(among(twice, "left_semi").drop("__key", "__row").dropDuplicates())
+    return out
 
 
 def shingle_set(text: Column, k: int) -> Column:
