@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its output is written
 as Parquet and read again as the next stage's ``docs``.  All but the last return the
-columns of ``documents``.
+columns of ``documents``; further columns are dropped.
+
+Defined results: an empty table goes through every stage as one.  A null text counts as
+empty, so the quality rules reject it; the other stages, run alone, keep it as it is but
+for one of several empty ones in near-dedup, and secret masking and encoding make it the
+empty text.  Rows with a null ``doc_id`` are treated like others; near-dedup prefers a row
+with an id.  Of equal rows one stays in near-dedup, and rows that share an id are
+different documents.  Very long texts are handled whole by every stage.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm import bpe, quality_rules, secret_scan, simhash_dedup
 from keelson.llm.decontaminate import BROADCAST_ROWS, contaminated_texts
-from keelson.llm.shared import STAGED, counted, release_all, stage, text_key
+from keelson.llm.shared import counted, release_all, stage, staging, text_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -64,8 +71,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    others = tuple(STAGED)
-    for name, step in STAGES[:-1]:
-        docs, path = stage(spark, step(spark, docs, sf_dir), name)
-        release_all(spark, path, *others)  # what the stage has staged on its way, and its input
+    with staging() as held:
+        for name, step in STAGES[:-1]:
+            docs, path = stage(spark, step(spark, docs, sf_dir), name)
+            release_all(spark, held, path)  # what the stage has staged on its way, and its input
     return STAGES[-1][1](spark, docs, sf_dir)
