@@ -5,10 +5,11 @@ punctuation, copyright lines, equivalent spellings), and the SHA-256 of that for
 hash-joined to the digests of known licence texts and notices.  The known table is a
 constant of this module, so its broadcast has a fixed size.  Everything is a column
 expression; only units whose canonical length some known text has are digested.
+Short texts are known by their words, long ones by digests (``WHOLE``).
 
 Defined results: one row per matching unit (``unit`` is "text" or "line", ``line_no``
 counts from 0 and is -1 for a whole text); null and empty texts match nothing;
-repeated rows match once each; a null ``doc_id`` is reported as null; an empty table
+repeated rows match once each; a very long text is canonised whole, in linear time; a null ``doc_id`` is reported as null; an empty table
 gives an empty table; other input columns are ignored.
 """
 
@@ -25,8 +26,10 @@ from keelson.llm.shared import let
 #: (pattern, replacement), in order; the same in Java, RE2 and Python.
 STEPS = (
     (r"\r\n?", "\n"),
-    # A notice, not a line that a wrap lets begin with "copyright holders".
-    (r"(^|\n)[^a-z0-9\n]*(copyright *(\(c\)|©|by |[0-9]{4})|\(c\)|©)[^\n]*", "\n"),
+    # Words of a licence's own text, which a wrap may put at the start of a line; what else begins so is a notice.
+    (r"copyright (holder|owner|notice|law|licen|interest|statement|protection|right|treat|disclaimer|status|permission|the software|the library|and|or|in|is|to|on|of|for|as|but|with|under|that|which|resulting|conditions|permissions|list)", "copyrighted $1"),
+    (r"(^|\n)[^a-z0-9\n]*((portions|parts) )?(copyright\b|\(c\)|©)[^\n]*", "\n"),
+    (r"copyrighted", "copyright"),
     (r"all rights reserved\.?", " "),
     (r"https://", "http://"),
     (r"sub-licen[cs]e", "sublicense"),
@@ -117,6 +120,37 @@ KNOWN = (
 )
 
 
+#: Fixed values: (licence, SHA-256, length) of the canonical forms of long licences, from the texts that Debian installs
+#: under /usr/share/common-licenses: whole, and up to the end of their terms.
+WHOLE = (
+    ("Apache-2.0", "71e89069712ecf600e16cfa2566d7990b052fe00666513dbdca1c6eeeacf14b5", 9804),
+    ("Apache-2.0", "d3d877c55b6e844ab202f0d15ce36326fecce6794172323ef6b9ddfd7d9c0390", 8767),
+    ("Apache-2.0", "881c60547fc1c5d0e865a3e1b248f2ee7a92908941cc19e081aad292b6cbb561", 8795),
+    ("Artistic-1.0-Perl", "16165f3791f0d7e4e37b0ab884a75d7d62124b100814c66dda4b54a47e1dfa22", 5798),
+    ("CC0-1.0", "efa01e1f98bc5d90ca373f597e31e8f26b9c2e392a701828ae8cab513d864640", 6685),
+    ("GFDL-1.2", "733216fc1bea83d841dd059046543d4e8a08e8fca8a8c0d2c1ac34073a644a56", 19415),
+    ("GFDL-1.3", "a06dd8c86872864ed83fb5d057ce56945ca1e8acc250e351116d8cc1fd8e3faf", 21836),
+    ("GPL-1.0", "18ae0034076a8eb8f2a7a8f884ccf767dd4d14b83236c1f9f56b9c67ffac16d5", 11630),
+    ("GPL-1.0", "8957a3252dc04044ede2d835e70e6167398ab1a3b12d1aeff4518f3fcc36fc23", 9329),
+    ("GPL-1.0", "d7df4a0ec9eb24dcfacdfd1deaf0b504377f568846ff772e7eab7da231844134", 9357),
+    ("GPL-2.0", "7da4d03495123b349da7f6bdbc04f7423ee346a0ec77a4a753e583fdb29de3f6", 17043),
+    ("GPL-2.0", "bb51e22280e3a54b4fe90045d496c7e2ad24d75179079442d1e8b48cf5a01ac3", 14395),
+    ("GPL-2.0", "4491fe239c59dd2b2eda8210df6f01df60921c2a713848e9d21a5213ff86cde1", 14423),
+    ("GPL-3.0", "9f01c8fc9739f3ab351adbd847a7a88d80a727c1da7f95b9b80b9931e2be9216", 33229),
+    ("GPL-3.0", "7bc430237f799992270e3acc37f6831e9879841c768749190a6e2ffc4b7cefab", 30770),
+    ("GPL-3.0", "5835652090262df04a3283e06998275c612c8eeff258ec73c6fc8664c1287ac7", 30798),
+    ("LGPL-2.0", "b99609d15037df8901c9f4c65a00eb344718584467e7d1fe0ab7fe4486f800b8", 23958),
+    ("LGPL-2.0", "ccfbe70f158dffa287cb834ec211ea8f8ac88a6d94aa34b3a222cc6d7849f596", 22147),
+    ("LGPL-2.0", "31854cd0160da314234227e355b20fad51273bc21c4635debcf99025a945de7f", 22175),
+    ("LGPL-2.1", "ff9a53ba598bbf5d4668e7840a85b63c4d33d82782ad51ccf9f69bcec085b7b4", 25003),
+    ("LGPL-2.1", "d942294f3f7850a53dbe31c8440341bc08f1e9d18ddff071c52511c8cc3243de", 23193),
+    ("LGPL-2.1", "587e3aa87940907d02e276b77f4fa4148958b737ba260d865c93210ab8f11789", 23221),
+    ("LGPL-3.0", "5c596d73ce671bf605bbdee26813192c5526af7efd4a060975bec2c6970dcf0f", 6985),
+    ("MPL-1.1", "7105bc8ac780a232cc3e236f60f493db1812b20f63c1042e12eab70cb2d7711b", 22111),
+    ("MPL-2.0", "32ec17b145fbf008a4c7a63ca180f600cdbea37527fdbcf2aa818c7e1354810d", 14193),
+)
+
+
 def canonical(text: str | None) -> str:
     """Canonical form of one text, lines kept; the Python twin of ``canonical_lines``."""
     text = (text or "").lower()
@@ -129,9 +163,18 @@ def whole(lines: str) -> str:
     return " ".join(lines.split())
 
 
+def variants(text: str) -> list[str]:
+    """A long licence as it is passed on: whole, or up to the end of its terms, with or without that line."""
+    out = [text]
+    mark = re.search(r"\n[^\n]*END OF TERMS AND CONDITIONS[^\n]*\n", text)
+    if mark:
+        out += [text[: mark.start()], text[: mark.end()]]
+    return out
+
+
 def digest_table() -> list[tuple[str, str, int]]:
     """(digest, licence, canonical length) of every known text."""
-    rows = {}
+    rows = {digest: (licence, n) for licence, digest, n in WHOLE}
     for licence, _, text in KNOWN:
         form = whole(canonical(text))
         rows[hashlib.sha256(form.encode()).hexdigest()] = (licence, len(form))

@@ -372,6 +372,31 @@ def test_wrapped_licenses_are_known(width):
                 assert sha(license_scan.whole(license_scan.canonical(t))) in digests
 
 
+INSTALLED = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.parametrize("file", sorted(INSTALLED))
+def test_long_licenses_are_known(file):
+    from pathlib import Path
+
+    path = Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("the text is not installed here")
+    text = path.read_text(errors="replace")
+    known = {d: licence for d, licence, _ in license_scan.digest_table()}
+    for t in license_scan.variants(text):
+        for put in (t, t.upper(), t.replace("\n", "\r\n"), "Copyright 2020 Someone\n\n" + t, "Portions Copyright Jane Doe, 2020\n" + t):
+            assert known.get(sha(license_scan.whole(license_scan.canonical(put)))) == INSTALLED[file]
+
+
+@pytest.mark.parametrize("notice", ["Copyright Jane Doe, 2020", "Copyright: the authors", "Portions copyright (C) 1999 X", "(c) Y", "Copyright The Z Authors. All rights reserved."])
+def test_notices_do_not_count(notice):
+    digests = {d for d, *_ in license_scan.digest_table()}
+    for _, form, text in license_scan.KNOWN:
+        if form == "text":
+            assert sha(license_scan.whole(license_scan.canonical(f"{notice}\n\n{text}"))) in digests
+
+
 def test_license_twins_agree(spark):
     texts = [t for *_, t in license_scan.KNOWN] + ["Copyright X\nFoo & Bar v. 2\r\nLicence"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
