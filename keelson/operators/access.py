@@ -66,8 +66,9 @@ def running_counters(stream: DataFrame, key: str, epoch: str) -> DataFrame:
     return ordered.mapInArrow(run, f"key {kind}, epoch bigint, n bigint, counter bigint")
 
 
-def aged_counts(stream: DataFrame, key: str, epoch: str) -> DataFrame:
-    """Counter of every key after the last epoch of the stream."""
+def aged_counts(stream: DataFrame, key: str, epoch: str, epochs: int | None = None) -> DataFrame:
+    """Counter of every key after the last epoch of the stream, or as it was after the first ``epochs``."""
+    stream = stream if epochs is None else stream.where(F.col(epoch) < epochs)
     last = stream.agg(F.max(F.col(epoch).cast("bigint")).alias("last"))
     final = running_counters(stream, key, epoch).groupBy("key").agg(F.max(F.struct("epoch", "counter")).alias("c"))
     idle = F.least(F.col("last") - F.col("c.epoch"), F.lit(63)).cast("int")

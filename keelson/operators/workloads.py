@@ -81,7 +81,9 @@ def by_name(index: DataFrame, group: Sequence[str], order: Sequence[str], asked:
 
 def rotate(queue: DataFrame, key: str, times: int) -> DataFrame:
     """Keys of a queue after ``times`` pops of the least key, each followed by a push of the greatest plus one."""
-    ends = queue.agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"), F.count("*").alias("__n"))
+    if times < 1:
+        return queue.select(key)
+    ends = queue.agg(F.max(key).alias("__hi"), F.count("*").alias("__n"))
     kept = global_rank(queue.select(key), key).where(F.col("rank") > times).select(key)
     pushed = ends.where("__n > 0").select(F.explode(F.sequence(F.col("__hi") + F.greatest(F.lit(1), times - F.col("__n") + 1), F.col("__hi") + times)).alias(key))
     return kept.unionByName(pushed)

@@ -201,3 +201,75 @@ def test_perturbed_parameters_stay_in_bounds():
         got = perturbed({"alpha": 0.5, "window": 4800}, bounds, seed)
         assert 0.1 <= got["alpha"] <= 0.9 and 1000 <= got["window"] <= 5000 and got["window"] % 500 == 0
     assert perturbed({"alpha": 0.5}, bounds, 3) == perturbed({"alpha": 0.5}, bounds, 3)
+
+
+def test_checksums_and_hashes_equal_other_implementations(spark):
+    import zlib
+
+    import xxhash
+
+    from keelson.operators import versions
+    from keelson.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    orders = {r.o_orderkey: f"{r.o_orderkey}|{r.o_custkey}|{r.o_orderstatus}" for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
+    got = {r.o_orderkey: r.crc for r in registry.queries()["row_checksum"](spark, sf).collect()}
+    assert got == {k: zlib.crc32(v.encode()) for k, v in orders.items()}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    nations = {r.n_nationkey: "\x1f".join(map(str, (r.n_name, r.n_nationkey, r.n_regionkey))) for r in spark.read.parquet(f"{sf}/nation.parquet").collect()}
+    got = {r.n_nationkey: r.c_hash for r in registry.queries()["config_hash"](spark, sf).collect()}
+    assert got == {k: signed(xxhash.xxh64_intdigest(v.encode(), 42)) for k, v in nations.items()}
+    tx = spark.createDataFrame([(1, 7, "U", 5, 9, "a"), (1, 8, "D", 6, None, None), (2, 9, "I", 7, 11, "b")], "worker int, command_id bigint, op string, start_ts bigint, commit_ts bigint, v string")
+    entries = versions.wal_entries(tx, ["v"])
+    rows = entries.orderBy("worker", "lsn").collect()
+    assert [(r.worker, r.lsn, r.kind) for r in rows] == [
+        (1, 1, "TX_START"), (1, 2, "DT_SPECIFIC"), (1, 3, "TX_COMMIT"), (1, 4, "TX_START"), (1, 5, "DT_SPECIFIC"), (1, 6, "TX_ABORT"), (2, 1, "TX_START"), (2, 2, "DT_SPECIFIC"), (2, 3, "TX_COMMIT"),
+    ]
+    text = lambda x: "" if x is None else str(x)
+    for r in rows:
+        assert r.crc == zlib.crc32("\x1f".join(map(text, (r.worker, r.lsn, r.kind, r.command_id, r.op, r.payload, r.size))).encode())
+    broken = versions.checked(entries.withColumn("size", F.col("size") + 1))
+    assert not any(r.intact for r in broken.collect()) and all(r.intact for r in versions.checked(entries).collect())
+
+
+def test_losers_block_nobody(spark):
+    from keelson.operators.versions import VersionLog
+
+    rows = [("a", 1, 0, 10), ("a", 2, 5, 12), ("a", 3, 11, 15), ("a", 4, 20, 25), ("b", 5, 0, 30), ("b", 6, 1, 31), ("b", 7, 2, 32), ("b", 8, 3, None)]
+    log = spark.createDataFrame([(k, "U", 1, s, c, 0, i) for k, i, s, c in rows], "k string, op string, v int, start_ts bigint, commit_ts bigint, worker int, command_id bigint")
+    lost = {(r.command_id, r.blocked_by_ts) for r in VersionLog(log, ["k"], ["v"]).conflicts().collect()}
+    assert lost == {(2, 10), (6, 30), (7, 30)}
+
+
+def test_ranges_are_found_in_two_steps(spark, monkeypatch):
+    from keelson.operators import keyed
+
+    monkeypatch.setattr(keyed, "COARSE", 3)
+    monkeypatch.setattr(keyed, "RANGE_ROWS", 10)
+    rows = [(f"k{i * 37 % 400:03d}", i % 7) for i in range(400)]
+    df = spark.createDataFrame(rows, "a string, b int")
+    ranked = keyed.global_rank(df, "a", "b").collect()
+    assert [(r.a, r.b) for r in sorted(ranked, key=lambda r: r["rank"])] == sorted(rows)
+    assert sorted(r["rank"] for r in ranked) == list(range(1, 401))
+    found = keyed.floor(keyed.KeyedTable(df, ["a", "b"]), spark.createDataFrame([("k0005", 3), ("a", 0), (None, 1), ("zz", 9)], "p string, q int"), ["p", "q"]).collect()
+    want = {"k0005": max(r for r in rows if r <= ("k0005", 3)), "a": (None, None), None: (None, None), "zz": max(rows)}
+    assert {r.p: (r.a, r.b) for r in found} == want
+
+
+def test_queue_rotates_beyond_its_length(spark):
+    from keelson.operators.workloads import rotate
+
+    queue = spark.createDataFrame([(k,) for k in (3, 5, 9)], "k bigint")
+    for times in range(7):
+        want = [3, 5, 9]
+        for _ in range(times):
+            want = [*want[1:], max(want) + 1]
+        assert sorted(r.k for r in rotate(queue, "k", times).collect()) == want
+    assert rotate(queue.limit(0), "k", 2).count() == 0
+
+
+def test_grown_key_space_equals_a_new_one():
+    from keelson.functions import generators as G
+
+    assert abs(G.GrowingZipf(100, 0.8).grow_to(500).zeta - G.zeta(500, 0.8)) < 1e-9
+    assert abs(G.zeta(5000, 0.9, exact=1000) - G.zeta(5000, 0.9)) < 0.01
