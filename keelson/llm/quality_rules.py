@@ -8,7 +8,8 @@ document costs n log n in its own row and no key can become hot.
 
 Defined results: a null text counts as the empty text (zero words, hence
 ``base_failed``); a null ``doc_id`` and repeated rows pass through row by row; an
-empty table gives an empty table; further input columns are kept by ``apply_rules``,
+empty table gives an empty table; a very long text is measured whole, whatever its
+length (n log n in its words); further input columns are kept by ``apply_rules``,
 and a metric wins over an input column of the same name.
 """
 
@@ -29,7 +30,7 @@ STOP_WORDS = (
 
 #: (metric, least, most); None leaves a side open.  Ratios are per word.
 RULES = (
-    ("n_words", 20, 10_000_000),
+    ("n_words", 20, None),
     ("mean_word_chars", 2.0, 14.0),
     ("symbol_ratio", None, 0.25),
     ("shout_ratio", None, 0.25),
@@ -45,45 +46,68 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def repeated(tagged: Column, kind: str) -> Column:
+    """Sorted places ``i`` of the entries (w, i) whose ``w``, of type ``kind``, another entry has too."""
+
+    def runs(s: Column) -> Column:
+        none = F.array(F.lit(None).cast(f"struct<w:{kind},i:int>"))
+        before = F.concat(none, F.slice(s, 1, F.size(s) - 1))
+        after = F.concat(F.slice(s, 2, F.size(s) - 1), none)
+        near = F.arrays_zip(s.alias("s"), before.alias("b"), after.alias("a"))
+        same = lambda x, side: x["s"]["w"].eqNullSafe(x[side]["w"])
+        hit = F.filter(near, lambda x: same(x, "b") | same(x, "a"))
+        return F.sort_array(F.transform(hit, lambda x: x["s"]["i"]))
+
+    return let(F.sort_array(tagged), runs)
+
+
 def repeat_words(words: Column, window: int = WINDOW) -> Column:
-    """Words that lie in a window of ``window`` words found twice or more in ``words``."""
-
-    def covered(wins: Column) -> Column:
-        def sorted_runs(s: Column) -> Column:
-            none = F.lit(None).cast("struct<w:string,i:int>")
-            before = F.concat(F.array(none), F.slice(s, 1, F.size(s) - 1))
-            after = F.concat(F.slice(s, 2, F.size(s) - 1), F.array(none))
-            near = F.arrays_zip(s.alias("s"), before.alias("b"), after.alias("a"))
-            same = lambda x, side: x["s"]["w"].eqNullSafe(x[side]["w"])
-            hit = F.filter(near, lambda x: same(x, "b") | same(x, "a"))
-            return F.sort_array(F.transform(hit, lambda x: x["s"]["i"]))
-
-        tagged = F.transform(wins, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-        starts = let(F.sort_array(tagged), sorted_runs)
-        # Every flagged start covers ``window`` words, less what the next start covers too.
-        return let(
-            starts,
-            lambda p: F.when(F.size(p) == 0, F.lit(0)).otherwise(
-                F.aggregate(
-                    F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.least(F.coalesce(b - a, F.lit(window)), F.lit(window))),
-                    F.lit(0),
-                    lambda acc, x: acc + x,
-                )
-            ),
-        )
+    """Words that lie in a window of ``window`` words, a power of two, found twice or more in ``words``.
+
+    Each word is hashed once, and hashes are joined pairwise to those of 2, 4 and 8 words.  Only a text whose hashes
+    repeat is looked at further: half a hash and its place make one number, and neighbours in the order of these are
+    compared word by word.  Should two of them be no equal windows after all, all windows are compared as texts."""
+
+    def hashes(ws: Column) -> Column:
+        def doubling(span: int):
+            return lambda h: F.transform(F.slice(h, 1, F.size(h) - span), lambda x, i: F.xxhash64(x, F.get(h, i + span)))
+
+        out, span = F.transform(ws, lambda w: F.xxhash64(w)), 1
+        while span < window:
+            out = let(out, doubling(span))
+            span *= 2
+        return out
+
+    def covered(starts: Column) -> Column:
+        # Every start covers ``window`` words, less what the next start covers too.
+        steps = lambda p: F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.least(F.coalesce(b - a, F.lit(window)), F.lit(window)))
+        return let(starts, lambda p: F.when(F.size(p) == 0, F.lit(0)).otherwise(F.aggregate(steps(p), F.lit(0), lambda n, x: n + x)))
 
     # Indexed reads of a bound array are constant time; slice() would copy the whole array for each window.
-    def windows(ws: Column, key) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(ws) - window), lambda i: key(*(F.get(ws, i + k) for k in range(window)))
-        )
+    def as_texts(ws: Column, h: Column) -> Column:
+        text = lambda i: F.concat_ws(" ", *(F.get(ws, i + k) for k in range(window)))
+        return covered(repeated(F.transform(h, lambda x, i: F.struct(text(i).alias("w"), i.alias("i"))), "string"))
+
+    def by_neighbours(ws: Column, h: Column) -> Column:
+        place = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        high = lambda x: F.shiftright(x, 32)
+
+        def equal(x: Column, y: Column) -> Column:
+            words = F.lit(True)
+            for k in range(window):
+                words &= F.get(ws, place(x) + k) == F.get(ws, place(y) + k)
+            return F.when(high(x) != high(y), 0).when(words, 1).otherwise(-1)
+
+        def found(s: Column) -> Column:
+            pairs = F.transform(F.slice(s, 1, F.size(s) - 1), lambda x, i: equal(x, F.get(s, i + 1)))
+            hit = lambda q, i: F.coalesce(F.get(q, i) == 1, F.lit(False))
+            starts = lambda q: F.filter(F.transform(s, lambda x, i: F.when(hit(q, i) | hit(q, i - 1), place(x))), lambda x: x.isNotNull())
+            return let(pairs, lambda q: F.when(F.array_contains(q, F.lit(-1)), as_texts(ws, h)).otherwise(covered(F.sort_array(starts(q)))))
+
+        return let(F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, 32).bitwiseOR(i.cast("bigint")))), found)
 
     def of_words(ws: Column) -> Column:
-        exact = covered(windows(ws, lambda *w: F.concat_ws(" ", *w)))
-        # Equal windows hash alike, so as many hashes as windows means that none repeats.
-        return let(
-            windows(ws, F.xxhash64), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(exact)
-        )
+        return let(hashes(ws), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(by_neighbours(ws, h)))
 
     return F.when(F.size(words) < window, F.lit(0)).otherwise(let(words, of_words)).cast("long")
 
@@ -99,9 +123,9 @@ def measure(text: Column) -> Column:
         n = F.size(ws)
         per = lambda x: x / F.greatest(n, F.lit(1))
         chars = F.length(F.translate(t, " \t\n\x0b\f\r", ""))
-        symbols = F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))
+        symbols = F.regexp_count(t, F.lit("[#*$%&|<>]"))
         shouts = (F.length(t) - F.length(F.replace(t, F.lit("!!"), F.lit("")))) / 2
-        lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
+        lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
         stops = F.size(F.filter(ws, lambda w: F.lower(w).isin(STOP_WORDS)))
         return let(
             F.struct(F.size(lines).alias("all"), F.size(F.array_distinct(lines)).alias("own")),

@@ -17,14 +17,15 @@ position in eighteen where a difference cover modulo 32 takes one in five.
 4. Each bucket ranks its anchors' contexts, names each suffix and finds those that
    start in a smaller document; blocks get the spans back and cut their documents.
 
-A task holds one block or one bucket.  Blocks and buckets grow in number with the
-input; a passage that many documents share costs its bucket one run a block, and an
+A task holds a few blocks or buckets.  Their number follows from the input's bytes, so
+neither grows with the input; a passage that many documents share costs its bucket one run a block, and an
 anchor in very many different passages is dealt out by window.
 
 Defined results: null text counts as empty; a row with a null ``doc_id`` is neither
 smaller nor larger than another, so it keeps all its bytes and removes none; rows
-that share an id do not remove from each other; repeated rows get equal results; an
-empty table gives an empty table; other columns are ignored.
+that share an id do not remove from each other; ids of any type that sorts are taken, and
+"smaller" is their order; repeated rows get equal results; a very long text is one row of
+its block, passed over in chunks; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import suffix_blocks
+from keelson.llm.shared import dealt_parts, named_again, numbered
 from keelson.llm.suffix_blocks import Block, answer, merged, offers, request, settle, unpack
 
 LENGTH = 50
-#: Blocks for each shuffle partition.
-BLOCKS = 4
+#: Bytes of text of a block, about.
+BLOCK_BYTES = 4 << 20
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>, kept string"
 
@@ -52,10 +54,9 @@ def remove_passages(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) of every row of ``docs``;
     ``spans`` are byte offsets, and ``kept`` is the rest with broken characters replaced."""
     suffix_blocks.piece_bytes(length)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(BLOCKS * buckets)).cast("int"))
+    dealt, names = numbered(spark, docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")))
+    blocks, buckets = dealt_parts(spark, dealt, BLOCK_BYTES)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     dealt = dealt.repartition(buckets, "block")
 
     def ask(table):
@@ -132,7 +133,7 @@ def remove_passages(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
     replies = asked.groupBy("bucket").applyInArrow(reply, "block int, bucket int, blob binary").repartition(buckets, "block")
     offered = by_block.cogroup(replies.groupBy("block")).applyInArrow(offer, "bucket int, block int, settled boolean, blob binary")
     decided = offered.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(decide, "block int, blob binary").repartition(buckets, "block")
-    return by_block.cogroup(decided.groupBy("block")).applyInArrow(cut, RESULT)
+    return named_again(by_block.cogroup(decided.groupBy("block")).applyInArrow(cut, RESULT), names, "doc_id")
 
 
 def passage_report(spark: SparkSession, docs: DataFrame) -> DataFrame:

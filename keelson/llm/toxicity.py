@@ -21,7 +21,8 @@ an input of a score.
 Defined results: a null text counts as empty and is scored by the bias; without any
 positive training row all scores are 0; labels with a null ``toxic`` or ``doc_id``
 are ignored, and a document labelled twice is toxic if either label says so; a null
-``doc_id`` is scored and not held out; repeated rows are scored alike.
+``doc_id`` is scored and not held out; repeated rows are scored alike; a very long text is
+read whole, in linear time; other columns are kept by ``score`` but for its own.
 """
 
 from __future__ import annotations
@@ -120,6 +121,20 @@ def choose(sample: DataFrame, n_pos: int, n_unl: int) -> list[int]:
     return sorted(r["key"] for r in best.select("key").collect())
 
 
+def as_negative(s: np.ndarray) -> float:
+    """Mean logistic loss of scores if all were negative."""
+    return float(-np.log1p(-np.minimum(s, 1 - 1e-12)).mean())
+
+
+def slopes(sp: np.ndarray, su: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the risk by the raw scores of positives and of unlabelled rows, given their probabilities; where
+    the bracket is negative, those of the bracket alone, turned round."""
+    # Logistic loss: d loss(+)/dx = s - 1, d loss(-)/dx = s.
+    if as_negative(su) - prior * as_negative(sp) >= 0:
+        return -prior * np.ones(len(sp)) / len(sp), su / len(su)
+    return prior * sp / len(sp), -su / len(su)
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, chosen: np.ndarray) -> tuple[dict[int, float], float]:
     """(weight of each chosen feature key, bias): the mean of ``MODELS`` models."""
     weights: dict[int, float] = {}
@@ -134,12 +149,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         w[n] = math.log(prior / (1 - prior))
         for step in range(1, STEPS + 1):
             sp, su = sigmoid(xp.score(w[:n], w[n])), sigmoid(xu.score(w[:n], w[n]))
-            # Logistic loss: d loss(+)/dx = s - 1, d loss(-)/dx = s.
-            loss = lambda s: -np.log1p(-np.minimum(s, 1 - 1e-12)).mean()
-            if loss(su) - prior * loss(sp) >= 0:
-                gp, gu = -prior * np.ones(len(sp)) / len(sp), su / len(su)
-            else:
-                gp, gu = prior * sp / len(sp), -su / len(su)
+            gp, gu = slopes(sp, su, prior)
             g = np.append(xp.back(gp, n) + xu.back(gu, n), gp.sum() + gu.sum())
             g[:n] += L2 * w[:n]
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g

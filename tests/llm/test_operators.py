@@ -26,6 +26,33 @@ def table(df):
     return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 
 
+# A megabyte without a break, and one of ordinary words, through every operator
+
+
+@pytest.fixture(scope="module")
+def huge(spark):
+    rows = [(1, "eyJ" + "abc0" * 250_000, "x", "y"), (2, "word " * 200_000, "x", "y"), (3, " " * 500_000 + "z" * 500_000, "x", "y"), (4, "short text", "x", "y")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, item string, score string").repartition(4)
+
+
+def test_huge_texts(spark, huge):
+    benchmark = spark.createDataFrame([(1, "some item of the benchmark that is long enough to be found"), (2, "word word word word word word")], "item_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 0)], "doc_id bigint, toxic int")
+    assert simhash_dedup.near_duplicate_report(spark, huge).count() == 4
+    assert {r.doc_id for r in decontaminate.leak_report(spark, huge, benchmark).collect()} == {2}
+    counted = {r.doc_id: r.n_bytes for r in token_counts.token_counts(huge).collect()}
+    assert counted == {1: 1_000_003, 2: 1_000_000, 3: 1_000_000, 4: 10}
+    assert secret_scan.secret_report(huge).count() == 4
+    assert not any(r.kept for r in quality_rules.apply_rules(huge).collect())
+    assert license_scan.scan(spark, huge).count() == 0
+    assert toxicity.toxicity_report(spark, huge, labels).count() == 4
+    assert passage_dedup.repeated_passages(spark, huge).count() == 0
+    assert all(r.n_tokens > 0 for r in bpe.round_trip_report(huge).collect())
+    # One document of one repeated word: nothing smaller holds any of it.
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.passage_report(spark, huge.where("doc_id <> 2")).collect()} == {1: 0, 3: 0, 4: 0}
+    assert {r.doc_id for r in simhash_dedup.keep_one(spark, huge).collect()} == {1, 2, 3, 4}
+
+
 # 1
 
 
@@ -306,6 +333,19 @@ def test_secret_report(spark, both, none):
     assert secret_scan.secret_report(none).count() == 0
 
 
+def test_sealed_keys_and_odd_headers():
+    kinds = lambda t: [k for *_, k in secret_scan.in_order(secret_scan.confirmed_spans(t))]
+    oid, octets = b"\x06\x09*\x86H\x86\xf7\r\x01\x05\r", b"\x04\x20" + bytes(range(32))
+    sealed = base64.b64encode(der(der(oid), octets)).decode()
+    block = "-----BEGIN {0}PRIVATE KEY-----\n{1}\n-----END {0}PRIVATE KEY-----"
+    assert "pem" in kinds(block.format("ENCRYPTED ", sealed))
+    assert "pem" in kinds(block.format("RSA ", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n" + base64.b64encode(bytes(range(200))).decode()))
+    assert "pem" not in kinds(block.format("RSA ", base64.b64encode(bytes(range(200))).decode()))
+    part = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    for head in (b'{\r\n"alg":"none"}', b'{\n"alg":"HS256"}', b'{\t"alg" : "HS256"}'):
+        assert kinds(f"t {part(head)}.{part(b'{}' + b' ' * 4)}.c2ln end") == ["jwt"]
+
+
 def test_secrets_are_masked(odd, spark):
     text = "a token = abcdefgh b " + "0a" * 20
     rows = secret_scan.scan(spark.createDataFrame([(1, text), (2, "clean"), (3, None)], "doc_id int, text string")).orderBy("doc_id").collect()
@@ -416,6 +456,62 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_risk_slopes_are_its_derivatives():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    loss = {1: lambda x: np.log1p(np.exp(-x)), -1: lambda x: np.log1p(np.exp(x))}
+    signs = set()
+    for _ in range(40):
+        xp, xu, prior = rng.normal(rng.uniform(-4, 4), 1, 5), rng.normal(rng.uniform(-4, 4), 1, 7), rng.uniform(0.05, 0.6)
+        bracket = lambda p, u: loss[-1](u).mean() - prior * loss[-1](p).mean()  # noqa: B023, E731
+        below = bracket(xp, xu) < 0
+        signs.add(below)
+        # The risk itself, or the bracket stepped back.
+        value = (lambda p, u: -bracket(p, u)) if below else (lambda p, u: prior * loss[1](p).mean() + bracket(p, u))  # noqa: B023, E731
+        gp, gu = toxicity.slopes(toxicity.sigmoid(xp), toxicity.sigmoid(xu), prior)
+        for x, g, put in ((xp, gp, lambda z: value(z, xu)), (xu, gu, lambda z: value(xp, z))):  # noqa: B023
+            for k in range(len(x)):
+                up, down = x.copy(), x.copy()
+                up[k] += 1e-5
+                down[k] -= 1e-5
+                assert abs((put(up) - put(down)) / 2e-5 - g[k]) < 1e-6
+    assert signs == {True, False}
+
+
+def test_sparse_fit_equals_a_dense_one(monkeypatch):
+    import math
+
+    import numpy as np
+
+    monkeypatch.setattr(toxicity, "STEPS", 25)
+    rng = np.random.default_rng(5)
+    chosen = np.arange(3, 63, 3)
+    rows = lambda n, p: [np.sort(rng.permutation(chosen)[: rng.binomial(len(chosen), p)]) for _ in range(n)]
+    positive, unlabelled, prior = rows(30, 0.5), rows(70, 0.2), 0.2
+    weights, bias = toxicity.train(positive, unlabelled, prior, chosen)
+    want, want_bias = np.zeros(len(chosen)), 0.0
+    for k in range(toxicity.MODELS):
+        pick = np.random.default_rng(k)
+        some = lambda r: [r[i] for i in np.sort(pick.permutation(len(r))[: math.ceil(0.9 * len(r))])]  # noqa: B023, E731
+        dense = lambda r: np.array([[c in set(x.tolist()) for c in chosen] + [True] for x in r], float)
+        p, u = dense(some(positive)), dense(some(unlabelled))
+        w = np.zeros(len(chosen) + 1)
+        w[-1] = math.log(prior / (1 - prior))
+        m = v = np.zeros_like(w)
+        for step in range(1, toxicity.STEPS + 1):
+            sp, su = 1 / (1 + np.exp(-p @ w)), 1 / (1 + np.exp(-u @ w))
+            if -np.log(1 - su).mean() + prior * np.log(1 - sp).mean() >= 0:
+                g = prior * ((sp - 1) @ p) / len(p) + su @ u / len(u) - prior * (sp @ p) / len(p)
+            else:
+                g = prior * (sp @ p) / len(p) - su @ u / len(u)
+            g[:-1] += toxicity.L2 * w[:-1]
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
+        want, want_bias = want + w[:-1] / toxicity.MODELS, want_bias + w[-1] / toxicity.MODELS
+    assert np.allclose([weights[c] for c in chosen.tolist()], want, atol=1e-9) and abs(bias - want_bias) < 1e-9
+
+
 def test_toxicity_never_reads_held_out_labels(spark, documents):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -703,6 +799,11 @@ def test_suffix_removal(spark, both):
     assert Counter(tuple(r) for r in got.collect()) == brute_removal(table(docs))
 
 
+def test_suffix_removal_of_text_ids(spark):
+    docs = spark.createDataFrame([("b", "x" + "0123456789" * 6), ("a", "0123456789" * 6), (None, "0123456789" * 6)], "doc_id string, text string")
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.passage_report(spark, docs).collect()} == {"a": 0, "b": 60, None: 0}
+
+
 def test_suffix_spans_and_rest(spark, none):
     docs = spark.createDataFrame([(1, "a" * 60), (2, "xx" + "a" * 50 + "yy"), (None, "a" * 60)], "doc_id int, text string")
     rows = {r.doc_id: r for r in suffix_dedup.remove_passages(spark, docs).collect()}
