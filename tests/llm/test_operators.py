@@ -107,6 +107,29 @@ def test_simhash_keeps_one_of_a_group(spark, odd, none):
     assert simhash_dedup.near_duplicate_report(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("small", [0, 20, 10**6])
+def test_components_equal_brute_force(spark, small):
+    import random
+
+    from keelson.llm.components import connected_components
+
+    rng = random.Random(small)
+    edges = [(rng.randrange(-150, 150), rng.randrange(-150, 150)) for _ in range(140)] + [(k, k + 1) for k in range(1000, 1040)] + [(7, 7), (None, 3)]
+    root = {}
+
+    def find(k):
+        while root.setdefault(k, k) != k:
+            k = root[k]
+        return k
+
+    for x, y in edges:
+        if x is not None and x != y:
+            lo, hi = sorted((find(x), find(y)))
+            root[hi] = lo
+    got = connected_components(spark, spark.createDataFrame(edges, "a bigint, b bigint"), small=small).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted((k, find(k)) for k in list(root))
+
+
 @pytest.mark.parametrize("n", [30, 200, 1000])
 def test_edited_copies_are_linked_as_by_brute_force(spark, n):
     import random
