@@ -53,6 +53,41 @@ def test_huge_texts(spark, huge):
     assert {r.doc_id for r in simhash_dedup.keep_one(spark, huge).collect()} == {1, 2, 3, 4}
 
 
+def test_clashing_columns_change_nothing(spark):
+    """Extra columns with the names of results and of steps on the way, where every operator finds something."""
+    words = " ".join(f"term{k}" for k in range(70))
+    rows = [(1, words), (2, words + " more"), (3, "Released under the MIT License."), (4, "token = abcdefgh " + "0a" * 20), (5, words)]
+    plain = spark.createDataFrame(rows, "doc_id bigint, text string")
+    names = "item_id item unit license_id spans n_hex redacted fp component_id start_word other_doc_id similarity block part blob n_bytes n_removed kept row node text_key first ids n_tokens score held_out number name k m h".split()
+    wide = plain.select("*", *(F.lit(f"{c}!").alias(c) for c in names))
+    benchmark = spark.createDataFrame([(9, " ".join(f"term{k}" for k in range(10, 40)))], "item_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 0)], "doc_id bigint, toxic int")
+    runs = {
+        "op1": lambda d: simhash_dedup.near_duplicate_report(spark, d),
+        "op2": lambda d: decontaminate.leak_report(spark, d, benchmark),
+        "op3": lambda d: token_counts.token_counts(d).select("doc_id", "n_bytes", "n_tokens"),
+        "op4": lambda d: secret_scan.secret_report(d),
+        "op5": lambda d: quality_rules.apply_rules(d).select("doc_id", "n_words", "kept"),
+        "op6": lambda d: license_scan.scan(spark, d),
+        "op7": lambda d: toxicity.toxicity_report(spark, d, labels),
+        "op8": lambda d: passage_dedup.repeated_passages(spark, d),
+        "op9": lambda d: bpe.round_trip_report(d),
+        "op10": lambda d: suffix_dedup.passage_report(spark, d),
+        "near": lambda d: simhash_dedup.keep_one(spark, d).select("doc_id", "text"),
+    }
+    for name, run in runs.items():
+        want, got = (sorted(map(tuple, run(d).collect()), key=repr) for d in (plain, wide))
+        assert got == want and want, name
+    assert [r.doc_id for r in simhash_dedup.keep_one(spark, wide).orderBy("doc_id").collect()] == [1, 3, 4]
+    assert simhash_dedup.keep_one(spark, wide).columns == wide.columns
+
+
+def test_equal_rows_collapse_and_rows_that_share_an_id_do_not(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (2, "a b c d e f g", "x"), (3, "h i j k l m", "x"), (3, "n o p q r s", "x"), (None, "n o p q r s", "z")]
+    kept = simhash_dedup.keep_one(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert sorted((r.doc_id, r.text[0]) for r in kept) == [(1, "a"), (3, "h"), (3, "n")]
+
+
 # 1
 
 
