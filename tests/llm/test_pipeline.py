@@ -37,3 +37,57 @@ def test_masked_text_is_what_gets_encoded(spark):
     assert masked.text == row.redacted and masked.n_chars == len(row.redacted)
     back = bpe.decode(bpe.encode(spark.createDataFrame([masked])))
     assert back.first().decoded == masked.text
+
+
+def test_pipeline_equals_brute_force(spark, documents):
+    """Every row that comes out, from the stages' rules applied one document or one pair at a time."""
+    from test_operators import brute_leaks, sha
+    from tokenizers import Tokenizer
+
+    from keelson.llm.bpe_core import resolve
+
+    good = {r.doc_id for r in quality_rules.apply_rules(documents).where("kept").collect()}
+    texts = {r.doc_id: r.text for r in documents.collect() if r.doc_id in good}
+    sets = {}
+    for i, t in texts.items():
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+    root = {i: i for i in texts}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in texts:
+        for j in texts:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    alone = {i: texts[i] for i in texts if find(i) == i}
+    assert len(alone) < len(texts)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leaked = {i for i, _ in brute_leaks(sorted(alone.items()), items)}
+    library = Tokenizer.from_file(resolve("byte_bpe_50k.json"))
+    want = {}
+    for i, t in alone.items():
+        if i not in leaked:
+            masked = secret_scan.redact(t, secret_scan.base_spans(t) + secret_scan.confirmed_spans(t))
+            ids = library.encode(masked, add_special_tokens=False).ids
+            want[i] = (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == want
+
+
+def test_a_run_releases_its_own_tables_only(spark):
+    from keelson.llm.shared import release_all, stage, staging
+
+    with staging() as outer:
+        other, path = stage(spark, spark.range(3), "other")
+        with staging() as inner:
+            _, gone = stage(spark, spark.range(5), "gone")
+            kept, kept_path = stage(spark, spark.range(7), "kept")
+            release_all(spark, inner, kept_path)
+        assert inner == [kept_path] and outer == [path, kept_path]
+    assert other.count() == 3 and kept.count() == 7
+    assert spark.sparkContext._jvm.java.io.File(gone.removeprefix("file://")).exists() is False
