@@ -106,23 +106,25 @@ def digests(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, wit
         piece = table.vocabulary.pieces.__getitem__
         number = worker_cache(f"numbers:{tokenizer}", lambda: [str(k) for k in range(len(table.vocabulary.pieces))]).__getitem__
         for batch in batches:
-            rows, every = [], [np.zeros(0, np.int32)]
-            for some in blocks([x or "" for x in batch.column("__text").to_pylist()]):
+            texts, done = [x or "" for x in batch.column("__text").to_pylist()], 0
+            for some in blocks(texts):  # each run of texts leaves as a batch of its own, so ids of a few megabytes are held
                 ids, sizes = table.encode(some)
-                every += [ids] * with_ids
-                flat, at = ids.tolist(), 0
+                rows, flat, at = [], ids.tolist(), 0
                 for n in sizes.tolist():
                     own = flat[at : at + n]
                     at += n
                     decoded = b"".join(map(piece, own)).decode("utf-8", "replace").encode()
                     rows.append((n, sha256(",".join(map(number, own)).encode()).hexdigest(), sha256(decoded).hexdigest()))
-            kept = [n for n in batch.schema.names if n != "__text"]
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            made = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]
-            if with_ids:
-                offsets = np.concatenate(([0], np.cumsum(columns[0], dtype=np.int64))).astype(np.int32)
-                made.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(every), pa.int32())))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *made], [*kept, *(f.name for f in fields)])
+                del flat
+                part = batch.slice(done, len(some))
+                done += len(some)
+                kept = [n for n in part.schema.names if n != "__text"]
+                columns = list(zip(*rows, strict=True))
+                made = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]
+                if with_ids:
+                    offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
+                    made.append(pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), *made], [*kept, *(f.name for f in fields)])
 
     return source.mapInArrow(run, schema)
 
