@@ -310,6 +310,8 @@ def shared_prefixes(spark: SparkSession, texts: DataFrame, least: float) -> Data
 def verified(spark: SparkSession, docs: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose shingle sets are similar enough."""
     pairs, _ = stage(spark, pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = counted(spark, texts.select("node", "text_key").join(asked, "node"), "wanted", BROADCAST_ROWS)
     # Dealt out anew between join and aggregate: neither then holds all copies of a text in one task.
@@ -347,13 +349,15 @@ def similar_components(spark: SparkSession, docs: DataFrame, texts: DataFrame, s
     at, split = placed()
     stars = at.join(split.select("sh", "mid"), "sh").where(F.col("c") != F.col("mid.c"))
     stars = enough(stars.select(F.col("node").alias("x"), F.col("mid.node").alias("y"), "n", F.col("mid.n").alias("m")))
-    links_ = links_.unionByName(verified(spark, docs, texts, stars, shingle, least))
-    at, split = placed()
+    more = verified(spark, docs, texts, stars, shingle, least)
+    if not more.isEmpty():
+        links_ = links_.unionByName(more)
+        at, split = placed()
     open_, _ = stage(spark, at.join(split.select("sh"), "sh", "left_semi").select("sh", "node", "n", "c"), "open")
     other = open_.select("sh", F.col("node").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"))
     rest = open_.withColumnRenamed("node", "x").hint("rebalance").join(other.hint("rebalance"), "sh")
-    rest = enough(rest.where((F.col("x") > F.col("y")) & (F.col("c") != F.col("d"))))
-    return connected_components(spark, links_.unionByName(verified(spark, docs, texts, rest, shingle, least)))
+    rest = verified(spark, docs, texts, enough(rest.where((F.col("x") > F.col("y")) & (F.col("c") != F.col("d")))), shingle, least)
+    return connected_components(spark, links_.unionByName(rest))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, least: float = 0.8, views: int = 3) -> DataFrame:
