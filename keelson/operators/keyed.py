@@ -91,11 +91,25 @@ class KeyedTable:
         return shifted(self.df.select(*self.keys), self.keys)
 
     def scan_n(self, probes: DataFrame, probe: str | Sequence[str], n: str, most: int) -> DataFrame:
-        """For every probe row, the ``n`` rows (at most ``most``) from the first key >= ``probe``, by their ranks."""
-        ranked = global_rank(self.df, *self.keys)
-        at = ceiling(KeyedTable(ranked, self.keys), probes, probe, keep=["rank"]).drop(*self.keys)
-        steps = at.where(F.col("rank").isNotNull()).withColumn("rank", F.explode(F.sequence("rank", F.col("rank") + F.least(F.col(n), F.lit(most)) - 1)))
-        return steps.join(ranked, "rank").drop("rank")
+        """For every probe row, the ``n`` rows (at most ``most``) from the first key >= ``probe``; none for ``n`` below one.
+
+        Rows and distinct probes are placed in one order, so that a row's rank and the rank that a probe begins at come from
+        the same pass over the ranges of keys."""
+        asked, kinds = _names(probe), [self.df.schema[k].dataType for k in self.keys]
+        names = [f"__k{j}" for j in range(len(self.keys))]
+        both = _placed(self, probes, asked, self.payload, ask_first=True)
+        ranged = _ranges(both, names)
+        entries = F.count(F.when(~F.col("__ask"), 1))
+        sizes = ranged.groupBy("__g").agg(entries.alias("__n"))
+        before = sizes.select("__g", F.coalesce(F.sum("__n").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+        upto = Window.partitionBy("__g").orderBy(*names, "__o").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = ranged.withColumn("__in", entries.over(upto)).join(F.broadcast(before), "__g").withColumn("__rank", F.col("__in") + F.col("__before"))
+        begins = ranked.where("__ask").select(*names[: len(asked)], (F.col("__rank") + 1).alias("__from"))
+        at = probes.join(begins, _met(asked, kinds, names), "inner").select(*probes.columns, "__from")
+        steps = F.sequence(F.col("__from"), F.col("__from") + F.least(F.col(n), F.lit(most)) - 1)
+        steps = at.where(F.col(n) > 0).withColumn("__rank", F.explode(steps)).drop("__from")
+        rows = ranked.where("NOT __ask").select("__rank", *(F.col(f"__e.{c}").alias(c) for c in self.df.columns))
+        return steps.join(rows, "__rank").drop("__rank")
 
     # Mutations
 
@@ -171,7 +185,9 @@ class KeyedTable:
 # Order across the whole table without a single task: ranges of keys, and one row a range.
 
 #: Rows of a range, about, and the most ranges; the cuts between them are all that the driver gets.
-RANGE_ROWS, MOST_RANGES, COARSE = 200_000, 4096, 64
+RANGE_ROWS, MOST_RANGES = 200_000, 4096
+#: Not read any more: ranges are found by halving; kept as a name that callers may set.
+COARSE = 64
 
 
 def _names(columns: str | Sequence[str]) -> list[str]:
@@ -192,21 +208,20 @@ def _cuts(df: DataFrame, keys: Sequence[str]) -> list:
 
 def _ranges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` with ``__g``: the range of the key tuple that a row is in, rising with the key.  A range is found among
-    the cuts in two steps, so a row is compared with about two square roots of their number."""
+    the cuts by halving, in compiled steps: a row is compared with at most thirteen of them."""
     cuts = _cuts(df, keys)
     if not cuts:
         return df.withColumn("__g", F.lit(0))
     kinds = [df.schema[k].dataType for k in keys]
     names = [f"k{j}" for j in range(len(keys))]
-    lits = [F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(cut, kinds, names, strict=True))) for cut in cuts]
+    every = F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(cut, kinds, names, strict=True))) for cut in cuts))
     key = F.struct(*(F.col(k).alias(c) for k, c in zip(keys, names, strict=True)))
-    upto = lambda some: F.size(F.filter(some, lambda c: c <= key))
-    if len(lits) <= COARSE:
-        return df.withColumn("__g", upto(F.array(*lits)))
-    rows = F.array(*(F.array(*lits[k : k + COARSE]) for k in range(0, len(lits), COARSE)))
-    first = upto(F.array(*lits[::COARSE]))
-    inside = F.when(F.col("__g") == 0, 0).otherwise((F.col("__g") - 1) * COARSE + upto(F.get(rows, F.col("__g") - 1)))
-    return df.withColumn("__g", first).withColumn("__g", inside)
+    df, step = df.withColumn("__g", F.lit(0)), 1 << (len(cuts).bit_length() - 1)
+    while step:
+        ahead = F.col("__g") + step
+        df = df.withColumn("__g", F.when((ahead <= len(cuts)) & (F.get(every, ahead - 1) <= key), ahead).otherwise(F.col("__g")))
+        step >>= 1
+    return df
 
 
 def cut_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -235,20 +250,37 @@ def rank_within(df: DataFrame, group: str, *order: str) -> DataFrame:
     return met.withColumn("rank", F.col("rank") + F.col("__before")).drop("__g", "__h", "__k", "__before")
 
 
+def _placed(table: KeyedTable, probes: DataFrame, asked: Sequence[str], keep: Sequence[str], ask_first: bool) -> DataFrame:
+    """The table's rows (key columns as ``__k0`` and so on, keys and ``keep`` columns as ``__e``) and the distinct whole
+    probe tuples (``__ask``); ``__o`` puts a probe before or after the rows of an equal key."""
+    kinds = [table.df.schema[k].dataType for k in table.keys]
+    names = [f"__k{j}" for j in range(len(kinds))]
+    given = [F.col(a).cast(t).alias(n) for a, t, n in zip(asked, kinds, names, strict=False)]
+    open_ = [F.lit(None).cast(t).alias(n) for t, n in zip(kinds[len(asked) :], names[len(asked) :], strict=True)]
+    entry = F.struct(*(F.col(k).alias(k) for k in table.keys), *(F.col(c).alias(c) for c in keep))
+    keyed = (F.col(k).alias(n) for k, n in zip(table.keys, names, strict=True))
+    rows = table.df.select(*keyed, entry.alias("__e"), F.lit(int(ask_first)).alias("__o"), F.lit(False).alias("__ask"))
+    whole = " AND ".join(f"{n} IS NOT NULL" for n in names[: len(asked)])
+    asks = probes.select(*given, *open_).where(whole).distinct()
+    asks = asks.select("*", F.lit(None).cast(rows.schema["__e"].dataType).alias("__e"), F.lit(int(not ask_first)).alias("__o"), F.lit(True).alias("__ask"))
+    return rows.unionByName(asks)
+
+
+def _met(asked: Sequence[str], kinds: Sequence, names: Sequence[str]) -> Column:
+    """Probe columns equal placed key columns."""
+    on = F.lit(True)
+    for a, t, n in zip(asked, kinds, names, strict=False):
+        on &= F.col(a).cast(t) == F.col(n)
+    return on
+
+
 def _probe(table: KeyedTable, probes: DataFrame, probe: str | Sequence[str], keep: Sequence[str], up: bool) -> DataFrame:
     """Distinct probe tuples are placed among the keys, so that a frequent probe is one row, and joined back.  A probe
     of fewer columns than the key stands before all keys that begin with it; one with a null column meets nothing."""
     asked, keys = _names(probe), table.keys
     kinds = [table.df.schema[k].dataType for k in keys]
     names = [f"__k{j}" for j in range(len(keys))]
-    given = [F.col(a).cast(t).alias(n) for a, t, n in zip(asked, kinds, names, strict=False)]
-    open_ = [F.lit(None).cast(t).alias(n) for t, n in zip(kinds[len(asked) :], names[len(asked) :], strict=True)]
-    entry = F.struct(*(F.col(k).alias(k) for k in keys), *(F.col(c).alias(c) for c in keep))
-    rows = table.df.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), entry.alias("__e"), F.lit(0 if not up else 1).alias("__o"), F.lit(False).alias("__ask"))
-    whole = " AND ".join(f"{n} IS NOT NULL" for n in names[: len(asked)])
-    asks = probes.select(*given, *open_).where(whole).distinct()
-    asks = asks.select("*", F.lit(None).cast(rows.schema["__e"].dataType).alias("__e"), F.lit(1 if not up else 0).alias("__o"), F.lit(True).alias("__ask"))
-    ranged = _ranges(rows.unionByName(asks), names)
+    ranged = _ranges(_placed(table, probes, asked, keep, ask_first=up), names)
     order = [*names, "__o"]
     w = Window.partitionBy("__g").orderBy(*(F.col(c).desc() if up else F.col(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
     inside = ranged.withColumn("__near", F.last("__e", ignorenulls=True).over(w)).where("__ask")
@@ -258,11 +290,7 @@ def _probe(table: KeyedTable, probes: DataFrame, probe: str | Sequence[str], kee
     by = F.col("__g").desc() if up else F.col("__g")
     passed = cells.select("__g", F.last("__edge", ignorenulls=True).over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)).alias("__passed"))
     placed = inside.join(F.broadcast(passed), "__g", "left").select(*names[: len(asked)], F.coalesce("__near", "__passed").alias("__m"))
-    met = [F.col(a).cast(t) == F.col(n) for a, t, n in zip(asked, kinds, names, strict=False)]
-    on = met[0]
-    for one in met[1:]:
-        on &= one
-    joined = probes.join(placed, on, "left")
+    joined = probes.join(placed, _met(asked, kinds, names), "left")
     return joined.select(*probes.columns, *(F.col(f"__m.{c}").alias(c) for c in (*keys, *keep)))
 
 
