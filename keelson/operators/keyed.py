@@ -118,10 +118,12 @@ class KeyedTable:
         return rows.join(self.df.select(*self.keys), self.keys, "left_semi")
 
     def insert(self, rows: DataFrame) -> KeyedTable:
-        """Rows of new keys are added; of several rows of one key in the batch the least one is, the others are refused."""
+        """Rows of new keys are added; of several rows of one key in the batch the least one is (nulls
+        count as greatest), the others are refused."""
         fresh = rows.join(self.df.select(*self.keys), self.keys, "left_anti")
         if self.payload:
-            one = fresh.groupBy(*self.keys).agg(F.min(F.struct(*self.payload)).alias("__row"))
+            least = F.struct(*(c for p in self.payload for c in (F.col(p).isNull().alias(f"__{p}"), F.col(p))))
+            one = fresh.groupBy(*self.keys).agg(F.min(least).alias("__row"))
             fresh = one.select(*self.keys, *(F.col(f"__row.{c}").alias(c) for c in self.payload))
         else:
             fresh = fresh.distinct()

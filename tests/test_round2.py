@@ -36,3 +36,10 @@ def test_scan_of_no_rows_gives_none(spark, monkeypatch):
     got = table.scan_n(spark.createDataFrame(asks, "i int, p int, q int, n int"), ["p", "q"], "n", 50).select("i", "a", "b", "v").collect()
     want = [(i, *r) for i, p, q, n in asks if p is not None for r in [r for r in rows if r[:2] >= (p, q)][: max(0, n or 0)]]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_batch_whose_keys_are_orders_too(held):
+    orders = [(1000003, 1, "F", 10.5), (7, 2, "O", 20.25)]
+    events = [(1, None, 3, "view", 4.5), (2, None, 3, "view", 3.25), (3, None, 4, "view", None), (4, None, 4, "view", 9.0), (5, None, None, "view", 1.0)]
+    got, want = held("insert_batch", orders=(ORDERS, orders), events=(EVENTS, events))
+    assert got == want == [(5, 44.0)]
