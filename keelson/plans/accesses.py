@@ -59,7 +59,7 @@ def cms_aging(spark, sf_dir):
 
 @register("page_clock", f"{SEQ}, u AS (SELECT page_id, (SELECT max(epoch) FROM acc_seq) - max(epoch) AS idle FROM acc_seq GROUP BY page_id) SELECT page_id, idle, CASE WHEN idle = 0 THEN 'HOT' ELSE 'COOL' END AS state, CASE WHEN idle <= 1 THEN 'DRAM' WHEN idle <= 3 THEN 'CXL' ELSE 'SSD' END AS tier FROM u")
 def page_clock(spark, sf_dir):
-    return access.page_clock(access_sequence(spark, sf_dir, window=100), "page_id", "epoch")
+    return access.page_clock(access_sequence(spark, sf_dir), "page_id", "epoch")
 
 
 @register("sketch_bounds", f"{ACC}, r AS (SELECT page_id, slot_id, count(*) AS n FROM acc GROUP BY 1, 2) SELECT 'page' AS sketch, count(*) AS keys, 0::BIGINT AS below FROM (SELECT page_id FROM r GROUP BY 1) UNION ALL SELECT 'record', count(*), 0 FROM r")

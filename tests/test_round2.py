@@ -43,3 +43,9 @@ def test_batch_whose_keys_are_orders_too(held):
     events = [(1, None, 3, "view", 4.5), (2, None, 3, "view", 3.25), (3, None, 4, "view", None), (4, None, 4, "view", 9.0), (5, None, None, "view", 1.0)]
     got, want = held("insert_batch", orders=(ORDERS, orders), events=(EVENTS, events))
     assert got == want == [(5, 44.0)]
+
+
+def test_page_clock_counts_epochs_of_a_thousand(held):
+    events = [(i, None, 8 * (i % 5), "view", 1.0) for i in range(0, 4000, 7)] + [(4100 + k, None, 8 * k, "view", 1.0) for k in (1, 2)]
+    got, want = held("page_clock", events=(EVENTS, events))
+    assert got == want and {r[1] for r in got} == {0, 1}
