@@ -279,8 +279,8 @@ def candidates(spark: SparkSession, texts: DataFrame) -> DataFrame:
 
 
 def shared_prefixes(spark: SparkSession, texts: DataFrame, least: float) -> DataFrame:
-    """(sh, node, n, rank) for the shingles of every text's prefix that another text's prefix has too; a text that shares
-    fewer than any partner's t has no partner and is left out.  ``rank`` is the number of shingles of the prefix that no
+    """(sh, node, n, at, rank) for the shingles of every text's prefix that another text's prefix has too, ``at`` their
+    places in it; a text that shares fewer than any partner's t has no partner and is left out.  ``rank`` is the number of shingles of the prefix that no
     other text has, negated: the text in the middle of a group of edited copies has the highest."""
     import numpy as np
 
@@ -290,16 +290,16 @@ def shared_prefixes(spark: SparkSession, texts: DataFrame, least: float) -> Data
         got = list(batches)
         if not got:
             return
-        sh, node, n = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(3))
+        sh, node, n, place = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(4))
         order = np.lexsort((node, sh))
-        sh, node, n = sh[order], node[order], n[order]
+        sh, node, n, place = sh[order], node[order], n[order], place[order]
         same = np.concatenate(([False], sh[1:] == sh[:-1], [False]))
         on = same[1:] | same[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (sh, node, n)], ["sh", "node", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (sh, node, n, place)], ["sh", "node", "n", "at"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.select(F.explode("prefix").alias("sh"), "node", "n").repartition(parts, "sh")
-    rows, _ = stage(spark, rows.mapInArrow(meet, "sh bigint, node bigint, n int"), "prefixes")
+    rows = texts.select(F.posexplode("prefix").alias("at", "sh"), "node", "n").select("sh", "node", "n", "at").repartition(parts, "sh")
+    rows, _ = stage(spark, rows.mapInArrow(meet, "sh bigint, node bigint, n int, at int"), "prefixes")
     own = rows.groupBy("node").agg(F.count("*").alias("met"), F.first("n").alias("of"))
     rank = (F.col("met") - (F.col("of") - F.ceil(F.lit(least) * F.col("of") - 1e-6) + must_share(F.col("of")))).cast("int")
     able = own.where(F.col("met") >= F.lit(least / SHARE) * F.col("of") - 1)
@@ -328,14 +328,16 @@ def similar_components(spark: SparkSession, docs: DataFrame, texts: DataFrame, s
     """(node, component) of the texts that have a similar text, exactly as a comparison of all pairs gives them.
 
     What the fingerprints propose is compared first, then the texts that share a shingle of their prefixes with
-    the middle text of those that have it, then every pair that shares one and is still in two components."""
+    the middle text of those that have it, then every pair that is still in two components and can be similar by its
+    first shared shingle: what either text has from there on must hold all that they share, ``least`` / (1 + ``least``)
+    of both sizes.  For the smaller text this is a shorter part of its prefix than for the larger one."""
     links_ = verified(spark, docs, texts, candidates(spark, texts), shingle, least)
     shared = shared_prefixes(spark, texts, least)
 
     def placed():
         parts, _ = stage(spark, connected_components(spark, links_), "parts")
         at = shared.withColumnRenamed("node", "own").join(parts.hint("rebalance"), F.col("own") == F.col("node"), "left")
-        at = at.select("sh", F.col("own").alias("node"), "n", "rank", F.coalesce("component", "own").alias("c"))
+        at = at.select("sh", F.col("own").alias("node"), "n", "at", "rank", F.coalesce("component", "own").alias("c"))
         split = at.groupBy("sh").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("rank", "n", "node", "c")).alias("mid"))
         return at, split.where("lo <> hi").hint("rebalance")
 
@@ -353,10 +355,14 @@ def similar_components(spark: SparkSession, docs: DataFrame, texts: DataFrame, s
     if not more.isEmpty():
         links_ = links_.unionByName(more)
         at, split = placed()
-    open_, _ = stage(spark, at.join(split.select("sh"), "sh", "left_semi").select("sh", "node", "n", "c"), "open")
-    other = open_.select("sh", F.col("node").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"))
-    rest = open_.withColumnRenamed("node", "x").hint("rebalance").join(other.hint("rebalance"), "sh")
-    rest = verified(spark, docs, texts, enough(rest.where((F.col("x") > F.col("y")) & (F.col("c") != F.col("d")))), shingle, least)
+    open_, _ = stage(spark, at.join(split.select("sh"), "sh", "left_semi").select("sh", "node", "n", (F.col("n") - F.col("at")).alias("left"), "c"), "open")
+    shared_least = lambda both: F.ceil(F.lit(least / (1 + least)) * both - 1e-6)
+    larger = open_.withColumnRenamed("node", "x").where(F.col("left") >= F.ceil(F.lit(least) * F.col("n") - 1e-6))
+    smaller = open_.where(F.col("left") >= shared_least(2 * F.col("n")))
+    smaller = smaller.select("sh", F.col("node").alias("y"), F.col("n").alias("m"), F.col("left").alias("rest"), F.col("c").alias("d"))
+    rest = larger.hint("rebalance").join(smaller.hint("rebalance"), "sh").where((F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("x") > F.col("y"))))
+    rest = rest.where((F.col("c") != F.col("d")) & (F.least("left", "rest") >= shared_least(F.col("n") + F.col("m"))))
+    rest = verified(spark, docs, texts, rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), shingle, least)
     return connected_components(spark, links_.unionByName(rest))
 
 

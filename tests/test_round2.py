@@ -57,3 +57,35 @@ def test_cycles_are_added_in_one_order(held):
     got, want = held("metrics_cpu", events=(EVENTS, events))
     assert got == [(0, 0, 1.0, 0.25, "cfg0", 1), (0, 1, None, None, "cfg1", 2)]
     assert [r[:2] for r in got] == [r[:2] for r in want]  # the SQL adds in an order of its own
+
+
+def test_near_copies_that_are_no_pairs_are_not_all_compared(spark, monkeypatch):
+    import random
+
+    from keelson.llm import simhash_dedup
+
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    texts = []
+    for _ in range(320):
+        words = list(base)
+        for at in rng.sample(range(150), 4):
+            words[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    seen, real = [], simhash_dedup.verified
+
+    def counting(spark, docs, nodes, pairs, shingle, least):
+        seen.append(pairs.count())
+        return real(spark, docs, nodes, pairs, shingle, least)
+
+    monkeypatch.setattr(simhash_dedup, "verified", counting)
+    kept = simhash_dedup.keep_one(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    cut = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    sets, root = list(map(cut, texts)), list(range(320))
+    for a in range(320):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+    assert {r.doc_id for r in kept.collect()} == {root.index(r) for r in set(root)}
+    assert seen[-1] < 320 * 319 / 2 / 10
