@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.bpe_core import Vocabulary, WordTable, blocks, read_pieces
-from keelson.llm.shared import worker_cache
+from keelson.llm.bpe_core import BLOCK_CHARS, Vocabulary, WordTable, blocks, read_pieces
+from keelson.llm.shared import runs, worker_cache
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Ids decoded at a time: bounds a worker's memory.
@@ -106,9 +106,8 @@ def digests(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, wit
         piece = table.vocabulary.pieces.__getitem__
         number = worker_cache(f"numbers:{tokenizer}", lambda: [str(k) for k in range(len(table.vocabulary.pieces))]).__getitem__
         for batch in batches:
-            texts, done = [x or "" for x in batch.column("__text").to_pylist()], 0
-            for some in blocks(texts):  # each run of texts leaves as a batch of its own, so ids of a few megabytes are held
-                ids, sizes = table.encode(some)
+            for part in runs(batch, "__text", BLOCK_CHARS):  # each leaves as a batch of its own, so ids of a few megabytes are held
+                ids, sizes = table.encode([x or "" for x in part.column("__text").to_pylist()])
                 rows, flat, at = [], ids.tolist(), 0
                 for n in sizes.tolist():
                     own = flat[at : at + n]
@@ -116,8 +115,6 @@ def digests(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, wit
                     decoded = b"".join(map(piece, own)).decode("utf-8", "replace").encode()
                     rows.append((n, sha256(",".join(map(number, own)).encode()).hexdigest(), sha256(decoded).hexdigest()))
                 del flat
-                part = batch.slice(done, len(some))
-                done += len(some)
                 kept = [n for n in part.schema.names if n != "__text"]
                 columns = list(zip(*rows, strict=True))
                 made = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -20,8 +21,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: version; a text with any other is split by the library itself.
 UNSURE = r"[^\x00-ԯ -⁣]"
 
-#: Characters that are split and encoded at a time: bounds a worker's memory.
-BLOCK_CHARS = 2_000_000
+#: Characters, and new words, that are split and encoded at a time: they bound a worker's memory.
+BLOCK_CHARS, ADD_WORDS = 500_000, 5_000
 
 #: Entries after which a worker's word table is emptied. It is a cache: results do not depend on it.
 TABLE_WORDS = 300_000
@@ -75,21 +76,38 @@ class Vocabulary:
             raise ValueError(f"{name} is not a plain byte-level BPE file")
         if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError(f"{name} has added tokens that match more than their own text")
-        alphabet = byte_alphabet()
-        as_bytes = lambda piece: bytes(alphabet[c] for c in piece)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special = special
-        self.id_of = {p: i for i, p in enumerate(self.pieces) if p and i not in set(special.values())}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        pairs = [(self.id_of[as_bytes(a)], self.id_of[as_bytes(b)]) for a, b in merges]
-        self.merge_rank = {pair: k for k, pair in enumerate(pairs)}
-        self.merged = {(a, b): self.id_of[self.pieces[a] + self.pieces[b]] for a, b in pairs}
-        self.longest = max(map(len, self.id_of))
+        self.name, self.special = name, special
         self._words = regex.compile(PATTERN)
         self._unsure = regex.compile(UNSURE)
         cut = "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))
         self._special = regex.compile(f"({cut})") if cut else None
 
+    # What only some callers need is made when first asked for: encoding by the word table takes none of it.
+
+    @cached_property
+    def id_of(self) -> dict[bytes, int]:
+        special = set(self.special.values())
+        return {p: i for i, p in enumerate(self.pieces) if p and i not in special}
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.id_of))
+
+    @cached_property
+    def merged(self) -> dict[tuple[int, int], int]:
+        """The id of every pair that merges, in order of rank."""
+        alphabet = byte_alphabet()
+        as_id = lambda piece: self.id_of[bytes(alphabet[c] for c in piece)]
+        with open(resolve(self.name), encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        pairs = ((as_id(a), as_id(b)) for a, b in (m.split(" ") if isinstance(m, str) else m for m in merges))
+        return {(a, b): self.id_of[self.pieces[a] + self.pieces[b]] for a, b in pairs}
+
+    @cached_property
+    def merge_rank(self) -> dict[tuple[int, int], int]:
+        return {pair: k for k, pair in enumerate(self.merged)}
+
     def split(self, text: str) -> list[str]:
         """The words of a text, in order; they concatenate to it."""
         if not text:
@@ -152,9 +170,12 @@ class WordTable:
         new = list(set(words).difference(self.row))
         if not new:
             return
-        got = [e.ids for e in self.vocabulary.library.encode_batch_fast(new, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int32, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))
+        sizes, parts = [], []
+        for k in range(0, len(new), ADD_WORDS):  # the library's own results are some hundred bytes a word
+            got = [e.ids for e in self.vocabulary.library.encode_batch_fast(new[k : k + ADD_WORDS], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int32, len(got)))
+            parts.append(np.fromiter(chain.from_iterable(got), np.int32, int(sizes[-1].sum())))
+        size, flat = np.concatenate(sizes), np.concatenate(parts)
         self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
         self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size, dtype=np.int64) - size))
         self.size, self.ids = np.concatenate((self.size, size)), np.concatenate((self.ids, flat))

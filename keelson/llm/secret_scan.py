@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keelson.llm.shared import runs
+
 #: The base patterns and the least length of each.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_LEAST = 6
@@ -42,6 +44,9 @@ ASSIGN_LEAST = 6
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
+#: Bytes of text whose results a worker holds at a time.
+RUN_BYTES = 2_000_000
+
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "der", "ssh", "sshpub", "jwt", "pem")
 
@@ -229,19 +234,20 @@ def scan(docs: DataFrame, text: str = "text", redacted: bool = True) -> DataFram
     """``docs`` with the counts of base spans, ``base_spans`` and ``spans`` (comma-joined
     kind:start:end) and, if asked for, ``redacted``: the text with all spans masked."""
     fields = FIELDS if redacted else FIELDS[:-1]
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in {f.name for f in fields}]
-    source = docs.select(*own, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    if not redacted:
-        source = source.drop(text)
+    own = [c for c in docs.columns if c not in {f.name for f in fields}]
+    if redacted and text in own:  # the text goes to the worker once
+        scanned, source = text, docs.select(*(F.col(f"`{c}`") for c in own))
+    else:
+        scanned, source = "__text", docs.select(*(F.col(f"`{c}`") for c in own if c != text), F.col(f"`{text}`").alias("__text"))
     schema = T.StructType([*source.drop("__text").schema.fields, *fields])
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in runs(whole, scanned, RUN_BYTES)):
             rows = []
-            for value in batch.column("__text"):
-                t = value.as_py()
+            for value in batch.column(scanned):
+                t = value.as_py() or ""
                 base = base_spans(t)
                 spans = base + confirmed_spans(t)
                 counts = [sum(k == kind for *_, k in base) for kind in BASE_KINDS]

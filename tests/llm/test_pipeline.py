@@ -91,3 +91,44 @@ def test_a_run_releases_its_own_tables_only(spark):
         assert inner == [kept_path] and outer == [path, kept_path]
     assert other.count() == 3 and kept.count() == 7
     assert spark.sparkContext._jvm.java.io.File(gone.removeprefix("file://")).exists() is False
+
+
+def test_workers_hold_little_of_a_batch(spark):
+    """What the last two stages hold of a batch at a time, and that no row is lost or changed by it."""
+    import pyarrow as pa
+
+    from keelson.llm import bpe_core
+    from keelson.llm.shared import runs
+
+    texts = ["ab" * 30, None, "", "é" * 200, "c"] * 7
+    batch = pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string())})
+    parts = [p.column("t").to_pylist() for p in runs(batch, "t", 100)]
+    assert sum(parts, []) == texts and max(len(p) for p in parts) < 6
+    assert all(sum(len((x or "").encode()) for x in p) <= 100 or len(p) == 1 for p in parts)
+    assert list(runs(batch.slice(0, 0), "t", 100)) == []
+
+    vocabulary = bpe_core.Vocabulary("byte_bpe_50k.json")
+    library, sizes = vocabulary.library, []
+
+    class Counting:
+        def encode_batch_fast(self, words, **options):
+            sizes.append(len(words))
+            return library.encode_batch_fast(words, **options)
+
+    vocabulary.library = Counting()
+    table = bpe_core.WordTable(vocabulary)
+    words = [f" w{k}" for k in range(12_000)]
+    table.add(words)
+    assert max(sizes) <= 5_000 and sum(sizes) == 12_000
+    assert not {"merged", "merge_rank", "id_of"} & set(vars(vocabulary))  # made when first asked for
+    for w in words[::997]:
+        k = table.row[w]
+        assert table.ids[table.start[k] : table.start[k] + table.size[k]].tolist() == library.encode(w, add_special_tokens=False).ids == vocabulary.merge(w.encode())
+
+
+def test_scan_of_null_text_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, None, "x"), (2, "token = abcdefgh", "y")], "doc_id int, text string, redacted string")
+    rows = sorted(secret_scan.scan(docs).collect())
+    assert [(r.doc_id, r.text, r.n_assign, r.redacted) for r in rows] == [(1, None, 0, ""), (2, "token = abcdefgh", 1, "[SECRET]")]
+    rows = sorted(secret_scan.scan(docs, text="redacted").collect())
+    assert [(r.doc_id, r.text, r.redacted) for r in rows] == [(1, None, "x"), (2, "token = abcdefgh", "y")]
